@@ -41,7 +41,7 @@ RUN = 256
 _SIGNS = r"!-/:-@\[-`{-~"
 CUTS = re.compile(
     rf"[A-Za-z](?=[0-9{_SIGNS}])|[0-9](?=[A-Za-z{_SIGNS}])|[!-&(-/:-@\[-`{{-~](?=[A-Za-z0-9])|'(?=[0-9])"
-    r"|[^\x09-\x0d\x20\x85\xa0  -     　](?=[\x09-\x0d\x20])"
+    r"|[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000](?=[\x09-\x0d\x20])"
 )
 ONE_RUN = re.compile(rf"[A-Za-z]+|[0-9]+|[{_SIGNS}]+")
 
