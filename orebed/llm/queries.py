@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, simhash
-from orebed.llm.kernels import documents
+from orebed.llm import bpe, langid, quality, simhash
+from orebed.llm.kernels import bucket_of, documents
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fold."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs, held = documents(spark, sf_dir), F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))
+    filters = langid.fit(docs.where(~held))
+    return langid.predicted(docs, filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +39,8 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
