@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, langid, quality, simhash
+from orebed.llm import bpe, langid, pii, quality, simhash
 from orebed.llm.kernels import bucket_of, documents
 
 
@@ -32,6 +32,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.found(documents(spark, sf_dir))
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_pii": op9_pii,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
 
