@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, langid, pii, quality, simhash
+from orebed.llm import bpe, langid, pii, quality, secrets, sharding, simhash
 from orebed.llm.kernels import bucket_of, documents
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document, with its size."""
+    placed = sharding.placed(documents(spark, sf_dir), sharding.lookup_table(spark, sharding.shard_names()), "doc_id")
+    return placed.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.found(documents(spark, sf_dir), secrets.transition_ratios(secrets.samples(spark)))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels outside the held-out fold."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,6 +55,8 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op3_secrets": op3_secrets,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
@@ -51,4 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_neardup": op10_simhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": sharding.oracle_sql(),
+    "op3_secrets": secrets.oracle_sql(),
+}
