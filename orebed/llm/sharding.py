@@ -35,28 +35,33 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
         raise ValueError("slots must be a prime, not below the number of shards")
     names = F.array(*[F.lit(s) for s in shards])
     n = len(shards)
-    orders = F.transform(names, lambda s: F.struct((_hash(s, 1, 8) % slots).alias("start"), (_hash(s, 9, 8) % (slots - 1) + 1).alias("step")))
-    start = F.struct(F.array_repeat(F.lit(-1), slots).alias("owner"), F.array_repeat(F.lit(0).cast("long"), n).alias("tried"))
+    # One row for each shard; as literals, so that the fold below doesn't hash names again in every turn.
+    named = spark.range(n).select("id", F.get(names, F.col("id").cast("int")).alias("s"))
+    orders = named.select(_hash(F.col("s"), 1, 8) % slots, _hash(F.col("s"), 9, 8) % (slots - 1) + 1).orderBy("id").collect()
+    starts, steps = (F.array(*[F.lit(int(o[k])).cast("long") for o in orders]) for k in (0, 1))
+    none = F.struct(F.unhex(F.repeat(F.lit("00"), slots)).alias("taken"), F.array_repeat(F.lit(0).cast("long"), n).alias("tried"), F.lit("").alias("claims"))
 
     def turn(s: Column, t: Column) -> Column:
         i = (t % n).cast("int")
-        order, tried = F.get(F.col("orders"), i), F.get(s["tried"], i)
-        slot = lambda j: ((order["start"] + j * order["step"]) % slots).cast("int")
-        free = lambda a, b: F.get(F.filter(F.sequence(a, b), lambda j: F.get(s["owner"], slot(j)) < 0), F.lit(0))
-        peek = F.least(tried + PEEK, F.lit(slots - 1).cast("long"))
-        claim = F.array(F.coalesce(free(tried, peek), free(peek, F.lit(slots - 1).cast("long"))))
+        first, step, tried = F.get(starts, i), F.get(steps, i), F.get(s["tried"], i)
+        slot = lambda j: ((first + j * step) % slots).cast("int")
+        free = lambda a, b: F.get(F.filter(F.sequence(a, b), lambda j: F.substring(s["taken"], slot(j) + 1, F.lit(1)) == F.unhex(F.lit("00"))), F.lit(0))
+        last = F.lit(slots - 1).cast("long")
+        peek = F.least(tried + PEEK, last)
+        claim = F.array(F.coalesce(free(tried, peek), free(peek, last)))
         # A one-element transform binds the claimed preference, so that it is searched for once.
         done = F.transform(
             claim,
             lambda j: F.struct(
-                F.concat(F.slice(s["owner"], F.lit(1), slot(j)), F.array(i), F.slice(s["owner"], slot(j) + 2, F.lit(slots))).alias("owner"),
+                F.overlay(s["taken"], F.unhex(F.lit("01")), slot(j) + 1, F.lit(1)).alias("taken"),
                 F.concat(F.slice(s["tried"], F.lit(1), i), F.array(j + 1), F.slice(s["tried"], i + 2, F.lit(n))).alias("tried"),
+                F.concat(s["claims"], F.lit(","), slot(j).cast("string")).alias("claims"),
             ),
         )
         return F.get(done, F.lit(0))
 
-    filled = spark.range(1).select(orders.alias("orders")).select(F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), start, turn, lambda s: s["owner"]).alias("owner"))
-    return filled.select(F.posexplode("owner").alias("slot", "owner")).select("slot", F.get(names, F.col("owner")).alias("shard"))
+    filled = spark.range(1).select(F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), none, turn, lambda s: F.split(F.substring(s["claims"], 2, 1 << 30), ",")).alias("claims"))
+    return filled.select(F.posexplode("claims").alias("t", "slot")).select(F.col("slot").cast("int").alias("slot"), F.get(names, F.col("t") % n).alias("shard"))
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -82,12 +87,12 @@ def oracle_sql(shards: int = SHARDS, slots: int = SLOTS) -> str:
     return f"""
 WITH RECURSIVE shards AS (SELECT range::INT AS i, 'shard-' || lpad(range::VARCHAR, 5, '0') AS shard FROM range({shards})),
 orders AS (SELECT list({h('shard', 1, 8)} % {slots} ORDER BY i) AS starts, list({h('shard', 9, 8)} % {slots - 1} + 1 ORDER BY i) AS steps FROM shards),
-perms AS (SELECT i, list((starts[i + 1] + j.range * steps[i + 1]) % {slots} ORDER BY j.range) AS perm FROM shards, orders, range({slots}) j GROUP BY i),
 fill(t, slot, taken) AS (
   SELECT -1, -1::BIGINT, repeat('0', {slots})::BIT
   UNION ALL
   SELECT t + 1, slot, set_bit(taken, slot::INT, 1) FROM (
-    SELECT t, taken, list_filter(perm, lambda p: get_bit(taken, p::INT) = 0)[1] AS slot FROM fill JOIN perms ON i = (t + 1) % {shards} WHERE t + 1 < {slots})),
+    SELECT t, taken, (start + step * list_filter(range({slots}), lambda j: get_bit(taken, ((start + j * step) % {slots})::INT) = 0)[1]) % {slots} AS slot
+    FROM (SELECT t, taken, starts[(t + 1) % {shards} + 1] AS start, steps[(t + 1) % {shards} + 1] AS step FROM fill, orders WHERE t + 1 < {slots}))),
 slots AS (SELECT slot::INT AS slot, t % {shards} AS i FROM fill WHERE t >= 0)
 SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, slot, shard
 FROM (SELECT *, ({h("coalesce(doc_id::VARCHAR, '')", 1, 15)} % {slots})::INT AS slot FROM documents) JOIN slots USING (slot) JOIN shards USING (i)"""
