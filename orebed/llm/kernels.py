@@ -21,6 +21,9 @@ BLOCK_BYTES = 1 << 20
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation: what parts words where signs don't matter.
+SIGNS = _WS.copy()
+SIGNS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 #: Byte map that lower-cases A-Z only.
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -102,15 +105,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words (runs of bytes other than x20 and x09-x0D, A-Z lower-cased) of a block of texts.
+    """The words (runs of bytes other than x20 and x09-x0D, or than parting, with A-Z lower-cased) of a block of texts.
 
     hash: 64-bit hash of each word; start, end: its byte range in the block;
     first: for each document the index of its first word, and the word count at last.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, parting: np.ndarray = _WS) -> None:
         n = len(raw)
-        solid = ~_WS[raw]
+        solid = ~parting[raw]
         before = np.zeros(n, dtype=bool)
         after = np.zeros(n, dtype=bool)
         if n:

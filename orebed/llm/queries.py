@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, langid, pii, quality, secrets, sharding, simhash
+from orebed.llm import bpe, decontam, langid, pii, quality, secrets, sharding, simhash
 from orebed.llm.kernels import bucket_of, documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leaked into documents."""
+    return decontam.leaked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document, with its size."""
     placed = sharding.placed(documents(spark, sf_dir), sharding.lookup_table(spark, sharding.shard_names()), "doc_id")
@@ -55,6 +60,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
     "op4_quality_classifier": op4_quality_classifier,
