@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, decontam, langid, pii, quality, secrets, sharding, simhash
+from orebed.llm import bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
 from orebed.llm.kernels import bucket_of, documents
 
 
@@ -48,6 +48,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share."""
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.found(documents(spark, sf_dir))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
