@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
+from orebed.llm import ann, bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
 from orebed.llm.kernels import bucket_of, documents
 
 
@@ -34,6 +34,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs, held = documents(spark, sf_dir), F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repeated_passages": op8_repeated_passages,
