@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orebed.llm import bpe, decontam, pii, quality, simhash
+from orebed.llm.kernels import documents, ensure_checkpoint_dir
+
 
-from orebed.llm import simhash
-from orebed.llm.kernels import documents
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.kept(docs, quality.fit(docs, labels.where(~quality.held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, that of the smallest id."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item leaked."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind, and their lengths brought up to date."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of what they decode to."""
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_redaction", pii_redaction),
+    ("byte_bpe", byte_bpe),
+]
+#: Trained models and hash-based searches: SQL can't express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages hand over goes to the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     out = documents(spark, sf_dir)
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{shared}/{k}-{name}"
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
     return out
