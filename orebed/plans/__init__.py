@@ -1,0 +1 @@
+"""Compositions of operators: decision ladders, registries, step pipelines."""
