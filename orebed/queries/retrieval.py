@@ -1 +1,137 @@
-"""Queries."""
+"""Retrieval over documents (corpus), benchmark (queries) and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orebed.functions import text as T
+from orebed.operators import retrieval as R
+from orebed.queries.base import query, table
+
+TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1)"
+WTOK = f"flatten(list_transform(regexp_extract_all(replace(replace(lower(text), '≤', ' less than or equal '), '≥', ' greater than or equal '), '{T.WORD_TOKENS}'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END))"
+
+
+def bm25_sql(tok: str, repeat: bool, k: int, name: str = "bm") -> str:
+    return f"""q{name} AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tok}) AS term FROM benchmark) GROUP BY ALL),
+b{name} AS (SELECT doc_id, {tok} AS bag FROM documents), s{name} AS (SELECT count(*) AS n_docs, avg(len(bag)) AS avg_len FROM b{name}),
+t{name} AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(bag) AS len, unnest(bag) AS term FROM b{name}) GROUP BY ALL),
+d{name} AS (SELECT term, count(*) AS df FROM t{name} GROUP BY term),
+w{name} AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / greatest(1.0::DOUBLE, avg_len))) AS w FROM t{name} JOIN d{name} USING (term), s{name}),
+r{name} AS (SELECT item_id, doc_id, sum(w{' * qtf' if repeat else ''}) AS score FROM w{name} JOIN q{name} USING (term) GROUP BY ALL HAVING score > 0),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS "rank" FROM r{name} QUALIFY "rank" <= {k})"""
+
+
+COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+DENSE = f"""dense AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS "rank" FROM (
+SELECT q.vec_id AS query_id, v.vec_id, {COS.format(a='q.embedding', b='v.embedding')} / (sqrt({COS.format(a='q.embedding', b='q.embedding')}) * sqrt({COS.format(a='v.embedding', b='v.embedding')})) AS score
+FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE v.vec_id <> q.vec_id) QUALIFY "rank" <= 10)"""
+
+
+@query("tokenize", f"SELECT term, count(*) AS n FROM (SELECT unnest({WTOK}) AS term FROM documents) GROUP BY term")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bm25_python", f"WITH {bm25_sql(WTOK, True, 10)} SELECT item_id, doc_id, score, \"rank\" FROM bm", "score")
+def bm25_python(spark, sf_dir):
+    """Compound-aware tokens; repeated query terms count repeatedly."""
+    return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), T.tokens, 10, repeat_terms=True)
+
+
+@query("bm25_graph", f"WITH {bm25_sql(TOK, False, 10)} SELECT item_id, doc_id, score, \"rank\" FROM bm", "score")
+def bm25_graph(spark, sf_dir):
+    """Simple tokens; each query term counts once."""
+    return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), T.simple_tokens, 10)
+
+
+def _dense(spark, sf_dir, k=10):
+    vectors = table(spark, sf_dir, "embeddings")
+    return R.dense_topk(vectors, vectors.where("vec_id % 100 = 0"), k)
+
+
+@query("dense_cosine_topk", f"WITH {DENSE} SELECT * FROM dense", "score")
+def dense_cosine_topk(spark, sf_dir):
+    return _dense(spark, sf_dir)
+
+
+@query("dense_topk", f"""SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS "rank" FROM (
+SELECT q.vec_id AS query_id, v.vec_id, {COS.format(a='q.embedding', b='v.embedding')} AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE v.vec_id <> q.vec_id) QUALIFY "rank" <= 5""", "score")
+def dense_topk(spark, sf_dir):
+    """Raw dot product, as vectors are normalised already."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return R.dense_topk(vectors, vectors.where("vec_id % 100 = 0"), 5, measure=R.dot)
+
+
+RRF = """fused AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + "rank")) AS score, count(DISTINCT m) AS methods FROM (SELECT item_id, doc_id, "rank", 0 AS m FROM a UNION ALL SELECT item_id, doc_id, "rank", 1 FROM b) GROUP BY ALL),
+rrf AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS "rank" FROM fused QUALIFY "rank" <= 10)"""
+
+
+def _fused(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return R.rank_fusion([R.bm25(docs, bench, T.tokens, 20, repeat_terms=True), R.bm25(docs, bench, T.simple_tokens, 20)], "item_id", "doc_id")
+
+
+@query("rrf_fusion", f"WITH {bm25_sql(WTOK, True, 20, 'a')}, {bm25_sql(TOK, False, 20, 'b')}, {RRF} SELECT * FROM rrf", "score", digits=9)
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir)
+
+
+@query("overlap_rerank", f"""WITH {bm25_sql(TOK, False, 10)}, p AS (SELECT bm.item_id, doc_id, score, max(score) OVER (PARTITION BY bm.item_id) AS best, list_filter(list_distinct({TOK.replace('text', 'q.text')}), lambda t: length(t) > 2) AS terms, lower(d.text) AS low
+  FROM bm JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)),
+f AS (SELECT item_id, doc_id, 0.8::DOUBLE * score / best + 0.2::DOUBLE * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(low, t))) / len(terms) ELSE 0 END AS final FROM p)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(final, 9) DESC, doc_id) AS "rank" FROM f QUALIFY "rank" <= 5""", "final")
+def overlap_rerank(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ranked = R.bm25(docs, bench, T.simple_tokens, 10).join(bench.withColumnRenamed("text", "q"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return R.overlap_rerank(ranked, "item_id", "doc_id", F.array_distinct(T.simple_tokens(F.col("q"))), F.col("text"), 5).select("item_id", "doc_id", "final", "rank")
+
+
+ACL = "(source IN ('src0', 'src1', 'src2') OR source = 'src19') AND doc_id % 4 <= 2 AND (lang = 'en' OR doc_id % 7 = 0)"
+
+
+@query("acl_filtered_search", f"SELECT doc_id FROM documents WHERE {ACL}")
+def acl_filtered_search(spark, sf_dir):
+    """Documents that a principal of clearance 2 in workspaces src0-2 and src19, department en, may read."""
+    doc = {"org": F.lit("o"), "classification": F.col("doc_id") % 4, "workspace": F.col("source"), "department": F.col("lang"), "cross_department": F.col("doc_id") % 7 == 0, "grants": F.array().cast("array<string>")}
+    who = {"org": F.lit("o"), "clearance": F.lit(2), "workspaces": F.array(*[F.lit(s) for s in ("src0", "src1", "src2", "src19")]), "department": F.lit("en"), "id": F.lit("u")}
+    return table(spark, sf_dir, "documents").where(R.allowed(doc, who)).select("doc_id")
+
+
+@query("current_revision", f"""WITH {bm25_sql(TOK, False, 5)}, c AS (SELECT doc_id, doc_id // 5 AS family, doc_id % 5 = 4 AS cur FROM documents), o AS (SELECT family, min(doc_id) AS cid FROM c WHERE cur GROUP BY family HAVING count(*) = 1),
+e AS (SELECT item_id, cid AS doc_id, min("rank") + 0.5 AS place FROM bm JOIN c USING (doc_id) JOIN o USING (family) WHERE NOT cur GROUP BY ALL),
+u AS (SELECT item_id, doc_id, "rank"::DOUBLE AS place, false AS companion FROM bm UNION ALL SELECT e.item_id, e.doc_id, place::DOUBLE, true FROM e ANTI JOIN bm ON e.item_id = bm.item_id AND e.doc_id = bm.doc_id)
+SELECT item_id, doc_id, companion, row_number() OVER (PARTITION BY item_id ORDER BY place, doc_id) AS "rank" FROM u QUALIFY "rank" <= 8""")
+def current_revision(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    catalog = docs.select("doc_id", F.floor(F.col("doc_id") / 5).alias("family"), (F.col("doc_id") % 5 == 4).alias("cur"))
+    return R.current_companions(R.bm25(docs, table(spark, sf_dir, "benchmark"), T.simple_tokens, 5), catalog, "item_id", "doc_id", "family", "cur", 8)
+
+
+@query("ir_metrics", f"""WITH {DENSE}, rel AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings v JOIN embeddings q ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+n AS (SELECT query_id, count(DISTINCT vec_id) AS n_rel FROM rel GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits, min("rank") AS first, sum(1 / log2("rank" + 1)) AS dcg FROM dense JOIN rel USING (query_id, vec_id) GROUP BY ALL)
+SELECT query_id, coalesce(hits / 10, 0)::DOUBLE AS precision, coalesce(hits / n_rel, 0)::DOUBLE AS recall, coalesce(1 / first, 0)::DOUBLE AS rr, coalesce(dcg / list_sum(list_transform(range(1, least(10, n_rel) + 1), lambda i: 1 / log2(i + 1))), 0)::DOUBLE AS ndcg
+FROM n LEFT JOIN h USING (query_id)""", "precision recall rr ndcg")
+def ir_metrics(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    rel = v.join(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    return R.ranking_metrics(_dense(spark, sf_dir), rel, "query_id", "vec_id", 10)
+
+
+@query("benchmark_containment", f"""WITH {bm25_sql(TOK, False, 3)} SELECT item_id, doc_id, len(list_intersect(list_distinct({TOK.replace('text', 'q.text')}), {TOK.replace('text', 'd.text')})) / len(list_distinct({TOK.replace('text', 'q.text')})) AS contained
+FROM bm JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)""", "contained")
+def benchmark_containment(spark, sf_dir):
+    """Share of a query's terms that each of its three best documents holds (lexical grounding)."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ranked = R.bm25(docs, bench, T.simple_tokens, 3).join(bench.withColumnRenamed("text", "q"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return ranked.select("item_id", "doc_id", T.containment(T.simple_tokens(F.col("q")), T.simple_tokens(F.col("text"))).alias("contained"))
+
+
+@query("grounded_answer", f"""WITH {bm25_sql(TOK, False, 1)}, s AS (SELECT item_id, doc_id, len(list_intersect(list_distinct({TOK.replace('text', 'q.text')}), {TOK.replace('text', 'd.text')})) / len(list_distinct({TOK.replace('text', 'q.text')})) AS support
+FROM bm JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)) SELECT item_id, doc_id, CASE WHEN support < 0.34 THEN 'REFUSE' WHEN support >= 0.55 THEN 'SUPPORTED' ELSE 'WEAK' END AS status FROM s""")
+def grounded_answer(spark, sf_dir):
+    """Best hit of each query; refused where too few of its terms are supported."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ranked = R.bm25(docs, bench, T.simple_tokens, 1).join(bench.withColumnRenamed("text", "q"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    support = T.containment(T.simple_tokens(F.col("q")), T.simple_tokens(F.col("text")))
+    return ranked.select("item_id", "doc_id", T.fold({"REFUSE": support < 0.34, "SUPPORTED": support >= 0.55}, "WEAK").alias("status"))
