@@ -26,7 +26,7 @@ DIM = 8
 EPOCHS = 6
 RATE = 0.5
 #: Labelled documents that training uses at most; those of smallest hash are taken.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
 #: Share of labelled documents kept back from the descent, on which the score is calibrated.
 CALIBRATE = 4
 
@@ -42,14 +42,15 @@ class Subwords:
         self.scale = (1.0, 0.0)
 
     def train(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> None:
-        """Descend on rows of (buckets, their shares, label), the labels weighted alike."""
+        """Descend on rows of (buckets, their counts, label), the labels weighted alike."""
         rng = np.random.default_rng(seed)
         labels = np.array([y for _, _, y in rows])
         weight = len(rows) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for i in rng.permutation(len(rows)):
-                at, share, y = rows[i]
+                at, count, y = rows[i]
+                share = count / max(1, count.sum())
                 mean = share @ self.vectors[at]
                 z = mean @ self.layer + self.bias
                 p = np.exp(z - z.max())
@@ -68,7 +69,7 @@ class Subwords:
 
     def log_odds(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
         table = self.table()
-        return np.array([share @ table[at] for at, share, _ in rows]) + self.bias[1] - self.bias[0]
+        return np.array([(n @ table[at]) / max(1, n.sum()) for at, n, _ in rows]) + self.bias[1] - self.bias[0]
 
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
         """Fit slope and shift of the log-odds by Newton steps (kept if the rows hold a single label)."""
@@ -113,8 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # chosen has train_docs rows at most
-    got = sorted(sample.mapInArrow(run, f"id {id_type}, y int, at array<int>, n array<int>").toArrow().to_pylist(), key=lambda r: (r["id"], r["at"]))
-    rows = [(np.array(r["at"], dtype=np.int64), np.array(r["n"], dtype=float) / max(1, sum(r["n"])), r["y"]) for r in got]
+    # The lists stay Arrow's flat buffers (two numbers for each feature of a document), read in the order of the ids.
+    got = sample.mapInArrow(run, f"id {id_type}, y int, at array<int>, n array<int>").toArrow().combine_chunks().sort_by("id")
+    at, n = (got.column(k).combine_chunks() for k in ("at", "n"))
+    ends, y = at.offsets.to_numpy(), got.column("y").to_numpy()
+    rows = [(at.values.to_numpy()[a:b], n.values.to_numpy()[a:b], int(label)) for a, b, label in zip(ends, ends[1:], y, strict=False)]
     model = Subwords(bits)
     model.train([r for i, r in enumerate(rows) if i % CALIBRATE])
     model.calibrate(rows[::CALIBRATE])
