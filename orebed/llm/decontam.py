@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebed.llm.kernels import SIGNS, Words, blocks, utf8
+from orebed.llm.kernels import SIGNS, Words, blocks, unused, utf8
 
 #: Words in a seed and in the shortest tile.
 SEED_WORDS = 5
@@ -226,9 +226,9 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: s
     """The rows of docs in which no item leaked, unchanged."""
     small = _collected(bench, item_col, item_text, limit)
     if small is None:
-        key = F.sha2(text_col, 256)
-        bad = leaked(docs.select(key.alias("_key"), text_col), bench, "_key", text_col, item_col, item_text, coverage, limit).select("_key").distinct()
-        return docs.withColumn("_key", key).join(bad, "_key", "left_anti").drop("_key")
+        key, digest = unused(docs, "_key"), F.sha2(text_col, 256)
+        bad = leaked(docs.select(digest.alias(key), text_col), bench, key, text_col, item_col, item_text, coverage, limit).select(key).distinct()
+        return docs.withColumn(key, digest).join(bad, key, "left_anti").drop(key)
     shared = docs.sparkSession.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no column of it in either case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches between rows so that each piece holds about limit text bytes; null texts become empty."""
     for batch in batches:

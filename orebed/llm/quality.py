@@ -44,7 +44,7 @@ class Subwords:
     def train(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> None:
         """Descend on rows of (buckets, their counts, label), the labels weighted alike."""
         rng = np.random.default_rng(seed)
-        labels = np.array([y for _, _, y in rows])
+        labels = np.array([y for _, _, y in rows], dtype=np.int64)
         weight = len(rows) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebed.llm.components import connected_components
-from orebed.llm.kernels import cut_lineage
+from orebed.llm.kernels import cut_lineage, unused
 
 FANOUT = 8
 #: Classes below one upper node that a single task indexes; more are dealt as pairs of chunks.
@@ -207,8 +207,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where that id's row is repeated, one copy stays. Rows without an id can't be named and all stay.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg((F.count("*") > 1).alias("_repeated"))
+    mark = unused(docs, "_repeated")
+    chosen = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg((F.count("*") > 1).alias(mark))
     kept = docs.join(chosen, id_col)
-    once = kept.where("NOT _repeated").drop("_repeated")
-    again = kept.where("_repeated").drop("_repeated").dropDuplicates([id_col])
+    once = kept.where(~F.col(mark)).drop(mark)
+    again = kept.where(F.col(mark)).drop(mark).dropDuplicates([id_col])
     return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

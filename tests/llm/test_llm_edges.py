@@ -1,0 +1,224 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from llm.conftest import frame, prose
+
+from orebed.llm import ann, bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
+from orebed.llm.components import connected_components
+
+VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+
+
+def ids(df, col="doc_id"):
+    return sorted((r[col] for r in df.select(col).collect()), key=str)
+
+
+def test_quality(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0), (4, 1), (4, 0), (5, 1), (6, None), (None, 1), (7, 3)], "doc_id long, quality int")
+    model = quality.fit(odd, labels)
+    assert ids(quality.scored(odd, model)) == ids(odd)
+    kept = quality.kept(odd, model, threshold=0.0)
+    assert kept.columns == odd.columns
+    assert kept.count() == odd.count()
+    untrained = quality.fit(odd, labels.limit(0))
+    assert {r.score for r in quality.scored(odd, untrained).collect()} == {0.5}
+    assert quality.scored(none, model).count() == quality.kept(none, model).count() == 0
+
+
+def test_simhash(spark, odd, none):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert of[1] == of[2] == of[3] == 1
+    assert of[4] == of[5] == 4
+    once = simhash.one_of_each(odd)
+    assert once.columns == odd.columns
+    assert ids(once) == sorted([-9, 1, 4, 6, 7, 8, None, None], key=str)
+    assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == 0
+
+
+def test_simhash_in_small_nodes(spark):
+    """Large upper nodes are dealt in chunks; links must not depend on it."""
+    rng = random.Random(3)
+    seeds = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for s in seeds for _ in range(12)})
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    roots = [{r.vertex: r.root for r in connected_components(simhash.links(table, node_rows=n)).collect()} for n in (20_000, 5)]
+    assert roots[0] == roots[1]
+    parent = {f: f for f in fps}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, f in enumerate(fps):
+        for g in fps[i + 1 :]:
+            if (f ^ g).bit_count() <= 4:
+                parent[find(f)] = find(g)
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
+    signed = {(f - (1 << 64) if f >> 63 else f): find(f) for f in fps}
+    linked = [g for g in groups(signed) if len(g) > 1]
+    assert groups(roots[0]) == linked
+
+
+def test_decontamination(spark, odd, none):
+    a, b = prose(5, 30), prose(6, 12)
+    words = a.split()
+    moved = " ".join(words[15:] + prose(7, 9).split() + words[:15])
+    docs = frame(spark, [(1, f"{prose(8, 40)} {a} {prose(9, 40)}"), (2, moved), (3, prose(10, 500)), (4, f"x {b.upper()}, y"), (5, None), (6, ""), (2, moved), (None, a), (7, " ".join(words[:14]))])
+    bench = spark.createDataFrame([(10, a), (11, b), (12, None), (13, ""), (14, "too short"), (10, a)], "item_id long, text string")
+    for limit in (decontam.BROADCAST_WORDS, 1):
+        got = decontam.leaked(docs, bench, limit=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 10), (2, 10), (4, 11), (None, 10)}
+        assert {r.n_tiles for r in got if r.doc_id == 2} == {2}
+        assert len(got) == 9
+        clean = decontam.clean(docs, bench, limit=limit)
+        assert clean.columns == docs.columns
+        assert ids(clean) == ids(frame(spark, [(3,), (5,), (6,), (7,)], "doc_id long"))
+    assert decontam.leaked(odd, bench).count() == decontam.leaked(none, bench).count() == 0
+    assert decontam.clean(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_tiles_are_disjoint_and_long():
+    rng = random.Random(2)
+    for _ in range(50):
+        doc, item = ([rng.randint(0, 3) for _ in range(60)] for _ in range(2))
+        seen_d, seen_i = set(), set()
+        for i, j, k in decontam.tiles(doc, item):
+            assert k >= 5
+            assert doc[i : i + k] == item[j : j + k]
+            assert not seen_d & set(range(i, i + k)) and not seen_i & set(range(j, j + k))
+            seen_d |= set(range(i, i + k))
+            seen_i |= set(range(j, j + k))
+
+
+def test_pii(odd, none):
+    rows = {r.doc_id: r for r in pii.found(odd).collect() if r.doc_id is not None}
+    assert rows[-9].spans.startswith("email:11:26")
+    assert rows[1].base_sha256 == rows[2].base_sha256 == EMPTY_SHA
+    assert rows[8].n_card == 0
+    clean = {r.doc_id: r.text for r in pii.redacted(odd).collect()}
+    assert clean[-9] == "mail me at <email> now"
+    assert clean[1] is None
+    assert pii.found(none).count() == pii.redacted(none).count() == 0
+
+
+def test_pii_finds_looser_shapes():
+    spans = pii.trained().spans
+    text = "write to anna.berg (at) example (dot) com or call: (030) 555-0199"
+    assert {text[s:e] for _, s, e in spans(text)} == {"anna.berg (at) example (dot) com", "(030) 555-0199"}
+    assert spans("order 2024-05-17 and page 12.34.56, version 1.2") == []
+
+
+@pytest.mark.parametrize("text", ["", "a", prose(1, 3000), "x" * 9000, "7" * 9000, "世界" * 3000, " \n" * 4000, "don't can't " * 900, "\U0001f600" * 2000, "ab'" * 3000, "=-" * 5000])
+@pytest.mark.parametrize("leaf", [1, 7, 1024])
+def test_bpe_does_not_depend_on_leaves(text, leaf):
+    import tiktoken
+
+    ranks = bpe.read_ranks(VOCAB)
+    codec = _codec(ranks, leaf)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text) if leaf == 1 else _codec(ranks, 1 << 30).encode(text)
+    got = codec.encode(text if leaf > 1 else text[:1500])
+    assert got == (plain if leaf > 1 else _codec(ranks, 1 << 30).encode(text[:1500]))
+    assert codec.decode(plain) == text.encode()
+
+
+_CODECS = {}
+
+
+def _codec(ranks, leaf):
+    if leaf not in _CODECS:
+        _CODECS[leaf] = bpe.Codec(ranks, public_tokenizers.PATTERN, leaf)
+    return _CODECS[leaf]
+
+
+def test_bpe_table(odd, none):
+    out = bpe.encoded(odd, VOCAB, public_tokenizers.PATTERN, with_ids=True)
+    got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
+    assert got[1].n_tokens == got[2].n_tokens == 0
+    assert got[1].ids_sha256 == EMPTY_SHA
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decoded(out.select("doc_id", "ids"), VOCAB).collect() if r.doc_id is not None}
+    assert back == {i: t.encode() for i, t in texts.items() if i is not None}
+    assert out.count() == odd.count()
+    assert bpe.encoded(none, VOCAB, public_tokenizers.PATTERN).count() == 0
+
+
+def test_language(spark, odd, none):
+    model = langid.fit(odd)
+    assert {r.lang_pred for r in langid.predicted(odd, model).collect()} == {"und"}
+    known = spark.createDataFrame([(i, t, g) for i in range(6) for t, g in ((f"the quick brown fox {i} jumps over the lazy dog", "en"), (f"der schnelle braune fuchs {i} springt weit", "de"))], "doc_id long, text string, lang string")
+    model = langid.fit(known)
+    got = {r.doc_id: r for r in langid.predicted(frame(spark, [(1, "the lazy fox"), (2, "der braune fuchs"), (3, None), (4, "123 !"), (5, "")]), model).collect()}
+    assert [got[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert langid.predicted(none, model).count() == 0
+    assert ids(langid.predicted(odd, model)) == ids(odd)
+
+
+def test_secrets(spark, odd, none):
+    ratios = secrets.transition_ratios(secrets.samples(spark))
+    rows = {r.doc_id: r for r in secrets.found(odd, ratios).collect() if r.doc_id is not None}
+    assert rows[8].n_hex == 1
+    assert rows[1].spans == rows[2].spans == ""
+    assert secrets.found(none, ratios).count() == 0
+    mixed = frame(spark, [(1, "\U0001f600 key qX7z9LmP2vR8tK4wB6nYcD3h end"), (2, "see get_user_config_value_2024 there"), (3, "Secret: 'abc' token=abcdef")])
+    got = {r.doc_id: r.spans for r in secrets.found(mixed, ratios).collect()}
+    assert got == {1: "random:6:30", 2: "", 3: "assign:14:26"}
+
+
+def test_sharding(spark, odd, none):
+    table = sharding.lookup_table(spark, ["a", "b", "c"], 31)
+    rows = table.collect()
+    assert sorted(r.slot for r in rows) == list(range(31))
+    counts = [sum(r.shard == s for r in rows) for s in "abc"]
+    assert max(counts) - min(counts) <= 1
+    out = sharding.placed(odd, table, "doc_id", 31)
+    assert out.count() == odd.count()
+    assert len({(r.slot, r.shard) for r in out.where("doc_id = 6").collect()}) == 1
+    assert sharding.placed(none, table, "doc_id", 31).count() == 0
+    for bad in (([], 31), (["a", "a"], 31), (["a"], 30)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(spark, *bad)
+
+
+def test_sharding_moves_little(spark):
+    names = sharding.shard_names(8)
+    owner = [{r.slot: r.shard for r in sharding.lookup_table(spark, n, 809).collect()} for n in (names, names[:-1])]
+    moved = sum(owner[0][s] != owner[1][s] and owner[0][s] != names[-1] for s in owner[0])
+    assert moved < 0.15 * 809
+
+
+def test_neighbours(spark):
+    nan = float("nan")
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((60, 8)))]
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (150, rows[0][1]), (None, rows[1][1]), (102, None), (103, [0.0] * 8), (104, [nan] * 8), (105, [1.0, None] * 4), (106, [1.0, 2.0]), (107, []), (0, rows[0][1])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = ann.neighbours(table, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    by = {q: [(r.vec_id, r.score) for r in got if r.query_id == q] for q in (0, 50, 100, 150)}
+    assert all(len(v) == 5 for v in by.values())
+    assert [i for i, _ in by[0][:3]] == [100, 101, 150]
+    assert [i for i, _ in by[100][:3]] == [0, 101, 150]
+    assert {i for v in by.values() for i, _ in v}.isdisjoint({102, 103, 104, 105, 106, 107, None})
+    assert ann.neighbours(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_passages(spark, odd, none):
+    shared = prose(20, 80)
+    swapped = shared.split()
+    swapped[40] = "changed"
+    docs = frame(spark, [(i, f"{prose(30 + i, 100)} {shared if i % 2 else ' '.join(swapped)} {prose(60 + i, 100)}") for i in range(1, 7)] + [(7, prose(90, 300)), (8, prose(90, 300)), (9, prose(91, 300)), (None, shared), (10, None), (11, ""), (12, " ".join(shared.split()[:30]))])
+    got = passages.repeated_passages(docs).collect()
+    found = {r.doc_id for r in got} | {r.other_doc_id for r in got}
+    assert found == set(range(1, 9))
+    assert passages.repeated_passages(none).count() == 0
+    assert {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(odd).collect()} == {(5, 4)}
