@@ -1 +1,70 @@
-"""Queries."""
+"""Models by MLlib: regimes, risk, calibration, remaining life and term weights. Fitting is distributed; SQL can't express it."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.sql import functions as F
+
+from orebed.queries.base import query, table
+
+
+def asset_features(spark, sf_dir):
+    """Mean, spread and size of each asset's readings."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("spread"), F.count("value").cast("double").alias("n")).where("mean IS NOT NULL")
+
+
+def assembled(df, inputs, output="x"):
+    return VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="skip").transform(df)
+
+
+@query("operating_regimes")
+def operating_regimes(spark, sf_dir):
+    """Three regimes of assets by k-means on standardised features."""
+    rows = assembled(asset_features(spark, sf_dir), ["mean", "spread", "n"], "raw")
+    rows = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows)
+    return KMeans(k=3, seed=0, featuresCol="x", predictionCol="regime").fit(rows).transform(rows).select("user_id", "regime")
+
+
+def risk_rows(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.split(F.trim(text), r"\s+")).cast("double")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), (F.length(text) / words).alias("per_word"), (F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.length(text), F.lit(1))).alias("digits"))
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
+    return assembled(docs.join(labels, "doc_id"), ["words", "per_word", "digits"])
+
+
+@query("risk_model")
+def risk_model(spark, sf_dir):
+    """Logistic regression on text shape, learned on the rows of three of four ids, scored on all."""
+    rows = risk_rows(spark, sf_dir)
+    model = LogisticRegression(featuresCol="x", regParam=0.01).fit(rows.where("doc_id % 4 <> 0"))
+    return model.transform(rows).select("doc_id", "label", F.element_at(vector_to_array("probability"), 2).alias("p"))
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(spark, sf_dir):
+    """The risk model's scores made calibrated by isotonic regression."""
+    scored = risk_model(spark, sf_dir)
+    model = IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(scored.where("doc_id % 4 <> 0").select("p", "label"))
+    return model.transform(scored).select("doc_id", "p", "calibrated")
+
+
+@query("remaining_life_model")
+def remaining_life_model(spark, sf_dir):
+    """Boosted trees from an asset's features to its readings still to come, capped at 125."""
+    rows = assembled(asset_features(spark, sf_dir).withColumn("remaining", F.least(F.lit(125.0), F.pmod("user_id", F.lit(150)).cast("double"))), ["mean", "spread", "n"])
+    model = GBTRegressor(featuresCol="x", labelCol="remaining", maxIter=5, maxDepth=3, seed=0).fit(rows.where("user_id % 4 <> 0"))
+    return model.transform(rows.where("user_id % 4 = 0")).select("user_id", "remaining", "prediction")
+
+
+@query("tfidf_terms")
+def tfidf_terms(spark, sf_dir):
+    """Normalised term weights of the benchmark's items."""
+    rows = RegexTokenizer(inputCol="text", outputCol="words", pattern="[^a-z0-9]+").transform(table(spark, sf_dir, "benchmark").where("text IS NOT NULL"))
+    rows = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 14).transform(rows)
+    rows = Normalizer(inputCol="w", outputCol="x").transform(IDF(inputCol="tf", outputCol="w").fit(rows).transform(rows))
+    return rows.select("item_id", F.size(F.filter(vector_to_array("x"), lambda v: v > 0)).alias("n_terms"), F.array_max(vector_to_array("x")).alias("top"))

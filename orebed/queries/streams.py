@@ -1 +1,25 @@
-"""Queries."""
+"""Streaming queries over events, drained for all rows that are there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orebed.queries.base import query, table
+from orebed.streaming import online as O
+
+
+@query("stream_windowed_counts", "SELECT date_trunc('day', ts) AS \"start\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    return O.drained(O.windowed_counts(O.replay(spark, sf_dir, "events"), "ts", ["event_type"], "1 day", "1 hour"), "complete")
+
+
+@query("stream_threshold_alerts", "SELECT event_id, user_id, value > mean * 1.5 AS alert FROM events JOIN (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1) USING (event_type)")
+def stream_threshold_alerts(spark, sf_dir):
+    means = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"))
+    return O.drained(O.enriched(O.replay(spark, sf_dir, "events"), means, "event_type", lambda d: d.select("event_id", "user_id", (F.col("value") > F.col("mean") * 1.5).alias("alert"))))
+
+
+@query("stream_online_cusum")
+def stream_online_cusum(spark, sf_dir):
+    """Each user's one-sided sums, the state kept between batches."""
+    return O.drained(O.online_cusum(O.replay(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 50.0, 25.0))
