@@ -26,6 +26,7 @@ def spark() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.local.dir", home)
         .config("spark.sql.warehouse.dir", f"{home}/warehouse")
