@@ -222,3 +222,20 @@ def test_passages(spark, odd, none):
     assert found == set(range(1, 9))
     assert passages.repeated_passages(none).count() == 0
     assert {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(odd).collect()} == {(5, 4)}
+
+
+def test_passages_with_words_put_in_or_left_out(spark):
+    """Near copies of 50 words, one word put in, left out or changed anywhere, in unlike contexts: similarity is 0.8 or more by count."""
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        words = prose(1000 + i, 50).split()
+        at = rng.randint(5, 45)
+        copy = (words[:at] + ["zzzzzzzzz"] + words[at:], words[:at] + words[at + 1 :] + ["zzzzzzzzz"], words[:at] + ["zzzzzzzzz"] + words[at + 1 :])[i % 3]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, copy))
+        if len(x & y) >= 0.8 * len(x | y):
+            rows += [(2 * i, f"{prose(2000 + i, 120)} {' '.join(words)} {prose(3000 + i, 120)}"), (2 * i + 1, f"{prose(4000 + i, 120)} {' '.join(copy)} {prose(5000 + i, 120)}")]
+    assert len(rows) >= 160
+    got = {frozenset((r.doc_id, r.other_doc_id)) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    want = {frozenset((k, k + 1)) for k, _ in rows[::2]}
+    assert got <= want
+    assert len(got) >= 0.97 * len(want)
