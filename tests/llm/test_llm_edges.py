@@ -224,6 +224,17 @@ def test_passages(spark, odd, none):
     assert {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(odd).collect()} == {(5, 4)}
 
 
+def test_passages_of_three_versions(spark):
+    """An altered copy, whichever of its group comes first, must not part two texts that hold the passage alike."""
+    rows = []
+    for i in range(60):
+        words = prose(1000 + i, 50).split()
+        altered = [w if k not in (16, 33) else "zzzzzzzzz" for k, w in enumerate(words)]
+        rows += [(3 * i + k, f"{prose(2000 + 3 * i + k, 120)} {' '.join(w)} {prose(4000 + 3 * i + k, 120)}") for k, w in enumerate((altered, words, words))]
+    got = {frozenset((r.doc_id, r.other_doc_id)) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {frozenset((3 * i + 1, 3 * i + 2)) for i in range(60)}
+
+
 def test_passages_with_words_put_in_or_left_out(spark):
     """Near copies of 50 words, one word put in, left out or changed anywhere, in unlike contexts: similarity is 0.8 or more by count."""
     rng, rows = random.Random(5), []
