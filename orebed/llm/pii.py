@@ -42,7 +42,6 @@ GENERATORS = (
 )
 #: Text pieces of which one must occur (lower-cased) before a mail address without @ is looked for.
 SPELLED = ("(at)", "[at]", "{at}", " at ")
-SPELLED_DOT = ("(dot)", "[dot]", "{dot}", " dot ")
 
 # Words that hint at a kind, or against all.
 CUES = {
@@ -105,7 +104,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Generous spans of every kind; they may overlap."""
     out = []
     low = text.lower()
-    if "@" in text or any(s in low for s in SPELLED_DOT) and any(s in low for s in SPELLED):
+    if "@" in text or any(s in low for s in SPELLED):
         out += [("email", m.start(), m.end()) for m in GENERATORS[0][1].finditer(text)]
     if DIGIT.search(text):
         for kind, pattern in GENERATORS[1:]:

@@ -119,6 +119,13 @@ def test_pii_finds_looser_shapes():
     assert spans("order 2024-05-17 and page 12.34.56, version 1.2") == []
 
 
+@pytest.mark.parametrize("address", ["anna.berg (at) salmon.com", "monti[at]revo.org"])
+def test_pii_finds_a_bracketed_at_with_a_plain_dot(address):
+    text = f"write to {address} today"
+    assert ("email", 9, 9 + len(address)) in pii.candidates(text)
+    assert address in {text[s:e] for _, s, e in pii.trained().spans(text)}
+
+
 @pytest.mark.parametrize("text", ["", "a", prose(1, 3000), "x" * 9000, "7" * 9000, "世界" * 3000, " \n" * 4000, "don't can't " * 900, "\U0001f600" * 2000, "ab'" * 3000, "=-" * 5000])
 @pytest.mark.parametrize("leaf", [1, 7, 1024])
 def test_bpe_does_not_depend_on_leaves(text, leaf):
