@@ -225,10 +225,9 @@ def test_passages(spark, odd, none):
     swapped[40] = "changed"
     docs = frame(spark, [(i, f"{prose(30 + i, 100)} {shared if i % 2 else ' '.join(swapped)} {prose(60 + i, 100)}") for i in range(1, 7)] + [(7, prose(90, 300)), (8, prose(90, 300)), (9, prose(91, 300)), (None, shared), (10, None), (11, ""), (12, " ".join(shared.split()[:30]))])
     got = passages.repeated_passages(docs).collect()
-    found = {r.doc_id for r in got} | {r.other_doc_id for r in got}
-    assert found == set(range(1, 9))
+    assert {r.doc_id for r in got} == {r.other_doc_id for r in got} == set(range(1, 9))
     assert passages.repeated_passages(none).count() == 0
-    assert {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(odd).collect()} == {(5, 4)}
+    assert {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(odd).collect()} == {(4, 5), (5, 4)}
 
 
 def test_passages_of_three_versions(spark):
@@ -242,6 +241,25 @@ def test_passages_of_three_versions(spark):
     assert got == {frozenset((3 * i + 1, 3 * i + 2)) for i in range(60)}
 
 
+def test_passages_behind_a_common_line(spark):
+    """Hundreds of texts hold one line of 45 words, so that all meet under its keys; pairs of them go on alike after it, and only those are linked."""
+    line, rows = prose(77, 45), []
+    for i in range(150):
+        tail = prose(9000 + i, 8)
+        rows += [(2 * i + k, f"{prose(7000 + 2 * i + k, 90)} {line} {tail} {prose(5000 + 2 * i + k, 90)}") for k in range(2)]
+    got = {frozenset((r.doc_id, r.other_doc_id)) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    root = {i: i for i in range(300)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(2 * i) == find(2 * i + 1) for i in range(150))
+
+
 def test_passages_with_words_put_in_or_left_out(spark):
     """Near copies of 50 words, one word put in, left out or changed anywhere, in unlike contexts: similarity is 0.8 or more by count."""
     rng, rows = random.Random(5), []

@@ -204,11 +204,21 @@ def test_passages_cover_exact_repeats(spark, sf_dir, docs):
     words = {i: plain_words(t) for i, t in docs.items()}
     at = defaultdict(set)
     for i, w in words.items():
-        for n in range(len(w) - 59):
-            at[tuple(w[n : n + 60])].add(i)
-    shared = set().union(*(s for s in at.values() if len(s) > 1))
+        for n in range(len(w) - 49):
+            at[tuple(w[n : n + 50])].add(i)
+    groups = [s for s in at.values() if len(s) > 1]
     got = rows_of(spark, sf_dir, "op8_repeated_passages")
-    assert shared <= {r.doc_id for r in got} | {r.other_doc_id for r in got}
+    assert set().union(*groups) <= {r.doc_id for r in got}
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        root[find(r.doc_id)] = find(r.other_doc_id)
+    assert all(len({find(i) for i in s}) == 1 for s in groups)
     for r in got:
         a, b = (words[i][s : s + n] for i, s, n in ((r.doc_id, r.first_word, r.n_words), (r.other_doc_id, r.other_first_word, r.other_n_words)))
         x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
