@@ -1,14 +1,16 @@
 """Secrets: patterns, and two character Markov models compared by log-likelihood ratio.
 
-Everything here is DataFrame expressions. Base patterns give spans that always count. Beside them, each long token that has a
-digit is scored by two first-order Markov models over ASCII characters, one of random
-strings and one of ordinary identifiers; both are counted by Spark from labelled samples.
+Everything here is DataFrame expressions. Base patterns give spans that always count. Beside them, each long token
+is scored by two first-order Markov models over ASCII characters, one of random
+strings and one of ordinary identifiers and words; both are counted by Spark from labelled samples.
 A token's log-likelihood ratio is the sum of its transitions' table entries (in
 thousandths, as integers, so that sums are exact); ratios above the threshold make a span of kind `random`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ SAMPLES = 4000
 #: A token counts as random from this many thousandths of a nat per transition on.
 THRESHOLD = 300
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Elements whose results one inner array gathers; array functions copy what they append to.
+BLOCK = 512
 
-# Parts of ordinary identifiers.
+# Parts of ordinary identifiers, chosen here.
 PARTS = (
     "get set user name id index list map file path read write open close data value key item count size type string number config option test case "
     "module class object field table column row query result error code message request response client server host port session cache buffer "
@@ -39,25 +43,35 @@ PARTS = (
 
 
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(token, label): n random strings (label 1: hex, base64 and base62 digests) and n identifiers (label 0: parts with numbers)."""
+    """(token, label): n random strings (label 1: hex, base64, base62 and letters alone) and n identifiers and words (label 0: parts with and without numbers)."""
     h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(h))
     k = F.col("id")
     size = (24 + k % 17).cast("int")
-    rand = F.when(k % 4 == 0, F.substring(h, F.lit(1), size)).when(k % 4 == 1, F.substring(F.upper(h), F.lit(1), size)).when(k % 4 == 2, F.substring(b64, F.lit(1), size)).otherwise(F.substring(F.translate(b64, "+/=", "xQ7"), F.lit(1), size))
+    letters = F.translate(b64, "+/=0123456789", "xQzKjWvGpYbHf")
+    rand = (
+        F.when(k % 6 == 0, h)
+        .when(k % 6 == 1, F.upper(h))
+        .when(k % 6 == 2, b64)
+        .when(k % 6 == 3, F.translate(b64, "+/=", "xQ7"))
+        .when(k % 6 == 4, letters)
+        .otherwise(F.lower(letters))
+    )
     parts = F.array(*[F.lit(p) for p in PARTS])
     part = lambda j: F.element_at(parts, (1 + F.pmod(k * (7919 + 2 * j) + 104729 * j + F.floor(k / len(PARTS)) * (31 + j), F.lit(len(PARTS)))).cast("int"))
     number = ((k * 37) % 10000).cast("string")
     words = [part(j) for j in range(5)]
     named = (
-        F.when(k % 5 == 0, F.concat_ws("_", *words[:4], number))
-        .when(k % 5 == 1, F.concat(words[0], *[F.initcap(w) for w in words[1:4]], number))
-        .when(k % 5 == 2, F.concat_ws("-", F.lit("2024"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), *words[:4]))
-        .when(k % 5 == 3, F.concat_ws("/", words[0], words[1], number, F.concat(words[2], words[3])))
-        .otherwise(F.concat_ws("_", *[F.upper(w) for w in words[:4]], number))
+        F.when(k % 7 == 0, F.concat_ws("_", *words[:4], number))
+        .when(k % 7 == 1, F.concat(words[0], *[F.initcap(w) for w in words[1:4]], number))
+        .when(k % 7 == 2, F.concat_ws("-", F.lit("2024"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), *words[:4]))
+        .when(k % 7 == 3, F.concat_ws("/", words[0], words[1], number, F.concat(words[2], words[3])))
+        .when(k % 7 == 4, F.concat_ws("_", *[F.upper(w) for w in words[:4]], number))
+        .when(k % 7 == 5, F.concat(*words))
+        .otherwise(F.concat_ws("-", *words))
     )
     base = spark.range(n)
-    return base.select(rand.alias("token"), F.lit(1).alias("label")).unionAll(base.select(named.alias("token"), F.lit(0).alias("label")))
+    return base.select(F.substring(rand, F.lit(1), size).alias("token"), F.lit(1).alias("label")).unionAll(base.select(named.alias("token"), F.lit(0).alias("label")))
 
 
 def transition_ratios(labelled: DataFrame) -> list[int]:
@@ -77,22 +91,60 @@ def transition_ratios(labelled: DataFrame) -> list[int]:
     return out
 
 
-def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points, whose group has at least least characters.
+def _each(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Spans that step gives on its way over items: step(state, item) is (next state, whether there is a span, the span).
+
+    Items are taken in blocks, whose spans are joined at last; one growing array would be copied for each of them.
+    """
+    none = F.array().cast(SPAN)
+
+    def one(acc: Column, item: Column) -> Column:
+        after, there, span = step(acc["s"], item)
+        return F.struct(after.alias("s"), F.when(there, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+
+    def block(all_: Column, acc: Column, b: Column) -> Column:
+        part = F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))
+        return F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), one, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).cast(f"array<{SPAN}>").alias("out")))
+
+    def run(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        start = F.struct(state.alias("s"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.when(F.size(all_) > 0, F.aggregate(blocks, start, lambda acc, b: block(all_, acc, b), lambda r: F.flatten(r["out"]))).otherwise(none)
+
+    return F.get(F.transform(F.array(items), run), F.lit(0))  # one element: the items are made once
+
+
+def matches(text: Column, pattern: str, kind: int, group: int, keep: Callable[[Column], Column]) -> Column:
+    """Spans of the leftmost non-overlapping matches, in code points, whose group keep accepts.
 
     Splitting the text by the pattern gives what stands between matches, so lengths add up to positions.
     """
     parts = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-    none = F.array().cast(SPAN)
 
-    def step(s: Column, e: Column) -> Column:
-        start = s["at"] + F.length(e["0"])
+    def step(at: Column, e: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(e["0"])
         end = start + F.length(e["1"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, s["at"]).alias("at"), F.when(F.length(e["2"]) >= least, F.concat(s["out"], one)).otherwise(s["out"]).cast(SPAN).alias("out"))
+        return F.coalesce(end, at), keep(e["2"]), F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+
+    return F.when(text.rlike(pattern), _each(parts, F.lit(0), step)).otherwise(F.array().cast(SPAN))
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """spans (disjoint) that overlap none of base, in one pass over both by start."""
+    last = F.struct(F.lit(2**31 - 1).alias("start"), F.lit(len(KINDS)).alias("kind"), F.lit(2**31 - 1).alias("end"))  # lets the last span out
+    items = F.array_sort(F.concat(base, spans, F.array(last)).cast(SPAN))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def step(s: Column, x: Column) -> tuple[Column, Column, Column]:
+        mine = x["kind"] >= len(KINDS) - 1
+        waits = s["end"] > 0
+        drop = ~mine & waits & (x["start"] < s["end"])
+        free = mine & (x["start"] >= s["reach"])
+        take = lambda new, old: F.when(free, new).when(mine | drop, F.lit(0)).otherwise(old)
+        after = F.struct(F.when(mine, s["reach"]).otherwise(F.greatest(s["reach"], x["end"])).alias("reach"), take(x["start"], s["start"]).alias("start"), take(x["end"], s["end"]).alias("end"))
+        return after, mine & waits, F.struct(s["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), s["end"].alias("end"))
+
+    zero = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return F.when(F.size(spans) > 0, _each(items, zero, step)).otherwise(F.array().cast(SPAN))
 
 
 def joined(spans: Column) -> Column:
@@ -102,21 +154,32 @@ def joined(spans: Column) -> Column:
 
 
 def found(docs: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every whole text; a null text counts as empty.
+    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every whole text.
 
-    One pass without joins or shuffles; the ratio table (of fixed size) is a literal of the plan.
+    A null text counts as empty, without spans. Each row gives one row, repeated rows and null ids too; an empty table gives none.
+    Spans of different kinds may overlap, and those of one start stand in the kinds' order; a random token that touches a base span
+    is left out. Other columns are not read. One pass without joins or shuffles; the ratio table (of fixed size) is a literal of the plan.
+    Texts, tokens and matches may be long: each is gone over once.
     """
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
-    code = lambda token, i: F.ascii(F.substring(token, i, F.lit(1)))
-    ratio = lambda token: F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0), lambda acc, i: acc + F.get(table, code(token, i - 1) * 128 + code(token, i)))
+
+    def ratio(token: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            code = F.ascii(c)
+            return F.struct(code.alias("code"), F.when(s["code"] < 0, F.lit(0)).otherwise(s["sum"] + F.get(table, s["code"] * 128 + code)).alias("sum"))
+
+        return F.aggregate(F.split(token, ""), F.struct(F.lit(-1).alias("code"), F.lit(0).alias("sum")), step, lambda s: s["sum"])
+
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_text"))
-    rows = rows.select(id_col, "_text", *[matches(F.col("_text"), p, KINDS.index(k), g, least).alias(k) for k, p, g, least in PATTERNS], matches(F.col("_text"), TOKEN, 3, 0, 20).alias("_tokens"))
-    rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("_tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    token = lambda t: F.substring(F.col("_text"), t["start"] + 1, t["end"] - t["start"])
-    random = F.filter(free, lambda t: token(t).rlike("[0-9]") & (ratio(token(t)) >= threshold * (t["end"] - t["start"] - 1)))
-    return rows.select(id_col, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", random)).alias("spans"))
+    long_enough = lambda least: lambda group: F.length(group) >= least
+    rows = rows.select(
+        id_col,
+        *[matches(F.col("_text"), p, KINDS.index(k), g, long_enough(least)).alias(k) for k, p, g, least in PATTERNS],
+        matches(F.col("_text"), TOKEN, 3, 0, lambda t: ratio(t) >= threshold * (F.length(t) - 1)).alias("_random"),
+    )
+    base = F.concat("assign", "access", "hex")
+    return rows.select(id_col, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, apart(F.col("_random"), base))).alias("spans"))
 
 
 def _sql_matches(pattern: str, kind: int, group: int, least: int) -> str:
@@ -139,13 +202,16 @@ def oracle_sql(n: int = SAMPLES, threshold: int = THRESHOLD) -> str:
 WITH ids AS (SELECT range::BIGINT AS k, sha256('sample' || range) AS h FROM range({n})),
 b AS (SELECT k, h, base64(unhex(h)) AS b64, (24 + k % 17)::INT AS size, ((k * 37) % 10000)::VARCHAR AS number, {', '.join(f'{part(j)} AS w{j}' for j in range(5))} FROM ids),
 labelled AS (
-  SELECT CASE k % 4 WHEN 0 THEN substr(h, 1, size) WHEN 1 THEN substr(upper(h), 1, size) WHEN 2 THEN substr(b64, 1, size) ELSE substr(translate(b64, '+/=', 'xQ7'), 1, size) END AS token, 1 AS label FROM b
+  SELECT substr(CASE k % 6 WHEN 0 THEN h WHEN 1 THEN upper(h) WHEN 2 THEN b64 WHEN 3 THEN translate(b64, '+/=', 'xQ7')
+    WHEN 4 THEN translate(b64, '+/=0123456789', 'xQzKjWvGpYbHf') ELSE lower(translate(b64, '+/=0123456789', 'xQzKjWvGpYbHf')) END, 1, size) AS token, 1 AS label FROM b
   UNION ALL
-  SELECT CASE k % 5 WHEN 0 THEN concat_ws('_', w0, w1, w2, w3, number)
+  SELECT CASE k % 7 WHEN 0 THEN concat_ws('_', w0, w1, w2, w3, number)
     WHEN 1 THEN w0 || {title('w1')} || {title('w2')} || {title('w3')} || number
     WHEN 2 THEN concat_ws('-', '2024', lpad((k % 12 + 1)::VARCHAR, 2, '0'), w0, w1, w2, w3)
     WHEN 3 THEN concat_ws('/', w0, w1, number, w2 || w3)
-    ELSE concat_ws('_', upper(w0), upper(w1), upper(w2), upper(w3), number) END, 0 FROM b),
+    WHEN 4 THEN concat_ws('_', upper(w0), upper(w1), upper(w2), upper(w3), number)
+    WHEN 5 THEN w0 || w1 || w2 || w3 || w4
+    ELSE concat_ws('-', w0, w1, w2, w3, w4) END, 0 FROM b),
 pairs AS (SELECT label, ascii(token[i - 1]) AS a, ascii(token[i]) AS c FROM (SELECT label, token, unnest(range(2, length(token) + 1)) AS i FROM labelled)),
 counts AS (SELECT a, c, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM pairs GROUP BY a, c),
 totals AS (SELECT a, sum(n0) AS t0, sum(n1) AS t1 FROM counts GROUP BY a),
@@ -155,6 +221,6 @@ ratios AS (SELECT list(round(1000 * (ln((coalesce(n1, 0) + 1.0::DOUBLE) / (coale
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, t, {', '.join(f'{_sql_matches(p, KINDS.index(k), g, least)} AS {k}' for k, p, g, least in PATTERNS)}, {_sql_matches(TOKEN, 3, 0, 20)} AS tokens FROM d),
 u AS (SELECT *, list_concat(list_concat(assign, access), hex) AS base FROM m),
-f AS (SELECT *, list_filter(tokens, lambda s: len(list_filter(base, lambda x: x.start < s.end AND s.start < x.end)) = 0 AND regexp_matches(substr(t, s.start + 1, s.end - s.start), '[0-9]')
+f AS (SELECT *, list_filter(tokens, lambda s: len(list_filter(base, lambda x: x.start < s.end AND s.start < x.end)) = 0
   AND list_sum(list_transform(range(2, s.end - s.start + 1), lambda i: r[(ascii(substr(t, s.start + i - 1, 1)) * 128 + ascii(substr(t, s.start + i, 1)) + 1)::INT])) >= {threshold} * (s.end - s.start - 1)) AS extra FROM u, ratios)
 SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, sha256({text('base')}) AS base_sha256, {text('list_concat(base, extra)')} AS spans FROM f"""
