@@ -39,15 +39,37 @@ def row_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return sums[np.maximum(last, np.minimum(first, len(values)))] - sums[np.minimum(first, len(values))]
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a block of UTF-8 texts, and the offsets of its rows in them (bytes that are no UTF-8 stand for themselves)."""
+    if not len(raw) or raw.max() < 128:
+        return raw, offsets
+    firsts = (raw & 0xC0) != 0x80
+    codes = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) != firsts.sum():
+        return raw, offsets
+    return codes, np.concatenate([[0], np.cumsum(firsts)])[offsets]
+
+
+def char_grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n characters from each position; positions less than n from the end are left out."""
+    if len(codes) < n:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - n + 1 + j].astype(np.uint64)
+    return out
+
+
 def features(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(slots, first, last) for byte n-grams of each order, for words and for how words follow each other; first and last delimit each row.
+    """(slots, first, last) for character n-grams of each order (across word borders), for words and for word shapes; first and last delimit each row.
 
-    The last kind joins what a word's borders and the byte before it look like with whether the word stood among the four before it.
+    A word's shape is what its borders and the byte before it look like, and whether it stood among the four words before it: a word's
+    n-grams can't show that it repeats, as an average has no order.
     """
     out = []
+    codes, at = characters(raw, offsets)
     for k, n in enumerate(orders):
-        at = slots(byte_grams(raw, n), k, bits)
-        out.append((at, offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])))
+        out.append((slots(char_grams(codes, n), k, bits), at[:-1], np.maximum(at[1:] - n + 1, at[:-1])))
     words = Words(raw, offsets)
     again = np.zeros(len(words.hash), dtype=bool)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
@@ -55,6 +77,6 @@ def features(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits
         again[d:] |= (words.hash[d:] == words.hash[:-d]) & (row[d:] == row[:-d])
     before = np.zeros(len(words.hash), dtype=np.uint64)
     before[1:] = np.where(row[1:] == row[:-1], _KIND[raw[words.end[:-1] - 1]], np.uint64(0))
-    flow = ((before * np.uint64(8) + _KIND[raw[words.start]]) * np.uint64(8) + _KIND[raw[words.end - 1]]) * np.uint64(2) + again
+    shape = ((before * np.uint64(8) + _KIND[raw[words.start]]) * np.uint64(8) + _KIND[raw[words.end - 1]]) * np.uint64(2) + again
     out.append((slots(words.hash, len(orders), bits), words.first[:-1], words.first[1:]))
-    return [*out, (slots(flow, len(orders) + 1, bits), words.first[:-1], words.first[1:])]
+    return [*out, (slots(shape, len(orders) + 1, bits), words.first[:-1], words.first[1:])]

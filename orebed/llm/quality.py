@@ -1,16 +1,17 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors, one for each hashed word and each hashed
-n-gram of its UTF-8 bytes (across word borders, so that the shape of text counts too); a
+A document is the average of learned vectors, one for each hashed word, each hashed word shape and each hashed
+n-gram of its characters (across word borders, so that the shape of text counts too); a
 linear layer with softmax tells the labels apart. Vectors and layer are trained together by
-stochastic gradient descent in numpy, on a bounded sample of the labelled rows. As average
-and layer are linear, a trained bucket's vector acts through one number per label,
+stochastic gradient descent in numpy, on a bounded sample of the labelled rows and by an executor, which
+hands over a table of fixed size. As average and layer are linear, a trained bucket's vector acts through one number per label,
 so scoring sums one table entry per n-gram.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ EPOCHS = 6
 RATE = 0.5
 #: Labelled documents that training uses at most; those of smallest hash are taken.
 TRAIN_DOCS = 3000
+#: Feature counts (8 bytes each) that training holds at most; the documents of largest hash are left out beyond it.
+TRAIN_COUNTS = 24_000_000
 #: Share of labelled documents kept back from the descent, on which the score is calibrated.
 CALIBRATE = 4
 
@@ -99,49 +102,71 @@ def bags(batches: Iterator[pa.RecordBatch], text_col: str, orders: tuple[int, ..
             yield batch, i, at, counts[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> Subwords:
-    """Train on at most train_docs labelled documents; executors count their features, the driver gets those alone.
+class Fitted(NamedTuple):
+    """What scoring needs: each bucket's part in the log-odds, their bias, slope and shift of the calibration."""
+
+    table: np.ndarray
+    bias: float
+    slope: float
+    shift: float
+
+    def scores(self, raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        for at, first, last in features(raw, offsets, orders, bits):
+            total += row_sums(self.table[at], first, last)
+            n += np.maximum(last - first, 0)
+        z = (total / np.maximum(n, 1) + self.bias) * self.slope + self.shift
+        return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, bits: int = BITS, orders: tuple[int, ...] = ORDERS, train_counts: int = TRAIN_COUNTS) -> Fitted:
+    """Train on at most train_docs labelled documents; tasks count their features, and one descends on the counts.
 
     Labels must be 0 or 1; rows without one are left out, and of contradicting labels
-    of an id the smaller counts. Without any labelled document every score is 0.5.
+    of an id the smaller counts. Rows are taken in the order of their ids' hashes, those of one id in that of
+    their texts, repeated ones each; null texts are empty. Without any labelled document every score is 0.5.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(train_docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, at, counts in bags(batches, text_col, orders, bits):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))], names=["id", "y", "at", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, at, counts in bags(batches, "text", orders, bits):
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))], names=["h", "g", "y", "at", "n"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # chosen has train_docs rows at most
-    # The lists stay Arrow's flat buffers (two numbers for each feature of a document), read in the order of the ids.
-    got = sample.mapInArrow(run, f"id {id_type}, y int, at array<int>, n array<int>").toArrow().combine_chunks().sort_by("id")
-    at, n = (got.column(k).combine_chunks() for k in ("at", "n"))
-    ends, y = at.offsets.to_numpy(), got.column("y").to_numpy()
-    rows = [(at.values.to_numpy()[a:b], n.values.to_numpy()[a:b], int(label)) for a, b, label in zip(ends, ends[1:], y, strict=False)]
-    model = Subwords(bits)
-    model.train([r for i, r in enumerate(rows) if i % CALIBRATE])
-    model.calibrate(rows[::CALIBRATE])
-    return model
-
-
-def scored(docs: DataFrame, model: Subwords, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
-
-    Null and empty texts are scored by the bias alone. Rows are neither joined nor moved.
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for y, at, n in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                held += len(at)
+                if held <= train_counts or not rows:
+                    rows.append((at.values.to_numpy().copy(), n.values.to_numpy().copy(), y.as_py()))
+        model = Subwords(bits)
+        model.train([r for i, r in enumerate(rows) if i % CALIBRATE])
+        model.calibrate(rows[::CALIBRATE])
+        numbers = np.concatenate([model.table(), [model.bias[1] - model.bias[0], *model.scale]])
+        yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], names=["model"])
+
+    # chosen has train_docs rows at most, so it is broadcast; the order does not depend on how rows were dealt.
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("g"), F.col("_label").alias("y"), F.col(text_col).alias("text"))
+    counted = sample.mapInArrow(count, "h long, g long, y int, at array<int>, n array<int>")
+    got = counted.repartition(1).sortWithinPartitions("h", "g").mapInArrow(train, "model binary").first()
+    if got is None:  # no rows, so no task
+        return Fitted(np.zeros(1 << bits), 0.0, 1.0, 0.0)
+    numbers = np.frombuffer(got.model)
+    return Fitted(numbers[:-3], *numbers[-3:].tolist())
+
+
+def scored(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
+    """(id, score, predicted): score from 0 to 1 (higher: label 1 likelier), predicted 1 if score >= threshold.
+
+    Null and empty texts are scored by the bias alone. Each row gives one row, repeated rows and null ids too; an empty table
+    gives none. Long texts are scored whole. Rows are neither joined nor moved, other columns not read.
     """
-    table = docs.sparkSession.sparkContext.broadcast(model.table())
-    (slope, shift), bias = model.scale, float(model.bias[1] - model.bias[0])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text_col):
-            raw, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for at, first, last in features(raw, offsets, orders, bits):
-                total += row_sums(table.value[at], first, last)
-                n += np.maximum(last - first, 0)
-            z = (total / np.maximum(n, 1) + bias) * slope + shift
-            score = np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9)
+            score = shared.value.scores(*utf8(batch.column(batch.schema.get_field_index(text_col))), orders, bits)
             keep = [c for c in batch.schema.names if c != text_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
@@ -149,22 +174,15 @@ def scored(docs: DataFrame, model: Subwords, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
 
 
-def kept(docs: DataFrame, model: Subwords, text_col: str = "text", threshold: float = 0.7, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
-    """The rows of docs that the model accepts, unchanged, in one pass."""
-    table = docs.sparkSession.sparkContext.broadcast(model.table())
-    (slope, shift), bias = model.scale, float(model.bias[1] - model.bias[0])
+def kept(docs: DataFrame, model: Fitted, text_col: str = "text", threshold: float = 0.7, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
+    """The rows of docs that the model accepts, unchanged and with all columns, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in blocks([batch], text_col):
-                raw, offsets = utf8(part.column(part.schema.get_field_index(text_col)))
-                total, n = np.zeros(part.num_rows), np.zeros(part.num_rows)
-                for where, first, last in features(raw, offsets, orders, bits):
-                    total += row_sums(table.value[where], first, last)
-                    n += np.maximum(last - first, 0)
-                z = (total / np.maximum(n, 1) + bias) * slope + shift
-                good = np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9) >= threshold
+                good = shared.value.scores(*utf8(part.column(part.schema.get_field_index(text_col))), orders, bits) >= threshold
                 yield batch.slice(at, part.num_rows).filter(pa.array(good))
                 at += part.num_rows
 
