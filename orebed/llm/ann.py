@@ -6,7 +6,7 @@ distance lies in a slot follows from the normal distribution of projected
 differences, so buckets around the query's own are visited in order of estimated success
 until the chances add up to a target. The tables' candidates are merged and ranked by their exact cosine.
 Equal vectors are one class with its smallest ids, so copies cost nothing; a bucket with many
-classes is dealt as blocks.
+classes or many visitors is dealt as blocks of either. Queries whose buckets hold too few vectors are compared with all, in blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SUCCESS = 0.97
 #: Vectors that the usual distance is measured on.
 SAMPLE = 2000
 BLOCK_ROWS = 20_000
+#: Queries that visit one block together; more are dealt over copies of it.
+ASKED_ROWS = 10_000
 QUERY_ROWS = 256
 
 
@@ -53,9 +55,9 @@ class Hashing:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, j].astype(np.int64).view(np.uint64))
         return key.view(np.int64)
 
-    def probes(self, at: np.ndarray, everything: bool = False) -> np.ndarray:
+    def probes(self, at: np.ndarray) -> np.ndarray:
         """Slot rows to visit for one query's projections: likeliest first, until their chances reach the share."""
-        reach = int(np.ceil(8 / self.width)) if everything else int(np.ceil(3 * self.distance / self.width)) + 1
+        reach = int(np.ceil(3 * self.distance / self.width)) + 1
         home = np.floor(at).astype(int)
         slots = home[:, None] + np.arange(-reach, reach + 1)
         spread = self.distance / self.width
@@ -65,10 +67,9 @@ class Hashing:
         for j in range(len(at)):  # grow slot rows by one projection, leaving out what is hopeless
             rows = np.concatenate([np.repeat(rows, slots.shape[1], axis=0), np.tile(slots[j], len(rows))[:, None]], axis=1)
             worth = np.repeat(worth, slots.shape[1]) * np.tile(chance[j], len(worth))
-            if not everything:
-                rows, worth = rows[worth > 1e-7], worth[worth > 1e-7]
+            rows, worth = rows[worth > 1e-7], worth[worth > 1e-7]
         order = np.argsort(-worth, kind="stable")
-        n = len(order) if everything else int(np.searchsorted(np.cumsum(worth[order]), self.share)) + 1
+        n = int(np.searchsorted(np.cumsum(worth[order]), self.share)) + 1
         return rows[order[:n]]
 
 
@@ -114,13 +115,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     """(query_id, rank, <id>, score): each query's k nearest of vectors by cosine, its own id left out; ties go to smaller ids.
 
     queries: rows of vectors. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do null ids; only vectors of one dimension are compared. A query that its buckets leave with
-    too few neighbours visits all buckets.
+    nor do null ids; only vectors of one dimension are compared. Repeated rows count once; an id with several vectors takes part with
+    each. Empty tables give no rows; other columns are not read. A query that its buckets leave with too few neighbours is compared with all vectors.
     """
     w = Window.partitionBy("v").orderBy("id")
     rows = usable(vectors, id_col, vec_col)
+    kind = rows.schema["id"].dataType.simpleString()
     few = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)  # of equal vectors no query needs more
-    classes = cut_lineage(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cls", F.get("ids", F.lit(0))))
+    classes = cut_lineage(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = usable(queries, id_col, vec_col)
     asked = cut_lineage(asked.withColumn("q", F.xxhash64("v")))
     index = fit(classes, k, tables=tables, success=success)
@@ -133,59 +135,61 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                     keys = index.keys(np.floor(index.projected(unit, t)), t, dim)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), part.column(1)], names=["bucket", "v", "ids"])
 
-    filed = classes.select("v", "ids").mapInArrow(hashed, "bucket long, v array<double>, ids array<long>")
-    blocks = filed.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    stored = filed.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("bucket", "block", "v", "ids")
-
-    def search(wanted: DataFrame, everything: bool) -> DataFrame:
-        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, at, unit in _unit(batch.column(1).to_pylist()):
-                    part = batch.take(pa.array(at))
-                    for t in range(1 if everything else index.tables):
-                        for i, p in enumerate(index.projected(unit, t)):
-                            keys = np.unique(index.keys(index.probes(p, everything), t, dim))
-                            where = pa.array(np.full(len(keys), i))
-                            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(where), part.column(1).take(where)], names=["bucket", "q", "v"])
-
-        probed = wanted.mapInArrow(visits, "bucket long, q long, v array<double>")
-        dealt = probed.join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q", "v")
-
-        def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
-            a_rows, b_rows = [], []
-            if asked.num_rows and held.num_rows:
-                by_dim = {dim: (at, unit) for dim, at, unit in _unit(held.column("v").to_pylist())}
-                for dim, q_at, q_unit in _unit(asked.column("v").to_pylist()):
-                    if dim not in by_dim:
-                        continue
-                    at, unit = by_dim[dim]
-                    for lo in range(0, len(q_at), QUERY_ROWS):
-                        scores = q_unit[lo : lo + QUERY_ROWS] @ unit.T
-                        keep = min(k + 1, scores.shape[1])
-                        least = np.partition(scores, -keep, axis=1)[:, -keep]
-                        i, j = np.nonzero(scores >= least[:, None] - 1e-12)
-                        a_rows.append(q_at[lo + i])
-                        b_rows.append(at[j])
-            a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a_rows, b_rows))
-            left, right = asked.select(["q", "v"]).take(a), held.select(["v", "ids"]).take(b)
-            return pa.table([left.column(0), left.column(1), right.column(0), right.column(1)], names=["q", "a", "b", "ids"])
-
-        near = dealt.groupBy("bucket", "block").cogroup(stored.groupBy("bucket", "block")).applyInArrow(rank, "q long, a array<double>, b array<double>, ids array<long>")
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, p: s + p)
-        scored = near.select("q", "ids", (dot(F.col("a"), F.col("b")) / (F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b"))))).alias("score"))
-        return scored.select("q", F.explode("ids").alias(id_col), "score").distinct()
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at, unit in _unit(batch.column(1).to_pylist()):
+                part = batch.take(pa.array(at))
+                for t in range(index.tables):
+                    for i, p in enumerate(index.projected(unit, t)):
+                        keys = np.unique(index.keys(index.probes(p), t, dim))
+                        where = pa.array(np.full(len(keys), i))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(where), part.column(1).take(where)], names=["bucket", "q", "v"])
+
+    def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a_rows, b_rows = [], []
+        if asked.num_rows and held.num_rows:
+            by_dim = {dim: (at, unit) for dim, at, unit in _unit(held.column("v").to_pylist())}
+            for dim, q_at, q_unit in _unit(asked.column("v").to_pylist()):
+                if dim not in by_dim:
+                    continue
+                at, unit = by_dim[dim]
+                for lo in range(0, len(q_at), QUERY_ROWS):
+                    scores = q_unit[lo : lo + QUERY_ROWS] @ unit.T
+                    keep = min(k + 1, scores.shape[1])
+                    least = np.partition(scores, -keep, axis=1)[:, -keep]
+                    i, j = np.nonzero(scores >= least[:, None] - 1e-12)
+                    a_rows.append(q_at[lo + i])
+                    b_rows.append(at[j])
+        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a_rows, b_rows))
+        left, right = asked.select(["q", "v"]).take(a), held.select(["v", "ids"]).take(b)
+        columns = [left.column(0), left.column(1), right.column(0), right.column(1)]
+        return pa.table([c.cast(pa.list_(c.type.value_type)) if pa.types.is_list(c.type) else c for c in columns], names=["q", "a", "b", "ids"])
 
-    wanted = asked.select("q", "v").dropDuplicates(["v"])
     best = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
 
-    def top(scored: DataFrame) -> DataFrame:
+    def nearest(visitors: DataFrame, stored: DataFrame) -> DataFrame:
+        """(q, id, score): of the blocks that each visitor (bucket, q, v) meets in its buckets the nearest k + 1 ids."""
+        blocks = stored.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        groups = visitors.groupBy("bucket").agg(F.ceil(F.count("*") / ASKED_ROWS).cast("int").alias("groups"))
+        deal = cut_lineage(blocks.join(groups, "bucket"))
+        part = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        held = stored.join(deal, "bucket").withColumn("block", part("blocks")).select("bucket", "block", each("groups").alias("group"), "v", "ids")
+        asking = visitors.join(deal, "bucket").withColumn("group", part("groups")).select("bucket", each("blocks").alias("block"), "group", "q", "v")
+        keys = ("bucket", "block", "group")
+        near = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, f"q long, a array<double>, b array<double>, ids array<{kind}>")
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, p: s + p)
+        scored = near.select("q", "ids", (dot(F.col("a"), F.col("b")) / (F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b"))))).alias("score"))
+        scored = scored.select("q", F.explode("ids").alias(id_col), "score").distinct()
         return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
 
-    got = cut_lineage(top(search(wanted, False)))
+    wanted = asked.select("q", "v").dropDuplicates(["v"])
+    got = cut_lineage(nearest(wanted.mapInArrow(visits, "bucket long, q long, v array<double>"), classes.select("v", "ids").mapInArrow(hashed, f"bucket long, v array<double>, ids array<{kind}>")))
     short = wanted.join(got.groupBy("q").agg(F.count("*").alias("_n")), "q", "left").where(F.coalesce("_n", F.lit(0)) < k + 1).select("q", "v")
     short = cut_lineage(short)
     if not short.isEmpty():
-        got = got.join(short.select("q"), "q", "left_anti").unionByName(top(search(short, True)))
+        one = F.size("v").cast("long").alias("bucket")  # all vectors of a dimension
+        got = got.join(short.select("q"), "q", "left_anti").unionByName(nearest(short.select(one, "q", "v"), classes.select(one, "v", "ids")))
     mine = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), id_col)
     merged = asked.select(F.col("id").alias("query_id"), "q", "v").join(got, "q").where(F.col("query_id") != F.col(id_col))
     return merged.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
