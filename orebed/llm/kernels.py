@@ -6,7 +6,6 @@ that the numpy temporaries of a task stay small whatever the batch size is.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -30,9 +29,12 @@ ASCII_LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; fall back to a local one only where none is set (tests)."""
+    """Use the shared folder that the session names; where it names none, a local session takes a folder of its own and a cluster is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,9 +53,11 @@ def bucket_of(id_col: str, modulus: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly over the session's shuffle partitions, for CPU-bound work on few or uneven input splits."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -150,8 +154,3 @@ class Words:
             h = self.hash[np.where(there, at + j, 0)] if len(self.hash) else np.zeros(len(at), np.uint64)
             out = out * np.uint64(_BASE) + np.where(there, h, np.uint64(0))
         return mix(out), first
-
-
-def env_threads_off() -> None:
-    """One task is one thread: numpy must not start its own pool on a shared executor."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")

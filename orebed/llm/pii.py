@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Precision that a kind's threshold must reach on the calibration examples.
 PRECISION = 0.995
 EXAMPLES = 6000
+#: Candidates of a text that are scored at once.
+SCORED = 10_000
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -216,21 +218,28 @@ class Redactor:
             own = unseen & (x[:, 0] == i)
             self.thresholds[kind] = max(0.0, threshold_for(z[own], y[own], precision)) if own.any() else float("inf")
 
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """All spans by kind, then start: the base ones, and candidates that touch none of them nor a likelier one."""
-        base = base_spans(text)
-        taken = [(s, e) for _, s, e in base]
-        found = [c for c in candidates(text) if all(c[2] <= s or c[1] >= e for s, e in taken)]
+    def spans(self, text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+        """All spans by kind, then start: the base ones, and candidates that touch none of them nor a likelier one.
+
+        Characters of chosen spans are marked, so each candidate costs its own length, however many there are.
+        """
+        base = base_spans(text) if base is None else base
+        found = candidates(text)
+        if not found:
+            return base
+        taken = bytearray(len(text))
+        for _, s, e in base:
+            taken[s:e] = b"\1" * (e - s)
+        found = [c for c in found if taken.find(1, c[1], c[2]) < 0]
+        chosen = []
         if found:
-            z = self.trees.log_odds(np.array([describe(text, *c) for c in found]))
-            chosen = []
+            z = np.concatenate([self.trees.log_odds(np.array([describe(text, *c) for c in found[at : at + SCORED]])) for at in range(0, len(found), SCORED)])
             for i in np.lexsort(([c[1] for c in found], -z)):
                 kind, s, e = found[i]
-                if z[i] >= self.thresholds[kind] and all(e <= a or s >= b for a, b in taken):
+                if z[i] >= self.thresholds[kind] and taken.find(1, s, e) < 0:
                     chosen.append((kind, s, e))
-                    taken.append((s, e))
-            base = base + chosen
-        return sorted(base, key=lambda c: (KINDS.index(c[0]), c[1]))
+                    taken[s:e] = b"\1" * (e - s)
+        return sorted(base + chosen, key=lambda c: (KINDS.index(c[0]), c[1]))
 
 
 @lru_cache(maxsize=1)
@@ -246,7 +255,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def found(docs: DataFrame, model: Redactor | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every whole text.
 
-    Counts and digest are of the base spans. A null text counts as empty. One pass, nothing is moved.
+    Counts and digest are of the base spans. A null text counts as empty. Each row gives one row, repeated rows and null ids too; an
+    empty table gives none. Base spans of different kinds may overlap; of candidates equally likely the first stays. Very long texts are
+    searched whole. One pass, nothing is moved, other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -259,14 +270,14 @@ def found(docs: DataFrame, model: Redactor | None = None, id_col: str = "doc_id"
                 for k in KINDS:
                     counts[k].append(sum(b[0] == k for b in base))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(shared.value.spans(text or "")))
+                spans.append(joined(shared.value.spans(text or "", base)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(shas), pa.array(spans, pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, model: Redactor | None = None, text_col: str = "text") -> DataFrame:
-    """docs with each span of the texts replaced by its kind in angle brackets; overlapping spans become one. Null texts stay null."""
+    """docs with each span of the texts replaced by its kind in angle brackets; overlapping spans become one. Null texts stay null, all rows and other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
     def clean(text: str | None) -> str | None:
