@@ -1,4 +1,9 @@
-"""Corpus preparation: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus preparation: stages over documents, each written as Parquet and read again by the next.
+
+Each stage takes any table with doc_id and text. Null texts count as empty (a null stays null where texts are returned), rows with a
+null id stay wherever ids decide, repeated rows are near duplicates of each other, very long texts are read whole, and an empty
+table gives an empty one. All stages but the last return the columns that they got, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm import bpe, decontam, pii, quality, simhash
-from orebed.llm.kernels import documents, ensure_checkpoint_dir
+from orebed.llm.kernels import documents, ensure_checkpoint_dir, removed
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind, and their lengths brought up to date."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with personal data replaced by its kind, and their lengths (where there is such a column) brought up to date."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the stages hand over goes to the shared checkpoint folder."""
+    """The last stage's rows; what the stages hand over goes to the shared checkpoint folder, from which each is deleted when the next is written."""
     ensure_checkpoint_dir(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    out = documents(spark, sf_dir)
+    out, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
         if k + 1 < len(STAGES):
             path = f"{shared}/{k}-{name}"
             out.write.parquet(path)
             out = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return out
