@@ -13,8 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which all executors see (a local one only where none is set)."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
+    """A new folder below the session's checkpoint folder, which all executors see; where none is set, a local session takes one of its own and a cluster is an error."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    home = home or tempfile.mkdtemp(prefix="stream-")
     return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
