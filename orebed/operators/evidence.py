@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,14 @@ def evaluate_rules(measurements: DataFrame, rules: DataFrame, metric: str = "met
 def satisfied_requirements(requirements: DataFrame, evidence: DataFrame, id_col: str, on: list[str]) -> DataFrame:
     """requirements with n_evidence: rows of evidence that equal it in every column of on that it names (null: any).
 
-    Evidence is counted by its combinations first, so that wildcards meet few rows.
+    Evidence is counted once for each set of columns (grouping sets), so a requirement meets one row, that of the columns it names, by an equal join.
     """
-    counted = evidence.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in on], "_n")
-    hit = None
-    for c in on:
-        one = F.col(c).isNull() | (F.col(c) == F.col(f"_{c}"))
-        hit = one if hit is None else hit & one
-    return requirements.join(counted, hit, "left").groupBy(*requirements.columns).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_evidence")).withColumn("satisfied", F.col("n_evidence") > 0)
+    counted = evidence.cube(*on).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_set"))
+    named = reduce(lambda s, c: s * 2 + F.col(c).isNull().cast("int"), on, F.lit(0))
+    right = counted.select(F.col("_set").alias("_s"), *[F.col(c).alias(f"_{c}") for c in on], "_n")
+    hit = reduce(lambda h, c: h & F.col(c).eqNullSafe(F.col(f"_{c}")), on, named == F.col("_s"))
+    out = requirements.join(right, hit, "left").groupBy(*requirements.columns).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_evidence"))
+    return out.withColumn("satisfied", F.col("n_evidence") > 0)
 
 
 def discrepancies(rows: DataFrame, keys: list[str], source: str, value: str, tolerance: float) -> DataFrame:

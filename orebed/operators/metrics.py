@@ -25,18 +25,31 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
 
 
+def running(df: DataFrame, by: str, sums: dict[str, Column], bins: int = 200) -> DataFrame:
+    """df with the sums of all rows up to each in the order of by (distinct values): within bins of by, and on top of the bins before.
+
+    Bin borders are quantiles of by, so no task gets a large part of the rows; only the bins' totals meet in one.
+    """
+    cuts = df.select(F.percentile_approx(by, F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10 * bins)).first()[0] or []  # bins borders
+    bin_ = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    rows = df.withColumn("_bin", bin_)
+    totals = rows.groupBy("_bin").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    before = totals.select("_bin", *[F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)).alias(f"_{n}") for n in sums])
+    own = Window.partitionBy("_bin").orderBy(by)
+    return rows.join(F.broadcast(before), "_bin").select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
+
+
 def auroc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve: chance that a positive outscores a negative, ties counting half."""
-    w = Window.orderBy(score)
-    below = F.sum("neg").over(w) - F.col("neg")
-    s = _by_score(df, truth, score).select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    s = running(_by_score(df, truth, score), score, {"seen": F.col("neg")})
+    s = s.select("pos", "neg", (F.col("pos") * (F.col("seen") - F.col("neg") / 2)).alias("wins"))
     return s.agg(F.sum("wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(ratio(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Sum over thresholds of precision times the gain in recall."""
-    w = Window.orderBy(F.desc(score))
-    s = _by_score(df, truth, score).select("pos", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("seen"))
+    s = running(_by_score(df, truth, score).withColumn("_down", -F.col(score)), "_down", {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")})
     return s.agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"), F.sum("pos").alias("p")).select(ratio(F.col("a"), F.col("p")).alias("average_precision"))
 
 
@@ -105,8 +118,12 @@ def stratified_quota(df: DataFrame, label: str, id_col: str, total: int, key: Co
 
 def group_folds(groups: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): round-robin over sorted distinct groups."""
-    w = Window.orderBy(group)
-    return groups.select(group).distinct().withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    # Ranks come from a total order's partitions: their sizes first, then places within them.
+    some = groups.select(group).distinct().withColumn("_h", F.substring(F.col(group).cast("string"), 1, 2))
+    sizes = some.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))  # a row for each two first characters
+    before = sizes.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_h").orderBy(F.col(group).cast("string"))) + F.col("_b") - 1
+    return some.join(F.broadcast(before), "_h").select(group, (place % k).cast("int").alias("fold"))
 
 
 def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -122,14 +139,19 @@ def aggregate_claims(claims: DataFrame, key: str, status: str) -> DataFrame:
     return claims.groupBy(key).agg(F.when(has("CONTRADICTED"), "CONTRADICTED").when(has("CONFLICTING"), "CONFLICTING").when(has("UNKNOWN"), "UNKNOWN").when(all_ok, "SUPPORTED").otherwise("MIXED").alias("label"))
 
 
-def decide(findings: DataFrame, rules: DataFrame, key: str, default: str, order: list[str]) -> DataFrame:
+def decide(findings: DataFrame, rules: DataFrame, key: str, default: str, order: list[str], most: int = 10_000) -> DataFrame:
     """(key, action, matched, risk): the strongest action of all rules that match a finding in category and severity.
 
-    rules: category (null: any), severity_at_least, action; a rule table is small and checked by Spark before it is broadcast.
+    rules: rule_id, category (null: any), severity_at_least, action. A rule for any category is written once for each category that
+    findings have, so rules meet findings by an equal join; tables of up to most rules are broadcast.
     """
     rank = F.create_map(*[x for i, a in enumerate(order) for x in (F.lit(a), F.lit(i))])
-    hit = (rules["category"].isNull() | (rules["category"] == findings["category"])) & (findings["severity"] >= rules["severity_at_least"])
-    j = findings.join(rules, hit, "left").withColumn("_rank", F.coalesce(rank[rules["action"]], F.lit(-1)))
-    g = j.groupBy(key).agg(F.max("_rank").alias("_rank"), F.count_distinct("rule_id").alias("matched"), F.max(F.col("severity") / 4.0 * F.col("confidence")).alias("risk"))
+    seen = findings.select(F.col("category").alias("_category")).distinct()
+    some = rules.where(F.col("category").isNotNull()).withColumn("_category", F.col("category"))
+    every = rules.where(F.col("category").isNull()).crossJoin(seen)  # rules for any category, by the few categories there are
+    flat = some.unionByName(every).select("_category", "severity_at_least", "rule_id", rank[F.col("action")].alias("_rank"))
+    flat = F.broadcast(flat) if rules.count() <= most else flat
+    j = findings.join(flat, F.col("category").eqNullSafe(F.col("_category")) & (F.col("severity") >= F.col("severity_at_least")), "left")
+    g = j.groupBy(key).agg(F.max(F.coalesce("_rank", F.lit(-1))).alias("_rank"), F.count_distinct("rule_id").alias("matched"), F.max(F.col("severity") / 4.0 * F.col("confidence")).alias("risk"))
     names = F.array(*[F.lit(a) for a in order])
     return g.select(key, F.get(names, F.greatest("_rank", F.lit(order.index(default)))).alias("action"), "matched", "risk")

@@ -50,11 +50,16 @@ def linked_claims(claims: DataFrame, id_col: str, entities: str, negative: str,
     """(a, b, similarity, relation): claims that share an entity and are alike by Jaccard similarity; polarity tells support from contradiction."""
     one = claims.select(F.col(id_col).alias("id"), F.array_distinct(entities).alias("e"), F.col(negative).alias("neg"))
     by = one.select("id", F.explode("e").alias("entity"))
-    # Shared entities are counted by a join on them, so that similarity needs no second look at the arrays.
-    shared = by.withColumnRenamed("id", "a").join(by.withColumnRenamed("id", "b"), "entity").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    left, right = (one.select(F.col("id").alias(x), F.size("e").alias(f"n_{x}"), F.col("neg").alias(f"neg_{x}")) for x in "ab")
-    score = F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))
-    found = shared.join(left, "a").join(right, "b").withColumn("similarity", score).where(F.col("similarity") >= least)
+    # Two claims alike share one of each one's rarest entities (all but least of its size), so only those are joined: what
+    # most claims name brings none together. Sizes must be alike as well.
+    ranked = by.join(by.groupBy("entity").agg(F.count(F.lit(1)).alias("often")), "entity").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "entity"))).alias("r"))  # the entities of one claim
+    rare = ranked.select("id", F.size("r").alias("size"), F.explode(F.slice("r", F.lit(1), F.size("r") - F.ceil(F.lit(least) * F.size("r") - 1e-9).cast("int") + 1)).alias("x")).select("id", "size", "x.entity")
+    left, right = (rare.select(F.col("id").alias(x), F.col("size").alias(f"s_{x}"), "entity") for x in "ab")
+    alike = (F.col("s_a") >= least * F.col("s_b")) & (F.col("s_b") >= least * F.col("s_a"))
+    pairs = left.join(right, "entity").where(F.col("a") < F.col("b")).where(alike).select("a", "b").distinct()
+    left, right = (one.select(F.col("id").alias(x), F.col("e").alias(f"e_{x}"), F.col("neg").alias(f"neg_{x}")) for x in "ab")
+    n = F.size(F.array_intersect("e_a", "e_b"))
+    found = pairs.join(left, "a").join(right, "b").withColumn("similarity", n / (F.size("e_a") + F.size("e_b") - n)).where(F.col("similarity") >= least)
     return found.select("a", "b", "similarity", F.when(F.col("neg_a") == F.col("neg_b"), "SUPPORTS").otherwise("CONTRADICTS").alias("relation"))
 
 

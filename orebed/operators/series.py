@@ -176,9 +176,9 @@ def pre_post_shift(df: DataFrame, keys: list[str], split: str, value: str = "val
 
 def regime_normalize(df: DataFrame, regime: list[str], value: str = "value") -> DataFrame:
     """df with z within each regime (population deviation; 1 where constant)."""
-    w = Window.partitionBy(*regime)
-    std = F.stddev_pop(value).over(w)
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.when(std < TINY, 1.0).otherwise(std))
+    stats = df.groupBy(*regime).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))  # partial sums: a regime may hold most rows
+    scale = F.when(F.col("_std") < TINY, 1.0).otherwise(F.col("_std"))
+    return df.join(stats, regime).withColumn("z", (F.col(value) - F.col("_mean")) / scale).drop("_mean", "_std")
 
 
 def tumbling_by_count(df: DataFrame, keys: list[str], size: int, value: str = "value", index: str = "t_idx") -> DataFrame:

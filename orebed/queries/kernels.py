@@ -128,7 +128,8 @@ def pca_monitoring(spark, sf_dir):
 
 @query("hash_embeddings")
 def hash_embeddings(spark, sf_dir):
-    return K.embedded(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)
+    """Feature-hash vectors of all documents."""
+    return K.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
 
 
 @query("packed_chunks")

@@ -1,15 +1,18 @@
-"""Models by MLlib: regimes, risk, calibration, remaining life and term weights. Fitting is distributed; SQL can't express it."""
+"""Models by MLlib: regimes, risk, calibration and remaining life, whose fitting is distributed and beyond SQL; and retrieval by term weights."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orebed.queries.base import query, table
+from orebed.functions import text as T
+from orebed.operators import retrieval as R
+from orebed.queries.base import SERIES, query, series, table
 
 
 def asset_features(spark, sf_dir):
@@ -55,16 +58,23 @@ def isotonic_calibration(spark, sf_dir):
 
 @query("remaining_life_model")
 def remaining_life_model(spark, sf_dir):
-    """Boosted trees from an asset's features to its readings still to come, capped at 125."""
-    rows = assembled(asset_features(spark, sf_dir).withColumn("remaining", F.least(F.lit(125.0), F.pmod("user_id", F.lit(150)).cast("double"))), ["mean", "spread", "n"])
-    model = GBTRegressor(featuresCol="x", labelCol="remaining", maxIter=5, maxDepth=3, seed=0).fit(rows.where("user_id % 4 <> 0"))
-    return model.transform(rows.where("user_id % 4 = 0")).select("user_id", "remaining", "prediction")
-
-
-@query("tfidf_terms")
-def tfidf_terms(spark, sf_dir):
-    """Normalised term weights of the benchmark's items."""
-    rows = RegexTokenizer(inputCol="text", outputCol="words", pattern="[^a-z0-9]+").transform(table(spark, sf_dir, "benchmark").where("text IS NOT NULL"))
-    rows = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 14).transform(rows)
-    rows = Normalizer(inputCol="w", outputCol="x").transform(IDF(inputCol="tf", outputCol="w").fit(rows).transform(rows))
-    return rows.select("item_id", F.size(F.filter(vector_to_array("x"), lambda v: v > 0)).alias("n_terms"), F.array_max(vector_to_array("x")).alias("top"))
+    """Boosted trees from a reading's place, value and recent mean to the readings that still follow in its series, capped at 125; every fourth asset is held out of fitting."""
+    w = Window.partitionBy(*SERIES).orderBy("t_idx")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
+    rows = series(spark, sf_dir).withColumn("recent", F.avg("value").over(w.rowsBetween(-4, 0))).withColumn("remaining", F.least(F.lit(125.0), (n - 1 - F.col("t_idx")).cast("double")))
+    rows = assembled(rows.withColumn("held_out", F.col("user_id") % 4 == 0), ["t_idx", "value", "recent"])
+    model = GBTRegressor(featuresCol="x", labelCol="remaining", maxIter=5, maxDepth=3, seed=0).fit(rows.where("NOT held_out"))
+    return model.transform(rows).select("event_id", "held_out", "remaining", "prediction")
+
+
+TFIDF_SQL = """tok AS (SELECT {id}, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)) AS term FROM {t} WHERE text IS NOT NULL), tf AS (SELECT {id}, term, count(*) AS tf FROM tok GROUP BY ALL)"""
+
+
+@query("tfidf_retrieval", f"""WITH d AS (WITH {TFIDF_SQL.format(id='doc_id', t='documents')} SELECT * FROM tf), q AS (WITH {TFIDF_SQL.format(id='item_id', t='benchmark')} SELECT * FROM tf),
+df AS (SELECT term, ln((1 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM d GROUP BY term),
+dn AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM d JOIN df USING (term) GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(tf * tf * idf * idf)) AS norm FROM q JOIN df USING (term) GROUP BY item_id),
+s AS (SELECT item_id, doc_id, sum(d.tf * q.tf * idf * idf) AS dot FROM d JOIN q USING (term) JOIN df USING (term) GROUP BY ALL)
+SELECT item_id, doc_id, dot / (dn.norm * qn.norm) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(dot / (dn.norm * qn.norm), 9) DESC, doc_id) AS "rank" FROM s JOIN dn USING (doc_id) JOIN qn USING (item_id) QUALIFY "rank" <= 3""", "score")
+def tfidf_retrieval(spark, sf_dir):
+    """Each benchmark item's three nearest documents by term weights (smoothed idf) and cosine."""
+    return R.tfidf(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), T.simple_tokens, 3)

@@ -49,9 +49,9 @@ def luhn_cards(spark, sf_dir):
 
 @query("number_extract", """SELECT token, CASE WHEN base <> '' THEN replace(base, ',', '')::DOUBLE * CASE unit WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'crore' THEN 1e7 WHEN 'bn' THEN 1e9 ELSE 1 END END AS v
 FROM (SELECT token, regexp_extract(lower(trim(token)), '([+-]?[0-9][0-9,]*(?:\\.[0-9]+)?)', 1) AS base, regexp_extract(lower(trim(token)), '(thousand|million|billion|crore|lakh|bn|mn|k|m)$', 1) AS unit
-FROM (SELECT l_quantity::INT::VARCHAR || (['', ' k', ' m', ' crore', ' bn', ' percent'])[l_linenumber % 6 + 1] AS token FROM lineitem WHERE l_orderkey % 50 = 0))""", "v")
+FROM (SELECT l_quantity::INT::VARCHAR || (['', ' k', ' m', ' crore', ' bn', ' percent'])[l_linenumber % 6 + 1] AS token FROM lineitem))""", "v")
 def number_extract(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, sf_dir, "lineitem")
     suffix = F.get(F.array(*[F.lit(x) for x in ("", " k", " m", " crore", " bn", " percent")]), F.col("l_linenumber") % 6)
     token = F.concat(F.col("l_quantity").cast("int").cast("string"), suffix)
     return li.select(token.alias("token"), T.number_value(token).alias("v"))
