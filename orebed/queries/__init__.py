@@ -1,6 +1,6 @@
 """The library's queries over the driver's tables, with their SQL."""
 
-from orebed.queries import claims, contracts, diagnosis, evidence, graph, kernels, learning, metrics, relational, retrieval, series, streams, text  # noqa: F401
+from orebed.queries import claims, contracts, diagnosis, evidence, graph, kernels, learning, metrics, relational, retrieval, series, sources, streams, text  # noqa: F401
 from orebed.queries.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "alarm_episodes"

@@ -75,8 +75,69 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def searched(spark: SparkSession, path: str, literal: str, most: int = 100, clip: int = 500) -> DataFrame:
-    """(path, line, text): the first lines, by path and number, that hold the literal in either case; a report of most rows."""
+def searched(spark: SparkSession, path: str, literal: str, most: int | None = None, clip: int | None = None) -> DataFrame:
+    """(path, line, text): the lines that hold the literal in either case; a report of the first most by path and number, each cut at clip characters, where these are given."""
     lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     hits = lines.where(F.contains(F.lower("text"), F.lit(literal.lower())))
-    return hits.select("path", (F.col("line") + 1).alias("line"), F.substring("text", 1, clip).alias("text")).orderBy("path", "line").limit(most)
+    out = hits.select("path", (F.col("line") + 1).alias("line"), (F.substring("text", 1, clip) if clip else F.col("text")).alias("text"))
+    return out.orderBy("path", "line").limit(most) if most else out
+
+
+def lives_reconciled(units: DataFrame, lives: DataFrame) -> DataFrame:
+    """(unit, life, issue): the n-th life of a list (place, life) belongs to the n-th unit; issue is NEGATIVE, MISSING (no life) or EXTRA (no unit)."""
+    place = units.select("unit").distinct()
+    sizes = place.groupBy(F.floor(F.col("unit") / 1000).alias("_h")).agg(F.count(F.lit(1)).alias("_c"))  # a row for each thousand numbers
+    before = sizes.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    numbered = place.withColumn("_h", F.floor(F.col("unit") / 1000)).join(F.broadcast(before), "_h")
+    numbered = numbered.select("unit", (F.row_number().over(Window.partitionBy("_h").orderBy("unit")) + F.col("_b") - 1).alias("place"))
+    j = numbered.join(lives.select(F.col("place").cast("long"), "life", F.lit(True).alias("_there")), "place", "full")
+    issue = F.when(F.col("unit").isNull(), "EXTRA").when(F.col("_there").isNull(), "MISSING").when(F.col("life") < 0, "NEGATIVE")
+    return j.select("unit", "life", issue.alias("issue"))
+
+
+def event_info(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Each farm's semicolon-separated event table with wind_farm; columns that a farm lacks are null."""
+    out = None
+    for farm, path in paths.items():
+        one = spark.read.option("header", True).option("sep", ";").csv(path).withColumn("wind_farm", F.lit(farm))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def asset_ids(*tables: DataFrame, column: str = "asset_id") -> DataFrame:
+    """Distinct asset ids of all tables, trimmed and without a trailing .0."""
+    out = None
+    for one in tables:
+        ids = one.select(F.regexp_replace(F.trim(column), r"\.0$", "").alias(column))
+        out = ids if out is None else out.union(ids)
+    return out.where(f"{column} IS NOT NULL AND {column} <> ''").distinct()
+
+
+def layout_faults(files: DataFrame, farms: list[str], required: list[str]) -> DataFrame:
+    """(farm, part) of the required parts below each farm's folder that have no file in a listing (path)."""
+    wanted = files.sparkSession.createDataFrame([(f, r) for f in farms for r in required], "farm string, part string")
+    there = files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("farm"), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("part")).distinct()
+    return wanted.join(there, ["farm", "part"], "left_anti")
+
+
+def counted_events(rows: DataFrame, keys: list[str], size: int, index: str = "t_idx") -> DataFrame:
+    """rows with event, the number of their full window of size rows; rows of a partial tail go."""
+    event = F.floor(F.col(index) / size).cast("long")
+    full = F.count(F.lit(1)).over(Window.partitionBy(*keys, "event")) == size
+    return rows.withColumn("event", event).withColumn("_full", full).where("_full").drop("_full")
+
+
+def recording_names(files: DataFrame, labels: dict[str, str], path: str = "path") -> DataFrame:
+    """(path, speed_rpm, torque_nm, force_n, bearing, run, label) from names such as N15_M07_F10_KA01_1.mat; other names, and bearings without a label, go."""
+    part = lambda i: F.regexp_extract(path, r"N([0-9]{2})_M([0-9]{2})_F([0-9]{2})_([A-Z]+[0-9]{2})_([0-9]+)\.mat$", i)
+    label = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])[part(4)]
+    out = files.where(part(4) != "").select(path, (part(1).cast("int") * 100).alias("speed_rpm"), (part(2).cast("int") / 10).alias("torque_nm"), (part(3).cast("int") * 100).alias("force_n"), part(4).alias("bearing"), part(5).cast("int").alias("run"), label.alias("label"))
+    return out.where("label IS NOT NULL")
+
+
+def scenarios(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
+    """JSON lines with issues: the required fields that a record lacks, or UNREADABLE."""
+    raw = spark.read.text(path)
+    fields = F.json_object_keys("value")
+    lacks = F.filter(F.array(*[F.lit(r) for r in required]), lambda r: ~F.coalesce(F.array_contains(fields, r), F.lit(False)))
+    return raw.select("value", F.when(fields.isNull(), F.array(F.lit("UNREADABLE"))).otherwise(lacks).alias("issues"))
