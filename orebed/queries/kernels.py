@@ -1,4 +1,4 @@
-"""Numeric kernels over events, one series for each user, and over embeddings; SQL can't express them."""
+"""Numeric kernels over events, one series for each user, and over embeddings; where SQL can't express them, tests/test_kernels.py compares them with slow definitions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orebed.operators import kernels as K
 from orebed.operators import series as S
 from orebed.queries.base import query, table
+from orebed.queries.streams import cusum_sql
 
 #: Samples a day that the event series are taken to have.
 FS = 1.0
@@ -26,7 +27,15 @@ def _series(spark, sf_dir, kernel, schema):
     return K.per_series(rows, ["user_id"], "t_idx", ["value"], run, schema)
 
 
-@query("welch_peaks")
+USER_SERIES = """us AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, coalesce(value, median(value) OVER (PARTITION BY user_id), 0)::DOUBLE AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+@query("welch_peaks", f"""WITH {USER_SERIES}, g AS (SELECT user_id, any_value(n) AS n, least(256, any_value(n)) AS size FROM us WHERE n >= 16 GROUP BY user_id), st AS (SELECT *, unnest(range(0, n - size + 1, greatest(1, size // 2))) AS s FROM g),
+c AS (SELECT st.user_id, size, s, i - s AS j, v - avg(v) OVER (PARTITION BY st.user_id, s) AS x, 0.5 - 0.5 * cos(2 * pi() * (i - s) / size) AS w FROM st JOIN us ON us.user_id = st.user_id AND i >= s AND i < s + size),
+p AS (SELECT user_id, size, s, k, sum(x * w * cos(2 * pi() * j * k / size)) AS re, sum(x * w * sin(2 * pi() * j * k / size)) AS im, sum(w * w) AS ww FROM c, (SELECT unnest(range(0, 129)) AS k) WHERE k <= size // 2 GROUP BY ALL),
+d AS (SELECT user_id, k, k / any_value(size) AS frequency, avg((re * re + im * im) / ww) * CASE WHEN k = 0 OR (any_value(size) % 2 = 0 AND k = any_value(size) // 2) THEN 1 ELSE 2 END AS density FROM p GROUP BY user_id, k),
+m AS (SELECT *, lag(density) OVER w AS a, lead(density) OVER w AS b FROM d WINDOW w AS (PARTITION BY user_id ORDER BY k))
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY density DESC, k))::INT AS rank, frequency, density FROM m WHERE density > a AND density > b QUALIFY rank <= 3""", "frequency density")
 def welch_peaks(spark, sf_dir):
     """The three strongest spectral peaks of each series."""
 
@@ -67,7 +76,8 @@ def wavelet_denoised(spark, sf_dir):
     return _series(spark, sf_dir, lambda x: {"t_idx": list(range(len(x))), "smooth": [float(v) for v in K.wavelet_denoise(x, 2)]}, "t_idx int, smooth double")
 
 
-@query("cusum_resetting")
+@query("cusum_resetting", f"""WITH RECURSIVE {USER_SERIES}, zz AS (SELECT user_id, i, (v - avg(v) OVER (PARTITION BY user_id)) / greatest(stddev_pop(v) OVER (PARTITION BY user_id), 1e-12) AS z FROM us WHERE n >= 16), {cusum_sql("zz", "user_id", 0.5, 4.0)}
+SELECT user_id, i::INT AS t_idx, pos, neg, alarm FROM r WHERE i >= 0""", "pos neg")
 def cusum_resetting(spark, sf_dir):
     """One-sided sums of the standardised series that start again after an alarm."""
 
