@@ -210,6 +210,6 @@ def best_sentences(text: Column, terms: Column, top: int) -> Column:
 def retry_policy(df: DataFrame, retries: Column, most: int = 2) -> DataFrame:
     """df (total, supported, contradicted, insufficient, score) with retry and abstain."""
     some = F.col("total") > 0
-    weak = (F.col("supported") == 0) | (F.col("supported") / F.col("total") < 0.6) | (F.col("insufficient") > 0) | (F.col("contradicted") > 0)
+    weak = (F.col("supported") == 0) | (F.try_divide("supported", "total") < 0.6) | (F.col("insufficient") > 0) | (F.col("contradicted") > 0)
     lost = (F.col("supported") == 0) | (F.col("contradicted") > F.col("supported")) | (F.col("score") < 0.4)
     return df.withColumn("retry", some & (retries < most) & weak).withColumn("abstain", some & lost)

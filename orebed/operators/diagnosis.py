@@ -130,7 +130,7 @@ def end_of_life(df: DataFrame, keys: list[str], limit: float, nominal: float, le
         F.regr_slope(F.col(smooth), recent).alias("_slope"),
         F.regr_intercept(F.col(smooth), recent).alias("_intercept"),
     )
-    g = g.withColumn("_eol", (F.lit(limit) - F.col("_intercept")) / F.col("_slope"))
+    g = g.withColumn("_eol", F.try_divide(F.lit(limit) - F.col("_intercept"), F.col("_slope")))
     state = ladder(
         "projected",
         (F.col("cycles") < least, "insufficient_history"),
