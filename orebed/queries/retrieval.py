@@ -135,3 +135,35 @@ def grounded_answer(spark, sf_dir):
     ranked = R.bm25(docs, bench, T.simple_tokens, 1).join(bench.withColumnRenamed("text", "q"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     support = T.containment(T.simple_tokens(F.col("q")), T.simple_tokens(F.col("text")))
     return ranked.select("item_id", "doc_id", T.fold({"REFUSE": support < 0.34, "SUPPORTED": support >= 0.55}, "WEAK").alias("status"))
+
+
+HYBRID_SQL = f"""scope AS (SELECT * FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')), {bm25_sql(TOK, False, 20, 'lx').replace('FROM documents', 'FROM scope')},
+dn AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, {COS.format(a='q.embedding', b='v.embedding')} / (sqrt({COS.format(a='q.embedding', b='q.embedding')}) * sqrt({COS.format(a='v.embedding', b='v.embedding')})) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE v.vec_id <> q.vec_id AND v.vec_id IN (SELECT doc_id FROM scope)),
+dr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS "rank" FROM dn QUALIFY "rank" <= 20),
+fu AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + "rank")) AS score, count(DISTINCT m) AS methods FROM (SELECT item_id, doc_id, "rank", 0 AS m FROM lx UNION ALL SELECT item_id, doc_id, "rank", 1 FROM dr) GROUP BY ALL),
+hy AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS "rank" FROM fu QUALIFY "rank" <= 10)"""
+
+
+def _hybrid(spark, sf_dir):
+    docs, bench, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    scope = docs.where(F.col("source").isin(*[f"src{i}" for i in range(5)]))
+    asked = vectors.join(bench.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    readable = vectors.join(scope.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    dense = R.dense_topk(readable, asked, 20).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+    return R.rank_fusion([R.bm25(scope, bench, T.simple_tokens, 20), dense], "item_id", "doc_id")
+
+
+@query("hybrid_search", f"WITH {HYBRID_SQL} SELECT * FROM hy", "score", digits=9)
+def hybrid_search(spark, sf_dir):
+    """Lexical and dense rankings of the documents that a scope lets through, fused; ids of vectors are those of documents and items."""
+    return _hybrid(spark, sf_dir)
+
+
+@query("retrieval_benchmark", f"""WITH {HYBRID_SQL}, rel AS (SELECT b.item_id, d.doc_id, b.item_id % 3 AS category FROM benchmark b JOIN documents d ON d.doc_id % 7 = b.item_id % 7 WHERE d.source IN ('src0', 'src1')), q AS (SELECT item_id, any_value(category) AS category, count(DISTINCT doc_id) AS n FROM rel GROUP BY item_id),
+h AS (SELECT item_id, count(*) AS hits, min("rank") AS first FROM hy JOIN rel USING (item_id, doc_id) GROUP BY item_id) SELECT category, count(*) AS queries, avg(coalesce(hits, 0) / 10) AS precision, avg(coalesce(hits, 0) / n) AS recall, avg(coalesce(1 / first, 0)) AS mrr FROM q LEFT JOIN h USING (item_id) GROUP BY category""", "precision recall mrr")
+def retrieval_benchmark(spark, sf_dir):
+    """Hybrid search's metrics by category of query."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rel = bench.select("item_id", (F.col("item_id") % 7).alias("_k")).join(docs.where("source IN ('src0', 'src1')").select("doc_id", (F.col("doc_id") % 7).alias("_k")), "_k").drop("_k")
+    m = R.ranking_metrics(_hybrid(spark, sf_dir), rel, "item_id", "doc_id", 10)
+    return m.groupBy((F.col("item_id") % 3).alias("category")).agg(F.count(F.lit(1)).alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
