@@ -260,6 +260,29 @@ def test_secrets_without_a_digit(spark):
     assert got == {1: "random:2:26", 2: "assign:0:31", 3: "", 4: "access:0:24"}
 
 
+def test_pipeline_stages(spark, odd, none, sf_dir):
+    """Nulls, repeats, long texts, an empty table and foreign columns in every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none, odd.select("doc_id", "text")):
+            out = stage(spark, docs, sf_dir)
+            rows = out.collect()
+            if docs is none:
+                assert rows == []
+            if name != "byte_bpe":
+                assert out.columns == docs.columns
+            if name in ("pii_redaction", "byte_bpe"):
+                assert len(rows) == docs.count()
+
+
+def test_written_shards(spark, odd, tmp_path):
+    placed = sharding.placed(odd, sharding.lookup_table(spark, ["a", "b", "c"], 31), "doc_id", 31)
+    sharding.write_shards(placed, str(tmp_path / "shards"), 2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, back.groupBy("shard").count().collect())) == sorted(map(str, placed.groupBy("shard").count().collect()))
+
+
 def test_sharding(spark, odd, none):
     table = sharding.lookup_table(spark, ["a", "b", "c"], 31)
     rows = table.collect()

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -227,20 +228,96 @@ def test_passages_cover_exact_repeats(spark, sf_dir, docs):
 
 
 def test_pipeline(spark, sf_dir, duck, docs):
+    """Every stage against plain Python on what the stage before it kept."""
     import corpus_pipeline
+    from orebed.llm import pii, quality
 
     stages = dict(corpus_pipeline.STAGES)
     table = start = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = {}
+    kept, texts = {}, {}
     for name, stage in stages.items():
         table = stage(spark, table, sf_dir)
         if name != "byte_bpe":
             assert table.columns == start.columns
             table = table.checkpoint()
-        ids[name] = {r.doc_id for r in table.select("doc_id").collect()}
-    assert set(docs) >= ids["quality_filter"] >= ids["near_dedup"] >= ids["decontamination"] == ids["pii_redaction"] == ids["byte_bpe"]
+            texts[name] = {r.doc_id: r.text or "" for r in table.select("doc_id", "text").collect()}
+        kept[name] = sorted(r.doc_id for r in table.select("doc_id").collect())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.scored(start, quality.fit(start, labels.where(~quality.held_out()))).collect()
+    assert kept["quality_filter"] == sorted(r.doc_id for r in scored if r.predicted == 1)
+    fps = {i: plain_fingerprint(t) for i, t in texts["quality_filter"].items()}
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fps)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert kept["near_dedup"] == sorted({find(i) for i in ids})
+    items = [plain_words(t or "") for (t,) in duck.sql("SELECT text FROM benchmark").fetchall()]
+    runs = [{tuple(w[n : n + 5]) for n in range(len(w) - 4)} for w in items]
+
+    def leaks(words):
+        own = {tuple(words[n : n + 5]) for n in range(len(words) - 4)}
+        near = [w for w, r in zip(items, runs, strict=True) if len(own & r) * 5 >= 0.6 * len(w)]
+        return any(plain_tiling(words, w) >= 0.6 * len(w) for w in near if len(w) >= 5) or any(words == w for w in items if 0 < len(w) < 5)
+
+    assert kept["decontamination"] == [i for i in kept["near_dedup"] if not leaks(plain_words(texts["near_dedup"][i]))]
+    assert kept["pii_redaction"] == kept["decontamination"] == kept["byte_bpe"]
+    for i, t in texts["pii_redaction"].items():
+        out, at = "", 0
+        for k, s, e in sorted(pii.trained().spans(texts["decontamination"][i]), key=lambda c: (c[1], -c[2])):
+            if s >= at:
+                out += texts["decontamination"][i][at:s] + f"<{k}>"
+            at = max(at, e)
+        assert t == out + texts["decontamination"][i][at:]
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert {r.doc_id: list(r.ids) for r in table.collect()} == {i: plain.encode_ordinary(t) for i, t in texts["pii_redaction"].items()}
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(str, whole.collect())) == sorted(map(str, table.collect()))
-    labels = dict(duck.sql("SELECT doc_id, min(quality) FROM labels WHERE quality IN (0, 1) GROUP BY doc_id").fetchall())
-    good = [i for i, y in labels.items() if y == 1]
-    assert sum(i in ids["quality_filter"] for i in good) > 0.9 * len(good)
+    labelled = dict(duck.sql("SELECT doc_id, min(quality) FROM labels WHERE quality IN (0, 1) GROUP BY doc_id").fetchall())
+    good = [i for i, y in labelled.items() if y == 1]
+    assert sum(i in kept["quality_filter"] for i in good) > 0.9 * len(good)
+
+
+def test_scores_of_a_fixed_model(spark, docs, sf_dir):
+    """A made table of bucket values: the score of every whole text, one feature after the other."""
+    from orebed.llm import quality
+    from orebed.llm.grams import _KIND
+    from orebed.llm.kernels import Words, utf8
+
+    table = np.random.default_rng(0).standard_normal(1 << quality.BITS)
+    model = quality.Fitted(table, 0.1, 2.0, -0.2)
+    got = {r.doc_id: r.score for r in quality.scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).collect()}
+    mask = (1 << 64) - 1
+    odd = [(2 * k + 1) * 0x9E3779B97F4A7C15 & mask for k in range(16)]
+
+    def slot(value, salt):
+        x = (value + salt + 1) * odd[salt % 16] & mask
+        x ^= x >> 29
+        return (x * 0xBF58476D1CE4E5B9 & mask) >> (64 - quality.BITS)
+
+    for i, text in sorted(docs.items())[:40]:
+        found = []
+        for k, n in enumerate(quality.ORDERS):
+            for at in range(len(text) - n + 1):
+                h = 0
+                for c in text[at : at + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                found.append(slot(h, k))
+        raw, offsets = utf8(pa.array([text], "large_string"))
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        hashes = Words(raw, offsets).hash.tolist()
+        assert len(hashes) == len(words)
+        lower = [w.lower() for w in words]
+        for at, (w, h) in enumerate(zip(words, hashes, strict=True)):
+            before = int(_KIND[words[at - 1][-1]]) if at else 0
+            again = lower[at] in lower[max(0, at - 4) : at]
+            found += [slot(h, len(quality.ORDERS)), slot(((before * 8 + int(_KIND[w[0]])) * 8 + int(_KIND[w[-1]])) * 2 + again, len(quality.ORDERS) + 1)]
+        z = (sum(table[s] for s in found) / max(1, len(found)) + 0.1) * 2.0 - 0.2
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
