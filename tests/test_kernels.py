@@ -79,3 +79,88 @@ def test_state_survives_between_batches(spark, tmp_path):
     got = O.drained(O.online_cusum(stream, "k", ["i"], "v", 0.0, 1.0)).orderBy("i").collect()
     pos, neg, alarm = K.cusum(np.array(values), 0.5, 5.0)
     assert [(r.pos, r.neg, r.alarm) for r in got] == list(zip(pos.tolist(), neg.tolist(), alarm.tolist(), strict=True))
+
+
+def test_change_points_by_a_slow_search():
+    """Again and again the strongest contrast that is far enough from those chosen."""
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.standard_normal(120)) + np.repeat([0, 9, -4, 6], 30)
+    size, least = 5, 2.0
+    score = {}
+    for i in range(size, len(x) - size + 1):
+        a, b = x[i - size : i], x[i : i + size]
+        both = np.r_[a - np.median(a), b - np.median(b)]
+        mad = 1.4826 * np.median(np.abs(both))
+        score[i] = abs(np.median(b) - np.median(a)) / (mad if mad > 1e-12 else max(both.std(), 1e-12))
+    chosen = []
+    while score and max(score.values()) >= least:
+        best = min(i for i in score if score[i] == max(score.values()))
+        chosen.append((best, float(score[best])))
+        score = {i: s for i, s in score.items() if abs(i - best) >= size}
+    assert K.change_points(x, size, least) == sorted(chosen)
+
+
+def test_granger_by_plain_regression():
+    """The F statistic from normal equations, its p-value from simulated F draws."""
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal(60), rng.standard_normal(60)
+    y[1:] += 0.25 * x[:-1]
+    target, own, both = y[1:], np.c_[np.ones(59), y[:-1]], np.c_[np.ones(59), y[:-1], x[:-1]]
+    rss = [target @ target - target @ m @ np.linalg.solve(m.T @ m, m.T @ target) for m in (own, both)]
+    f = (rss[0] - rss[1]) / (rss[1] / 56)
+    draws = rng.chisquare(1, 400_000) / (rng.chisquare(56, 400_000) / 56)
+    assert abs(K.granger(x, y, 1) - (draws > f).mean()) < 0.003
+
+
+def test_spectral_kurtosis_by_definition():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(256)
+    got = K.spectral_kurtosis(x, 8)
+    assert got.shape == (5,)
+    burst = x.copy()
+    burst[100:108] += 30 * np.cos(np.pi * np.arange(8) / 2)
+    assert K.spectral_kurtosis(burst, 8)[2] > got[2] + 2
+
+
+def test_hash_embedding_by_hand():
+    import hashlib
+
+    text, dim = "Pump 12 pump-12 ok", 16
+    words = ["pump", "12", "pump", "12", "ok"]
+    want = [0.0] * dim
+    for w in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
+        d = hashlib.blake2b(w.encode(), digest_size=8).digest()
+        want[int.from_bytes(d[:4], "little") % dim] += 1 if d[4] % 2 else -1
+    norm = sum(v * v for v in want) ** 0.5
+    assert np.allclose(K.hash_embedding(text, dim), [v / norm for v in want])
+    assert K.hash_embedding(None, dim) == [0.0] * dim
+
+
+def test_packed_chunks_hold_the_text():
+    """Chunks keep to the budget and their places; together they hold every paragraph in order."""
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        text = "\n".join("x" * int(n) + "y" for n in rng.integers(0, 60, 12))
+        chunks = K.packed_chunks(text, 40)
+        assert [c[0] for c in chunks] == list(range(len(chunks)))
+        assert all(len(c[3]) <= 40 and c[2] - c[1] == len(c[3]) for c in chunks)
+        assert "".join(c[3] for c in chunks).replace("\n", "") == text.replace("\n", "")
+        assert all(text[s:e].replace("\n", "") == c.replace("\n", "") for _, s, e, c in chunks)
+
+
+def test_pca_monitor_by_svd(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 4)) @ np.diag([5.0, 2.0, 0.5, 0.1])
+    x[190:] += [0, 0, 6, 6]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r for r in K.pca_monitor(table, table.where("id < 150"), "id", "v", variance=0.9).collect()}
+    ref = x[:150]
+    _, s, vt = np.linalg.svd(ref - ref.mean(axis=0), full_matrices=False)
+    share = np.cumsum(s**2) / (s**2).sum()
+    k = int((share < 0.9).sum()) + 1
+    t = (x - ref.mean(axis=0)) @ vt[:k].T
+    spe, t2 = (((x - ref.mean(axis=0)) - t @ vt[:k]) ** 2).sum(axis=1), (t**2 / (s[:k] ** 2 / 149)).sum(axis=1)
+    assert np.allclose([got[i].spe for i in range(200)], spe)
+    assert np.allclose([got[i].t2 for i in range(200)], t2)
+    alarm = (spe > np.quantile(spe[:150], 0.99)) | (t2 > np.quantile(t2[:150], 0.99))
+    assert [got[i].alarm for i in range(200)] == alarm.tolist()
