@@ -213,3 +213,42 @@ def retry_policy(df: DataFrame, retries: Column, most: int = 2) -> DataFrame:
     weak = (F.col("supported") == 0) | (F.try_divide("supported", "total") < 0.6) | (F.col("insufficient") > 0) | (F.col("contradicted") > 0)
     lost = (F.col("supported") == 0) | (F.col("contradicted") > F.col("supported")) | (F.col("score") < 0.4)
     return df.withColumn("retry", some & (retries < most) & weak).withColumn("abstain", some & lost)
+
+
+def selected_evidence(df: DataFrame, key: str, item: str, terms: Column, text: Column, top: int, shared: int = 1) -> DataFrame:
+    """(key, item, place, omitted): current evidence by whether it is cited, shared terms, then score, top of each key; what shares too little is out unless cited.
+
+    df: key, item, cited, superseded, score. omitted counts the key's eligible rows beyond top.
+    """
+    n = F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), terms))
+    rows = df.withColumn("_n", n).where(~F.col("superseded") & (F.col("cited") | (F.col("_n") >= shared)))
+    w = Window.partitionBy(key).orderBy(F.desc("cited"), F.desc("_n"), F.desc(F.round("score", 9)), item)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
+    placed = rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top)
+    return placed.join(counts, key).select(key, item, "place", F.greatest(F.col("_all") - top, F.lit(0)).alias("omitted"))
+
+
+def evidence_quality(ranked: DataFrame, key: str, top: int = 4) -> DataFrame:
+    """Per key: sources among its top rows and a class: STRONG (three or more, one of them current), MIXED, WEAK (one source) or NONE current."""
+    g = ranked.where(F.col("place") <= top).groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("sources"), F.count_if("current").alias("current"))
+    return g.withColumn("quality", ladder("MIXED", (F.col("current") == 0, "NONE"), (F.col("sources") >= 3, "STRONG"), (F.col("sources") == 1, "WEAK")))
+
+
+# Words that hedge and words that leave no doubt.
+HEDGES, ABSOLUTES = "(?i)\\b(?:maybe|perhaps|might|could|possibly|likely|about)\\b", "(?i)\\b(?:always|never|all|none|every|must|certainly)\\b"
+SHAPES = {"numbers": "[0-9]+", "percents": "[0-9]%", "currencies": "[$€£]", "questions": "\\?", "exclaims": "!", "quotes": "\"", "lines": "\\n", "links": "https?://", "citations": "\\[[0-9]+\\]", "brackets": "[()]", "commas": ",", "hedges": HEDGES, "absolutes": ABSOLUTES, "capitals": "[A-Z]", "digits": "[0-9]", "codes": "[A-Z]{2,}[0-9]+"}
+
+
+def shape_features(text: Column) -> dict[str, Column]:
+    """Counts of what a text's risk is read from, and mean word length."""
+    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    out = {f"n_{k}": F.regexp_count(text, F.lit(p)) for k, p in SHAPES.items()}
+    mean = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.size(words)).otherwise(0.0)
+    return out | {"n_words": F.size(words), "mean_word": mean}
+
+
+def measured_ranges(text: Column) -> Column:
+    """array<struct<low, high, unit>>: all ranges with a unit in a text."""
+    p = "(?i)([0-9]+(?:\\.[0-9]+)?)\\s*(?:to|-|–)\\s*([0-9]+(?:\\.[0-9]+)?)\\s*(bar|mm/s|kpa|psi|c)\\b"
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(p), F.lit(i)).alias(n) for i, n in ((1, "low"), (2, "high"), (3, "unit"))])
+    return F.transform(parts, lambda x: F.struct(x["low"].cast("double").alias("low"), x["high"].cast("double").alias("high"), F.lower(x["unit"]).alias("unit")))

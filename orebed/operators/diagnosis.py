@@ -236,3 +236,74 @@ def phase_swaps(df: DataFrame, phases: list[str], label: str) -> DataFrame:
     orders = [list(phases)] + [[phases[j] if i == 0 else phases[0] if i == j else p for i, p in enumerate(phases)] for j in range(1, len(phases))]
     made = F.array(*[F.struct(F.lit(k).alias("variant"), *[F.col(src).alias(dst) for dst, src in zip(phases, o, strict=True)]) for k, o in enumerate(orders)])
     return df.withColumn("_v", F.explode(made)).select(*[c for c in df.columns if c not in phases and c != label], label, "_v.*")
+
+
+def ranker_evaluation(ranked: DataFrame, truth: DataFrame, unit: str, candidate: str, margin: float) -> DataFrame:
+    """Accuracy of first and of first three candidates, share of abstentions (first margin below margin) and of confident errors.
+
+    ranked: unit, candidate, rank, margin (to the next); truth: unit, candidate.
+    """
+    t = truth.select(unit, F.col(candidate).alias("_true"))
+    g = ranked.where("rank <= 3").join(t, unit).groupBy(unit).agg(F.bool_or((F.col("rank") == 1) & (F.col(candidate) == F.col("_true"))).alias("_one"), F.bool_or(F.col(candidate) == F.col("_true")).alias("_three"), F.max(F.when(F.col("rank") == 1, F.coalesce("margin", F.lit(1.0)))).alias("_m"))
+    avg = lambda c: F.avg(c.cast("double"))
+    abstain = F.round("_m", 9) < margin
+    return g.agg(F.count(F.lit(1)).alias("n"), avg(F.col("_one")).alias("top1"), avg(F.col("_three")).alias("top3"), avg(abstain).alias("abstained"), avg(~abstain & ~F.col("_one")).alias("confident_errors"))
+
+
+def blended_roots(df: DataFrame, unit: list[str], candidate: str, weights: dict[str, float], onset: str, onset_weight: float, decay: float = 0.82) -> DataFrame:
+    """df with score: weighted components, each over the unit's largest, plus onset_weight times decay to the place of the candidate's onset (null: none)."""
+    w = Window.partitionBy(*unit)
+    parts = [F.lit(v) * F.col(c) / F.greatest(F.max(c).over(w), F.lit(1e-12)) for c, v in weights.items()]
+    place = F.row_number().over(w.orderBy(F.col(onset).asc_nulls_last(), candidate)) - 1
+    early = F.when(F.col(onset).isNotNull(), F.pow(F.lit(decay), place)).otherwise(0.0)
+    return df.withColumn("score", reduce(lambda a, b: a + b, parts) + onset_weight * early)
+
+
+def fault_types(df: DataFrame, keys: list[str], z: str = "z", index: str = "t_idx") -> DataFrame:
+    """Per key: scores in 0 to 1 of a sustained shift, a drift, a change in spread, a stuck signal and single extremes, from thirds of the series, and the strongest."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("_third", F.floor(F.col(index) * 3 / F.count(F.lit(1)).over(w))).withColumn("_d", F.abs(F.col(z) - F.lag(z).over(w.orderBy(index))))
+    part = lambda f, k: f(F.when(F.col("_third") == k, F.col(z)))
+    g = rows.groupBy(*keys).agg(part(F.avg, 0).alias("_m0"), part(F.avg, 2).alias("_m2"), part(F.stddev_pop, 0).alias("_s0"), part(F.stddev_pop, 2).alias("_s2"), (F.regr_slope(F.col(z), F.col(index).cast("double")) * F.count(F.lit(1))).alias("_drift"), F.avg((F.col("_d") < 1e-9).cast("double")).alias("_flat"), F.max(F.abs(z)).alias("_peak"), F.avg(F.abs(z)).alias("_level"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    scores = {
+        "shift": F.tanh(F.abs(zero("_m2") - zero("_m0")) / 2),
+        "drift": F.tanh(F.abs(zero("_drift")) / 3),
+        "spread": F.tanh(F.abs(F.ln((zero("_s2") + 0.1) / (zero("_s0") + 0.1)))),
+        "stuck": zero("_flat"),
+        "extreme": F.tanh(F.greatest(zero("_peak") - 3 * zero("_level"), F.lit(0.0)) / 4),
+    }
+    g = g.select(*keys, *[c.alias(n) for n, c in scores.items()])
+    best = F.array_max(F.array(*[F.struct(F.round(n, 9).alias("s"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(scores)]))
+    return g.withColumn("strongest", best["n"])
+
+
+def platt(df: DataFrame, truth: str, score: str, steps: int = 6) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve of truth over score by Newton steps; each step is one aggregate, and five numbers reach the driver."""
+    a = b = 0.0
+    for _ in range(steps):
+        p = 1 / (1 + F.exp(-(F.lit(a) * F.col(score) + F.lit(b))))
+        w = p * (1 - p)
+        x = F.col(score)
+        r = df.agg(F.sum((F.col(truth) - p) * x).alias("ga"), F.sum(F.col(truth) - p).alias("gb"), F.sum(w * x * x).alias("aa"), F.sum(w * x).alias("ab"), F.sum(w).alias("bb")).first()
+        det = r.aa * r.bb - r.ab * r.ab
+        if det <= 1e-12:
+            break
+        a, b = a + (r.bb * r.ga - r.ab * r.gb) / det, b + (r.aa * r.gb - r.ab * r.ga) / det
+    return a, b
+
+
+def cross_validated_weights(scores: DataFrame, unit: str, candidate: str, grid: DataFrame, weights: list[str], fold: str) -> DataFrame:
+    """(fold, grid, train_accuracy, accuracy): for each fold the weights (grid rows of id and weights) that find most roots outside it, the first of equals, and their accuracy inside.
+
+    scores: unit, candidate, fold, is_root and a column for each weight. The grid is a few rows and is broadcast.
+    """
+    total = reduce(lambda a, b: a + b, [F.col(w) * F.col(f"_w_{w}") for w in weights])
+    few = F.broadcast(grid.select(F.col("id").alias("grid"), *[F.col(w).alias(f"_w_{w}") for w in weights]))
+    j = scores.join(few).withColumn("_s", F.round(total, 9))
+    best = j.groupBy("grid", fold, unit).agg(F.max_by("is_root", F.struct("_s", (-F.col(candidate)).alias("c"))).alias("_hit"))
+    per = best.groupBy("grid", fold).agg(F.sum(F.col("_hit").cast("long")).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("grid")  # a row for each fold
+    per = per.withColumn("train_accuracy", (F.sum("_h").over(w) - F.col("_h")) / (F.sum("_n").over(w) - F.col("_n"))).withColumn("accuracy", F.col("_h") / F.col("_n"))
+    first = F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("train_accuracy"), "grid")) == 1
+    return per.withColumn("_f", first).where("_f").select(fold, "grid", "train_accuracy", "accuracy")

@@ -209,3 +209,34 @@ def retry_policy(spark, sf_dir):
     n = lambda c: F.count_if(F.expr(c))
     v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("total"), n("l_returnflag = 'A'").alias("supported"), n("l_returnflag = 'R'").alias("contradicted"), n("l_returnflag = 'N' AND l_tax > 0.06").alias("insufficient"), F.round(F.avg("l_discount") * 8, 9).alias("score"))
     return C.retry_policy(v, F.col("l_orderkey") % 4).select("l_orderkey", "retry", "abstain")
+
+
+@query("evidence_selection", """WITH e AS (SELECT l_suppkey % 50 AS k, p_partkey, p_size % 9 = 0 AS cited, p_size % 4 = 0 AS superseded, p_retailprice AS score, len(list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), ['red', 'bolt', 'small'])) AS n FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey),
+d AS (SELECT DISTINCT * FROM e WHERE NOT superseded AND (cited OR coalesce(n, 0) >= 1)) SELECT k, p_partkey, row_number() OVER (PARTITION BY k ORDER BY cited DESC, n DESC, round(score, 9) DESC, p_partkey) AS place, greatest(count(*) OVER (PARTITION BY k) - 5, 0) AS omitted FROM d QUALIFY place <= 5""")
+def evidence_selection(spark, sf_dir):
+    """Parts as evidence for groups of suppliers."""
+    links = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("k"), F.col("l_partkey").alias("p_partkey")).distinct()
+    e = links.join(table(spark, sf_dir, "part"), "p_partkey").select("k", "p_partkey", "p_name", (F.col("p_size") % 9 == 0).alias("cited"), (F.col("p_size") % 4 == 0).alias("superseded"), F.col("p_retailprice").alias("score"))
+    return C.selected_evidence(e, "k", "p_partkey", F.array(F.lit("red"), F.lit("bolt"), F.lit("small")), F.col("p_name"), 5)
+
+
+@query("evidence_quality", """WITH r AS (SELECT l_orderkey, l_suppkey % 4 AS source, l_linestatus = 'O' AS current, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber) AS place FROM lineitem), g AS (SELECT l_orderkey, count(*) AS rows, count(DISTINCT source) AS sources, count(*) FILTER (current) AS current FROM r WHERE place <= 4 GROUP BY l_orderkey)
+SELECT *, CASE WHEN current = 0 THEN 'NONE' WHEN sources >= 3 THEN 'STRONG' WHEN sources = 1 THEN 'WEAK' ELSE 'MIXED' END AS quality FROM g""")
+def evidence_quality(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey", "l_suppkey", "l_linenumber")
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 4).alias("source"), (F.col("l_linestatus") == "O").alias("current"), F.row_number().over(w).alias("place"))
+    return C.evidence_quality(r, "l_orderkey")
+
+
+@query("shape_features", f"""WITH d AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, {', '.join(f"len(regexp_extract_all(text, '{q(p)}'))::INT AS n_{k}" for k, p in C.SHAPES.items())}, len(w)::INT AS n_words, CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) WHEN w IS NOT NULL THEN 0 END::DOUBLE AS mean_word FROM d""", "mean_word")
+def shape_features(spark, sf_dir):
+    """Eighteen features of every whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in C.shape_features(F.col("text")).items()])
+
+
+@query("measured_ranges", f"WITH {FACTS_SQL} SELECT doc, (l_partkey % 300 % 7 + CASE WHEN doc % 97 = 0 THEN 1 ELSE 0 END)::DOUBLE AS low, (l_partkey % 300 % 7 + 5)::DOUBLE AS high, 'bar' AS unit FROM st")
+def measured_ranges(spark, sf_dir):
+    """Ranges with units in all statements, whatever else these say."""
+    return statements(spark, sf_dir).select("doc", F.explode(C.measured_ranges(F.col("text"))).alias("r")).select("doc", "r.low", "r.high", "r.unit")

@@ -191,3 +191,61 @@ SELECT l_orderkey, l_linenumber, 0 AS variant, a, b, c FROM p UNION ALL SELECT l
 def phase_swaps(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"))
     return D.phase_swaps(rows, ["a", "b", "c"], "l_linenumber")
+
+
+RANKED_SQL = """rk AS (SELECT l_partkey AS unit, l_suppkey AS cand, sum(l_quantity) AS s FROM lineitem GROUP BY ALL), ra AS (SELECT *, row_number() OVER w AS rank, (s - lead(s) OVER w) / 50 AS margin FROM rk WINDOW w AS (PARTITION BY unit ORDER BY s DESC, cand)), tr AS (SELECT p_partkey AS unit, p_partkey % 10 AS cand FROM part)"""
+
+
+@query("ranker_evaluation", f"""WITH {RANKED_SQL}, g AS (SELECT unit, bool_or(rank = 1 AND ra.cand = tr.cand) AS one, bool_or(ra.cand = tr.cand) AS three, max(coalesce(margin, 1)) FILTER (rank = 1) AS m FROM ra JOIN tr USING (unit) WHERE rank <= 3 GROUP BY unit)
+SELECT count(*) AS n, avg(one::INT) AS top1, avg(three::INT) AS top3, avg((round(m, 9) < 0.2)::INT) AS abstained, avg((NOT round(m, 9) < 0.2 AND NOT one)::INT) AS confident_errors FROM g""", "top1 top3 abstained confident_errors")
+def ranker_evaluation(spark, sf_dir):
+    """Suppliers ranked for each part by quantity, against a stated one."""
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg(F.sum("l_quantity").alias("s"))
+    w = Window.partitionBy("unit").orderBy(F.desc("s"), "cand")
+    ranked = s.withColumn("rank", F.row_number().over(w)).withColumn("margin", (F.col("s") - F.lead("s").over(w)) / 50)
+    return D.ranker_evaluation(ranked, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), (F.col("p_partkey") % 10).alias("cand")), "unit", "cand", 0.2)
+
+
+@query("process_roots", """WITH s AS (SELECT user_id, event_type, avg(value) AS shift, coalesce(stddev_pop(value), 0) AS spread, count(*)::DOUBLE AS burden, min(epoch(ts)) FILTER (value > 12) AS onset FROM events GROUP BY ALL)
+SELECT user_id, event_type, 0.35 * shift / greatest(max(shift) OVER w, 1e-12) + 0.35 * burden / greatest(max(burden) OVER w, 1e-12) + 0.2 * spread / greatest(max(spread) OVER w, 1e-12) + 0.1 * CASE WHEN onset IS NOT NULL THEN pow(0.82, row_number() OVER (PARTITION BY user_id ORDER BY onset NULLS LAST, event_type) - 1) ELSE 0 END AS score FROM s WINDOW w AS (PARTITION BY user_id)""", "score")
+def process_roots(spark, sf_dir):
+    """Candidates by shift, burden and spread, early ones ahead."""
+    s = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("shift"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("spread"), F.count(F.lit(1)).cast("double").alias("burden"), F.min(F.when(F.col("value") > 12, S.seconds("ts"))).alias("onset"))
+    return D.blended_roots(s, ["user_id"], "event_type", {"shift": 0.35, "burden": 0.35, "spread": 0.2}, "onset", 0.1).select("user_id", "event_type", "score")
+
+
+@query("fault_types", f"""WITH {Z_SQL}, r AS (SELECT *, t_idx * 3 // n AS third, abs(z - lag(z) OVER (PARTITION BY user_id, event_type ORDER BY t_idx)) AS d FROM z),
+g AS (SELECT user_id, event_type, coalesce(avg(z) FILTER (third = 0), 0) AS m0, coalesce(avg(z) FILTER (third = 2), 0) AS m2, coalesce(stddev_pop(z) FILTER (third = 0), 0) AS s0, coalesce(stddev_pop(z) FILTER (third = 2), 0) AS s2, coalesce(regr_slope(z, t_idx) * count(*), 0) AS dr, coalesce(avg((d < 1e-9)::INT), 0) AS fl, coalesce(max(abs(z)), 0) AS pk, coalesce(avg(abs(z)), 0) AS lv FROM r GROUP BY ALL),
+s AS (SELECT user_id, event_type, tanh(abs(m2 - m0) / 2) AS shift, tanh(abs(dr) / 3) AS drift, tanh(abs(ln((s2 + 0.1) / (s0 + 0.1)))) AS spread, fl AS stuck, tanh(greatest(pk - 3 * lv, 0) / 4) AS extreme FROM g)
+SELECT *, list_sort([{{'s': round(shift, 9), 'i': 0, 'n': 'shift'}}, {{'s': round(drift, 9), 'i': -1, 'n': 'drift'}}, {{'s': round(spread, 9), 'i': -2, 'n': 'spread'}}, {{'s': round(stuck, 9), 'i': -3, 'n': 'stuck'}}, {{'s': round(extreme, 9), 'i': -4, 'n': 'extreme'}}])[-1].n AS strongest FROM s""", "shift drift spread stuck extreme")
+def fault_types(spark, sf_dir):
+    return D.fault_types(zscored(spark, sf_dir), SERIES)
+
+
+def _newton_sql(steps: int) -> str:
+    out = ["n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(steps):
+        out.append(f"m{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((y - p) * x) AS ga, sum(y - p) AS gb, sum(p * (1 - p) * x * x) AS aa, sum(p * (1 - p) * x) AS ab, sum(p * (1 - p)) AS bb FROM (SELECT y, x, a, b, 1 / (1 + exp(-(a * x + b))) AS p FROM s, n{k}))")
+        out.append(f"n{k + 1} AS (SELECT a + (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b + (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM m{k})")
+    return ", ".join(out)
+
+
+@query("platt_calibration", f"""WITH s AS (SELECT doc_id, toxic AS y, ((doc_id * 37) % 101) / 100.0::DOUBLE + 0.3 * toxic AS x FROM labels), {_newton_sql(6)} SELECT doc_id, x, 1 / (1 + exp(-(a * x + b))) AS calibrated FROM s, n6""", "x calibrated")
+def platt_calibration(spark, sf_dir):
+    """Scores of the labelled documents through the logistic curve that fits them best."""
+    s = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"), (((F.col("doc_id") * 37) % 101) / F.lit(100.0) + 0.3 * F.col("toxic")).alias("x"))
+    a, b = D.platt(s, "y", "x")
+    return s.select("doc_id", "x", (1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))).alias("calibrated"))
+
+
+@query("root_weights_cv", """WITH s AS (SELECT l_partkey AS unit, l_suppkey AS cand, l_partkey % 3 AS fold, l_suppkey = l_partkey % 10 AS is_root, sum(l_quantity) / 100 AS q, sum(l_discount) AS d, count(*) / 5.0 AS c FROM lineitem GROUP BY ALL), g(id, wq, wd, wc) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 1.0), (3, 0.5, 0.5, 0.0), (4, 0.2, 0.3, 0.5)),
+b AS (SELECT id, fold, unit, is_root FROM s, g QUALIFY row_number() OVER (PARTITION BY id, unit ORDER BY round(q * wq + d * wd + c * wc, 9) DESC, cand) = 1), p AS (SELECT id, fold, sum(is_root::INT) AS h, count(*) AS n FROM b GROUP BY ALL),
+t AS (SELECT *, (sum(h) OVER (PARTITION BY id) - h) / (sum(n) OVER (PARTITION BY id) - n) AS train_accuracy, h / n AS accuracy FROM p) SELECT fold, id AS grid, train_accuracy, accuracy FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train_accuracy DESC, id) = 1""", "train_accuracy accuracy")
+def root_weights_cv(spark, sf_dir):
+    """Weights of three scores chosen on two folds of the parts and tried on the third."""
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("unit"), F.col("l_suppkey").alias("cand")).agg((F.sum("l_quantity") / 100).alias("q"), F.sum("l_discount").alias("d"), (F.count(F.lit(1)) / 5.0).alias("c"))
+    s = s.withColumn("fold", F.col("unit") % 3).withColumn("is_root", F.col("cand") == F.col("unit") % 10)
+    grid = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 1.0), (3, 0.5, 0.5, 0.0), (4, 0.2, 0.3, 0.5)], "id int, q double, d double, c double")
+    return D.cross_validated_weights(s, "unit", "cand", grid, ["q", "d", "c"], "fold")
