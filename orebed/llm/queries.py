@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm import ann, bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
+from orebed.llm import ann, bpe, decontam, divergence, langid, passages, pii, quality, repair, secrets, sharding, simhash, warc
 from orebed.llm.kernels import bucket_of, documents
 
 
@@ -70,6 +70,21 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back from byte ranges of them."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each language's sources, and the terms that lead each source."""
+    return divergence.audited(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -81,9 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pii": op9_pii,
     "op10_simhash_neardup": op10_simhash_neardup,
+    "op11_warc": op11_warc,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.oracle_sql(),
     "op3_secrets": secrets.oracle_sql(),
+    "op11_warc": warc.oracle_sql(),
+    "op12_conversation_repair": repair.oracle_sql(),
+    "op13_source_divergence": divergence.oracle_sql(),
 }
