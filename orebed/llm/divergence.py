@@ -10,6 +10,7 @@ terms' postings: what both sources have is added up term by term, the rest by ea
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +35,48 @@ TOP = 50
 PER_OCTAVE = 8
 #: Each round evaluates up to this many times the terms of the round before.
 WIDEN = 8
-#: Sums of pairs that a task holds before it passes them on.
-PAIRS_HELD = 1 << 20
+#: Sums of terms that a task holds before it passes them on.
+HELD = 400_000
+#: Pairs of postings that a task adds up at once.
+PAIRS = 1 << 20
 GROUP = ["lang", "source"]
+#: Byte map that lower-cases A-Z and turns what stands between terms into spaces.
+_PLAIN = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term of each group, added up before they are shuffled."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))), words.alias("words"))
-    both = F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))),
-    )
-    return plain.select(*GROUP, F.inline(both)).groupBy(*GROUP, "term").agg(F.sum("n").cast("long").alias("n"), F.sum("docs").cast("long").alias("docs"))
+    """(lang, source, term, n, docs): occurrences and documents of each term of each group, dealt by lang and term.
+
+    A task adds up what it reads and passes its sums on whenever HELD of them have come together.
+    """
+    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        since = 0
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, in_docs) in held.items():
+                if n:
+                    terms = pa.array(list(n), pa.binary()).view(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), terms, pa.array(list(n.values()), pa.int64()), pa.array([in_docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = text.translate(_PLAIN).split()
+                n, in_docs = held[lang, source]
+                since -= len(n)
+                n.update(terms)
+                in_docs.update(set(terms))
+                since += len(n)
+                if since >= HELD:
+                    yield from passed()
+                    since = 0
+        yield from passed()
+
+    sums = plain.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return sums.repartition("lang", "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str | int, total: str, terms: str) -> F.Column:
@@ -130,47 +159,61 @@ class Audit:
     def met(self) -> DataFrame:
         """(lang, source, item, mend): over the terms that both have, abs(p - p') in place of what histograms and zeros count for them.
 
-        A term's postings stand together; a task adds up pairs of sources over all its terms and passes sums on, never pairs of a term.
+        A term's postings stand together; a task adds up pairs of sources over a block of terms and passes sums on, never pairs of a term.
         """
         rows = self.postings.join(self.groups.select(*GROUP, "zero"), GROUP).select("lang", "term", "source", "p", "zero")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[str, str, str], int] = {}
-
-            def passed() -> pa.RecordBatch:
-                keys = list(held)
-                out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(held.values()), pa.int64())], names=["lang", "source", "item", "mend"])
-                held.clear()
-                return out
-
-            for lang, sources, p, zero in postings_of(batches):
-                for i in range(len(sources) - 1):
-                    mend = np.abs(p[i] - p[i + 1 :]) - np.abs(p[i] - zero[i + 1 :]) - np.abs(p[i + 1 :] - zero[i]) + np.abs(zero[i] - zero[i + 1 :])
-                    for other, m in zip(sources[i + 1 :], mend.tolist(), strict=True):
-                        key = (lang, sources[i], other)
-                        held[key] = held.get(key, 0) + m
-                    if len(held) >= PAIRS_HELD:
-                        yield passed()
-            if held:
-                yield passed()
+            for block in whole_terms(batches):
+                lang, source = (block.column(i).combine_chunks().dictionary_encode() for i in (0, 2))
+                codes = source.indices.to_numpy().astype(np.int64) + lang.indices.to_numpy().astype(np.int64) * len(source.dictionary)
+                p, zero = (block.column(i).to_numpy() for i in (3, 4))
+                for left, right in met_pairs(term_ends(block)):
+                    mend = np.abs(p[left] - p[right]) - np.abs(p[left] - zero[right]) - np.abs(p[right] - zero[left]) + np.abs(zero[left] - zero[right])
+                    keys, first, at = np.unique(codes[left] * len(source.dictionary) + codes[right] % len(source.dictionary), return_index=True, return_inverse=True)
+                    sums = np.zeros(len(keys), np.int64)
+                    np.add.at(sums, at, mend)
+                    of = [block.column(i).take(pa.array(x[first])).combine_chunks() for i, x in ((0, left), (2, left), (2, right))]
+                    yield pa.RecordBatch.from_arrays([*of, pa.array(sums)], names=["lang", "source", "item", "mend"])
 
         sorted_rows = rows.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
         half = sorted_rows.mapInArrow(run, "lang string, source string, item string, mend long").groupBy("lang", "source", "item").agg(F.sum("mend").alias("mend"))
         return half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "mend"))
 
 
-def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
-    """(lang, sources, shares, zeros) of one term after the other, from rows (lang, term, source, p, zero) that stand in order."""
-    key, held = None, []
+def term_ends(block: pa.Table) -> np.ndarray:
+    """For each row of a block (lang, term, ...) in order, the row after the last one of its term."""
+    lang, term = (block.column(i).combine_chunks().dictionary_encode().indices.to_numpy() for i in (0, 1))
+    last = np.flatnonzero(np.append((lang[1:] != lang[:-1]) | (term[1:] != term[:-1]), len(lang) > 0))
+    return np.repeat(last + 1, np.diff(last, prepend=-1))
+
+
+def whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in order of (lang, term), cut between terms."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for lang, term, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (lang, term) != key:
-                if len(held) > 1:
-                    yield key[0], [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
-                key, held = (lang, term), []
-            held.append(rest)
-    if len(held) > 1:
-        yield key[0], [h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])
+        block = pa.Table.from_batches([*held, batch])
+        ends = term_ends(block)
+        cut = int(np.searchsorted(ends, len(ends))) if len(ends) else 0
+        if cut:
+            yield block.slice(0, cut)
+            block = block.slice(cut)
+        held = block.to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def met_pairs(ends: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one term, as positions (earlier, later), about `most` at a time."""
+    after = ends - np.arange(len(ends)) - 1
+    done = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + most, side="right")) - 1)
+        left = np.repeat(np.arange(at, to), after[at:to])
+        if len(left):
+            yield left, left + 1 + np.arange(len(left)) - (done[left] - done[at])
+        at = to
 
 
 def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

@@ -255,7 +255,9 @@ DOCS = "doc_id long, text string, lang string, source string, term string, n lon
 
 
 @pytest.mark.parametrize(("min_docs", "top"), [(1, 3), (3, 7), (3, 1000), (10_000, 5)])
-def test_audit_by_definition(spark, min_docs, top):
+def test_audit_by_definition(spark, min_docs, top, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "PAIRS", 10)
     rng = random.Random(min_docs * top)
     vocabulary = [f"{a}{b}" for a in "AabcéßÉ" for b in "xyz\U0001f600́"]
     rows = [(" ".join(rng.choices(vocabulary[: rng.randint(1, 30)], k=rng.randint(0, 40))), rng.choice(["en", "de", None, ""]), rng.choice(["s1", "s2", "é", None, "hot", "hot", "hot"])) for _ in range(300)]
@@ -273,6 +275,11 @@ def test_audit_of_nothing(spark):
 
 
 def test_postings_stand_together_over_batches():
-    rows = [("l", "a", "s", 1, 0), ("l", "a", "t", 2, 0), ("l", "b", "s", 3, 0), ("m", "b", "s", 4, 0), ("m", "b", "t", 5, 1)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[i]]) for i in range(5)], names=list("abcde")) for r in rows]
-    assert [(lang, s, p.tolist()) for lang, s, p, _ in divergence.postings_of(iter(batches))] == [("l", ["s", "t"], [1, 2]), ("m", ["s", "t"], [4, 5])]
+    rows = [("l", "a", "s"), ("l", "a", "t"), ("l", "b", "s"), ("m", "b", "s"), ("m", "b", "t"), ("m", "b", "u"), ("m", "c", "s")]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_pylist([dict(zip("abc", r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        blocks = list(divergence.whole_terms(iter(batches)))
+        assert [tuple(r.values()) for b in blocks for r in b.to_pylist()] == rows
+        for most in (1, 2, 100):
+            met = [(b.column(2)[i].as_py(), b.column(2)[j].as_py()) for b in blocks for left, right in divergence.met_pairs(divergence.term_ends(b), most) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+            assert met == [("s", "t"), ("s", "t"), ("s", "u"), ("t", "u")]
