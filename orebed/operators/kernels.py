@@ -93,13 +93,17 @@ def bandpass(x: np.ndarray, fs: float, low: float, high: float, order: int = 4)
     """Zero-phase Butterworth band-pass: its squared gain in the frequency domain, with mirrored ends."""
     pad = min(len(x) - 1, 3 * (2 * order + 1))
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
-    f = np.fft.rfftfreq(len(y), 1 / fs)
+    gain = band_gain(np.fft.rfftfreq(len(y), 1 / fs), fs, low, high, order)
+    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + len(x)]
+
+
+def band_gain(f: np.ndarray, fs: float, low: float, high: float, order: int) -> np.ndarray:
+    """Squared gain of a Butterworth band-pass at frequencies f."""
     warp = lambda v: np.tan(np.pi * np.minimum(v, fs / 2 * (1 - 1e-9)) / fs)
     a, b = warp(low), warp(high)
     with np.errstate(divide="ignore", invalid="ignore"):
         s = (warp(f) ** 2 - a * b) / (warp(f) * (b - a))
-        gain = np.where(f > 0, 1 / (1 + s ** (2 * order)), 0.0)
-    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + len(x)]
+        return np.where(f > 0, 1 / (1 + s ** (2 * order)), 0.0)
 
 
 # The low-pass taps of the Daubechies wavelet with four vanishing moments.
@@ -108,31 +112,39 @@ DB4 = (-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703
 
 def wavelet_denoise(x: np.ndarray, levels: int = 3) -> np.ndarray:
     """Periodic db4 transform, details shrunk by the universal threshold (noise from the finest), and back."""
-    lo = np.array(DB4)
-    hi = lo[::-1] * (-1.0) ** np.arange(len(lo))
     step = 1 << levels
     y = np.concatenate([x, x[::-1][: -len(x) % step]]) if len(x) % step else x.copy()
     if len(y) % step:
         return x.copy()
-    details, n = [], len(y)
+    return wavelet_shrunk(y, levels)[: len(x)]
+
+
+def high_pass() -> np.ndarray:
+    """The wavelet's high-pass taps."""
+    return np.array(DB4)[::-1] * (-1.0) ** np.arange(len(DB4))
+
+
+def wavelet_shrunk(y: np.ndarray, levels: int, cut: float | None = None) -> np.ndarray:
+    """A periodic db4 transform of a multiple of 2**levels values, its details shrunk by cut (the universal threshold if None), and back."""
+    lo, hi, n = np.array(DB4), high_pass(), len(y)
+    details = []
     for _ in range(levels):
         at = (2 * np.arange(len(y) // 2)[:, None] + np.arange(len(lo))) % len(y)
         details.append(y[at] @ hi)
         y = y[at] @ lo
-    cut = np.median(np.abs(details[0])) / 0.6745 * np.sqrt(2 * np.log(n))
+    cut = np.median(np.abs(details[0])) / 0.6745 * np.sqrt(2 * np.log(n)) if cut is None else cut
     for d in reversed(details):
         d = np.sign(d) * np.maximum(np.abs(d) - cut, 0)
         out = np.zeros(2 * len(y))
         at = (2 * np.arange(len(y))[:, None] + np.arange(len(lo))) % len(out)
         np.add.at(out, at, y[:, None] * lo + d[:, None] * hi)
         y = out
-    return y[: len(x)]
+    return y
 
 
-def cusum(z: np.ndarray, drift: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positive, negative, alarm): one-sided sums that start again after an alarm."""
+def cusum(z: np.ndarray, drift: float, threshold: float, p: float = 0.0, n: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positive, negative, alarm): one-sided sums from p and n on, that start again after an alarm."""
     pos, neg, alarm = np.zeros(len(z)), np.zeros(len(z)), np.zeros(len(z), bool)
-    p = n = 0.0
     for i, v in enumerate(z):
         p, n = max(0.0, p + v - drift), max(0.0, n - v - drift)
         pos[i], neg[i], alarm[i] = p, n, p > threshold or n > threshold
@@ -141,14 +153,20 @@ def cusum(z: np.ndarray, drift: float, threshold: float) -> tuple[np.ndarray, np
     return pos, neg, alarm
 
 
-def change_points(x: np.ndarray, size: int, z: float) -> list[tuple[int, float]]:
-    """(place, score): contrasts of the medians of size values on each side in pooled robust scales, strongest first, none nearer than size."""
+def contrasts(x: np.ndarray, size: int) -> np.ndarray:
+    """For each place the contrast of the medians of size values on each side in pooled robust scales; 0 where a side is short."""
     scores = np.zeros(len(x))
     for i in range(size, len(x) - size + 1):
         a, b = x[i - size : i], x[i : i + size]
         pooled = np.concatenate([a - np.median(a), b - np.median(b)])
         scale = 1.4826 * np.median(np.abs(pooled))
         scores[i] = abs(np.median(b) - np.median(a)) / (scale if scale > 1e-12 else max(float(pooled.std()), 1e-12))
+    return scores
+
+
+def change_points(x: np.ndarray, size: int, z: float) -> list[tuple[int, float]]:
+    """(place, score): the strongest contrasts of z or more, none nearer than size to a stronger one."""
+    scores = contrasts(x, size)
     taken: list[int] = []
     for i in np.lexsort((np.arange(len(x)), -scores)):
         if scores[i] < z:
@@ -257,22 +275,32 @@ def cva_monitor(x: np.ndarray, n_ref: int, past: int, k: int, alpha: float = 0.9
     rows = range(past, n_ref - past)
     if len(rows) < 3:
         return t2, alarm
-    p, f = np.array([block(i) for i in rows]), np.array([x[i : i + past].ravel() for i in rows])
-
-    def white(a: np.ndarray) -> np.ndarray:
-        v, u = np.linalg.eigh(a.T @ a / len(a) + 1e-6 * np.eye(a.shape[1]))
-        return u @ np.diag(v**-0.5) @ u.T
-
-    wp, wf = white(p - p.mean(axis=0)), white(f - f.mean(axis=0))
-    _, _, vt = np.linalg.svd(wf @ ((f - f.mean(axis=0)).T @ (p - p.mean(axis=0)) / len(p)) @ wp)
-    project = vt[: min(k, len(vt))] @ wp
+    both = np.array([np.concatenate([[1.0], x[i - past : i + past].ravel()]) for i in rows])
+    mean, project = cva_model(both.T @ both, past * x.shape[1], k)
     for i in range(past, n):
-        t2[i] = float(((project @ (block(i) - p.mean(axis=0))) ** 2).sum())
+        t2[i] = float(((project @ (block(i) - mean)) ** 2).sum())
     limit = np.quantile(t2[past:n_ref], alpha)
     alarm[past:] = t2[past:] > limit
     return t2, alarm
 
 
+def cva_model(sums: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean of past blocks, projection on k canonical variates) from the summed products of rows (1, past block, future block); None from under three rows."""
+    n = sums[0, 0]
+    if n < 3:
+        return None
+    mean = sums[0, 1:] / n
+    cov = sums[1:, 1:] / n - np.outer(mean, mean)
+
+    def white(a: np.ndarray) -> np.ndarray:
+        v, u = np.linalg.eigh(a + 1e-6 * np.eye(len(a)))
+        return u @ np.diag(np.maximum(v, 1e-12) ** -0.5) @ u.T
+
+    wp, wf = white(cov[:width, :width]), white(cov[width:, width:])
+    _, _, vt = np.linalg.svd(wf @ cov[width:, :width] @ wp)
+    return mean[:width], vt[: min(k, len(vt))] @ wp
+
+
 def hash_embedding(text: str | None, dim: int) -> list[float]:
     """Unit vector of signed hashed words and adjacent pairs (blake2b of eight bytes: bucket from four, sign from the fifth)."""
     import hashlib
