@@ -1,6 +1,6 @@
 """The library's queries over the driver's tables, with their SQL."""
 
-from orebed.queries import claims, contracts, decisions, diagnosis, evidence, graph, kernels, learning, longseries, metrics, models, relational, retrieval, series, signals, sources, streams, text  # noqa: F401
+from orebed.queries import claims, contracts, decisions, diagnosis, evidence, graph, kernels, learning, longseries, metrics, models, provenance, relational, retrieval, series, signals, sources, streams, text  # noqa: F401
 from orebed.queries.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "alarm_episodes"
