@@ -244,14 +244,19 @@ def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     return int(n), mean, (s[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
-def pca_monitor(df: DataFrame, reference: DataFrame, id_col: str, vec: str, variance: float = 0.95, alpha: float = 0.99) -> DataFrame:
-    """(id, spe, t2, alarm): squared prediction error and Hotelling statistic against the reference's principal components; limits are its quantiles."""
-    _, mean, cov = moments(reference, vec)
+def components(cov: np.ndarray, variance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(axes, their variances): the principal components that make up this share of the variance."""
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)
     values, vectors = np.maximum(values[order], 0), vectors[:, order]
     k = int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), variance)) + 1
-    axes, spread = vectors[:, :k], np.maximum(values[:k], 1e-12)
+    return vectors[:, :k], np.maximum(values[:k], 1e-12)
+
+
+def pca_monitor(df: DataFrame, reference: DataFrame, id_col: str, vec: str, variance: float = 0.95, alpha: float = 0.99) -> DataFrame:
+    """(id, spe, t2, alarm): squared prediction error and Hotelling statistic against the reference's principal components; limits are its quantiles."""
+    _, mean, cov = moments(reference, vec)
+    axes, spread = components(cov, variance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,6 +289,26 @@ def cva_monitor(x: np.ndarray, n_ref: int, past: int, k: int, alpha: float = 0.9
     return t2, alarm
 
 
+#: What a trained model of canonical variates is made of.
+CVA_PARTS = ("fill", "center", "scale", "mean", "project", "limit")
+
+
+def cva_trained(x: np.ndarray, past: int, k: int, alpha: float) -> dict[str, np.ndarray] | None:
+    """The model that cva_monitor trains on reference rows x; None if they are too few."""
+    if len(x) < 2 * past + 3:
+        return None
+    good = np.where(np.isfinite(x), x, np.nan)
+    fill = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in good.T])
+    x = np.where(np.isfinite(x), x, fill)
+    center, sd = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(sd < 1e-12, 1, sd)
+    x = (x - center) / scale
+    both = np.array([np.concatenate([[1.0], x[i - past : i + past].ravel()]) for i in range(past, len(x) - past)])
+    mean, project = cva_model(both.T @ both, past * x.shape[1], k)
+    t2 = [float(((project @ (x[i - past : i].ravel() - mean)) ** 2).sum()) for i in range(past, len(x))]
+    return dict(zip(CVA_PARTS, (fill, center, scale, mean, project, np.array([np.quantile(t2, alpha)])), strict=True))
+
+
 def cva_model(sums: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
     """(mean of past blocks, projection on k canonical variates) from the summed products of rows (1, past block, future block); None from under three rows."""
     n = sums[0, 0]

@@ -1,4 +1,4 @@
-"""Stateful streaming: online CUSUM, windowed counts under a watermark, and joins to a static table."""
+"""Stateful streaming: online CUSUM and canonical variates, freshness by timers, windowed counts under a watermark, and joins to a static table."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orebed.operators import kernels as K
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's checkpoint folder, which all executors see; where none is set, a local session takes one of its own and a cluster is an error."""
@@ -69,3 +72,95 @@ def windowed_counts(stream: DataFrame, ts: str, keys: list[str], size: str, late
 def enriched(stream: DataFrame, static: DataFrame, key: str, flag: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A stream joined to a static table and flagged."""
     return flag(stream.join(static, key))
+
+
+def streamed_freshness(stream: DataFrame, keys: list[str], ts: str, arrival: str, fresh_s: float = 300, expired_s: float = 3600, slack: str = "1 second") -> DataFrame:
+    """(keys, ts, at, status, late): a row for each reading as it arrives, and one whenever a key's latest reading turns STALE or EXPIRED, whether rows come or not.
+
+    ts and arrival are times; ts and at come out as seconds since the epoch. Timers run on the clock of arrivals, so a reading may be older than any before it: it is flagged late (older than the key's
+    latest) and its status is that of its age, but it is not dropped and doesn't make the key fresher. Only arrivals themselves may not go back by more than slack from batch to batch. Between two arrivals the changes are given at the times at which they were due.
+    """
+    expired_s = max(expired_s, fresh_s)
+    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "ts", "at", "status", "late"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest, stage = state.get if state.exists else (float("-inf"), 0)
+        out: list[tuple] = []
+
+        def until(clock: float) -> None:
+            nonlocal stage
+            for n, (limit, status) in enumerate(((fresh_s, "STALE"), (expired_s, "EXPIRED")), 1):
+                if stage < n and latest + limit < clock:
+                    out.append((*key, latest, latest + limit, status, False))
+                    stage = n
+
+        for part in parts:
+            for at, t in part.sort_values(["_at", "_ts"])[["_at", "_ts"]].itertuples(index=False):
+                if latest > float("-inf"):
+                    until(at)
+                age = at - t
+                out.append((*key, t, at, "FRESH" if age <= fresh_s else "STALE" if age <= expired_s else "EXPIRED", t < latest))
+                if t >= latest:
+                    latest, stage = t, 0 if age <= fresh_s else 1 if age <= expired_s else 2
+        clock = state.getCurrentWatermarkMs() / 1000
+        until(clock)
+        state.update((latest, stage))
+        if stage < 2:
+            state.setTimeoutTimestamp(int(max(latest + (fresh_s, expired_s)[stage], clock) * 1000) + 1)
+        yield pd.DataFrame(out, columns=names)
+
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    clocked = stream.select(*keys, seconds(ts).alias("_ts"), seconds(arrival).alias("_at"), F.col(arrival).cast("timestamp").alias("_clock")).where("_ts IS NOT NULL AND _at IS NOT NULL").withWatermark("_clock", slack)
+    return clocked.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, ts double, at double, status string, late boolean", "latest double, stage int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Bytes of models that are broadcast to a stream's tasks at most.
+MODEL_BYTES = 64 << 20
+
+
+def trained_variates(reference: DataFrame, keys: list[str], order: str, columns: list[str], past: int, k: int, alpha: float = 0.99) -> dict[tuple, dict[str, np.ndarray]]:
+    """A model of canonical variates for each key from its reference rows: scales, the mean of past blocks, the projection and the limit. A key's reference is fitted by one task."""
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        model = K.cva_trained(part.sort_values(order)[columns].to_numpy(float), past, k, alpha)
+        rows = [] if model is None else [(*key, *(model[n].ravel().tolist() for n in K.CVA_PARTS))]
+        return pd.DataFrame(rows, columns=[*keys, *K.CVA_PARTS])
+
+    kinds = ", ".join(f"`{c}` {reference.schema[c].dataType.simpleString()}" for c in keys)
+    fitted = reference.select(*keys, order, *columns).groupBy(*keys).applyInPandas(fit, f"{kinds}, " + ", ".join(f"{n} array<double>" for n in K.CVA_PARTS))
+    width = past * len(columns)
+    if fitted.count() * 8 * (width * (k + 1) + 3 * len(columns) + 1) > MODEL_BYTES:
+        raise ValueError("too many keys for models that every task holds")
+    return {tuple(r[c] for c in keys): {n: np.array(r[n]) for n in K.CVA_PARTS} for r in fitted.collect()}
+
+
+def online_variates(stream: DataFrame, keys: list[str], order: list[str], columns: list[str], models: dict[tuple, dict[str, np.ndarray]], past: int) -> DataFrame:
+    """(keys, id, t2, alarm): each row's past block against its key's model; the last `past` rows are a ring that is kept as state between batches.
+
+    The last column of order is the row's id. Rows come in order over batches. Missing values take the reference's median. t2 is null until the ring is full, and for keys without a model.
+    """
+    id_col, d = order[-1], len(columns)
+    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in [*keys, id_col]) + ", t2 double, alarm boolean"
+    shared = stream.sparkSession.sparkContext.broadcast(models)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring = np.array(state.get[0], dtype=float).reshape(-1, d) if state.exists else np.zeros((0, d))
+        model = shared.value.get(key)
+        rows = pd.concat(list(parts)).sort_values(order)
+        x = rows[columns].to_numpy(dtype=float)
+        if model is not None:
+            x = (np.where(np.isfinite(x), x, model["fill"]) - model["center"]) / model["scale"]
+        both = np.vstack([ring, x])
+        at = np.arange(len(ring), len(both))
+        t2 = np.full(len(x), np.nan)
+        if model is not None and (full := at >= past).any():
+            blocks = np.lib.stride_tricks.sliding_window_view(both, past, axis=0).transpose(0, 2, 1).reshape(-1, past * d)[at[full] - past]
+            t2[full] = (((blocks - model["mean"]) @ model["project"].reshape(-1, past * d).T) ** 2).sum(axis=1)
+        state.update((both[-past:].ravel().tolist(),))
+        out = pd.DataFrame({id_col: rows[id_col].to_numpy(), "t2": [None if np.isnan(v) else v for v in t2], "alarm": t2 > (model["limit"][0] if model is not None else np.inf)})
+        for c, v in reversed(list(zip(keys, key, strict=True))):
+            out.insert(0, c, v)
+        yield out
+
+    return stream.select(*keys, *order, *columns).groupBy(*keys).applyInPandasWithState(run, schema, "ring array<double>", "append", GroupStateTimeout.NoTimeout)
