@@ -8,7 +8,7 @@ from orebed.operators import verification as V
 from orebed.queries.base import query, table
 
 
-@query("anchored_verdict", """WITH l AS (SELECT l_orderkey, (l_partkey * 1000 + l_suppkey) * 10 + l_linenumber AS l_linenumber, l_quantity::INT AS n, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'new' END AS w FROM lineitem),
+@query("anchored_verdict", """WITH l AS (SELECT l_orderkey, round(l_extendedprice * 100)::BIGINT * 10 + l_linenumber AS l_linenumber, l_quantity::INT AS n, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'new' END AS w FROM lineitem),
 s AS (SELECT l_orderkey, l_linenumber, n, w, CASE WHEN w = 'returned' THEN 'Nothing else counted ' || n ELSE 'Crates ' || w || ' hold ' || n || ' pieces' END AS text FROM l),
 c AS (SELECT o_orderkey AS l_orderkey, o_custkey % 50 + 1 AS n, o_orderkey % 9 = 0 AS limited, ['accepted', 'returned', 'new'][o_orderkey % 3 + 1] AS w FROM orders),
 m AS (SELECT c.l_orderkey, s.text, l_linenumber, CASE WHEN s.n = c.n THEN 2 ELSE 1 END AS kind, CASE WHEN s.w = c.w THEN 1 ELSE 0.75 END AS share FROM c JOIN s USING (l_orderkey) WHERE NOT limited AND s.w <> 'returned'),
@@ -19,7 +19,7 @@ def anchored_verdict(spark, sf_dir):
     word = F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "returned").otherwise("new")
     n = F.col("l_quantity").cast("int").cast("string")
     text = F.when(word == "returned", F.concat(F.lit("Nothing else counted "), n)).otherwise(F.concat(F.lit("Crates "), word, F.lit(" hold "), n, F.lit(" pieces")))
-    said = table(spark, sf_dir, "lineitem").select("l_orderkey", ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("sentence"), text.alias("text"))
+    said = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.round(F.col("l_extendedprice") * 100).cast("long") * 10 + F.col("l_linenumber")).alias("sentence"), text.alias("text"))
     kind = F.element_at(F.array(F.lit("accepted"), F.lit("returned"), F.lit("new")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     count = (F.col("o_custkey") % 50 + 1).cast("string")
     claim = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("Crates hold more, above the limit of "), count)).otherwise(F.concat(F.lit("Crates "), kind, F.lit(" hold "), count, F.lit(" pieces")))
