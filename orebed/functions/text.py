@@ -25,7 +25,6 @@ PII_BOUNDED = {  # these look around, which RE2 can't
     "aadhaar_like": "(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])",
 }
 CARD = "[0-9](?:[ -]?[0-9]){12,18}"
-YEAR = "\\b(?:18|19|20|21)[0-9]{2}\\b"
 MULTIPLIERS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9, "lakh": 1e5, "crore": 1e7}
 
 

@@ -172,7 +172,7 @@ def standard_result(df: DataFrame, decision: str, confidence: str, reason: str)
 def domain_decision(domain: Column, flags: dict[str, Column]) -> Column:
     """diagnose, early_action, monitor or abstain of a domain's policy.
 
-    flags: detected, reason (why it must abstain), warning, metadata, impulsive. A reason rules; bearings without fault metadata abstain, process alarms that
+    flags: detected, reason (why it must abstain), warning, metadata. A reason rules; bearings without fault metadata abstain, process alarms that
     only warn ask for early action.
     """
     detected, warned, known = flags["detected"], flags["warning"], flags["metadata"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebed.operators.longseries import placed
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a over b, null where b is 0."""
@@ -118,12 +120,8 @@ def stratified_quota(df: DataFrame, label: str, id_col: str, total: int, key: Co
 
 def group_folds(groups: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): round-robin over sorted distinct groups."""
-    # Ranks come from a total order's partitions: their sizes first, then places within them.
-    some = groups.select(group).distinct().withColumn("_h", F.substring(F.col(group).cast("string"), 1, 2))
-    sizes = some.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))  # a row for each two first characters
-    before = sizes.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_h").orderBy(F.col(group).cast("string"))) + F.col("_b") - 1
-    return some.join(F.broadcast(before), "_h").select(group, (place % k).cast("int").alias("fold"))
+    some = groups.select(group).distinct().select(group, F.col(group).cast("string").alias("_text"), F.lit(0).alias("_all"))
+    return placed(some, ["_all"], ["_text"], [group]).select(group, (F.col("t_idx") % k).cast("int").alias("fold"))
 
 
 def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -71,22 +71,25 @@ def event_info_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.event_info(spark, {"a": f"{home}/a", "b": f"{home}/b"}).select("wind_farm", "event_id", "label", "note")
 
 
-@query("layout_faults", "SELECT * FROM (VALUES ('b', 'info'), ('c', 'data'), ('c', 'info')) AS t(farm, part)")
+@query("layout_faults", """WITH f AS (SELECT DISTINCT c_nationkey, unnest(CASE WHEN c_acctbal > 9000 THEN ['data', 'info'] ELSE ['data'] END) AS part FROM customer WHERE c_custkey % 3 = 0),
+w AS (SELECT n_nationkey, part FROM nation, (VALUES ('data'), ('info')) AS t(part))
+SELECT 'farm=' || n_nationkey AS farm, 'part=' || w.part AS part FROM w LEFT JOIN f ON c_nationkey = n_nationkey AND f.part = w.part WHERE f.part IS NULL""")
 def layout_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three farms, of which one has both parts, one has data only and one nothing."""
-    home, rows = shared_folder(spark, "layout"), table(spark, sf_dir, "region").select(F.col("r_name").alias("value"))
-    for part in ("a/data", "a/info", "b/data"):
-        rows.write.text(f"{home}/{part}")
-    return R.layout_faults(R.listed(spark, home, (".txt",)), ["a", "b", "c"], ["data", "info"])
+    """A folder for each nation: data of every third customer, info where one of them is rich; what is missing."""
+    home = shared_folder(spark, "layout")
+    parts = F.when(F.col("c_acctbal") > 9000, F.array(F.lit("data"), F.lit("info"))).otherwise(F.array(F.lit("data")))
+    table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("value"), F.col("c_nationkey").alias("farm"), F.explode(parts).alias("part")).write.partitionBy("farm", "part").text(home)
+    farms = [f"farm={r[0]}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows
+    return R.layout_faults(R.listed(spark, home, (".txt",)), farms, ["part=data", "part=info"])
 
 
-@query("files_listed", "SELECT 2 AS n_files, true AS all_sized")
+@query("files_listed", "SELECT c_nationkey, sum(strlen(c_name) + 1)::BIGINT AS bytes FROM customer GROUP BY 1")
 def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a wanted ending below a folder."""
-    home, rows = shared_folder(spark, "listed"), table(spark, sf_dir, "region").select(F.col("r_name").alias("value"))
-    for part in "ab":
-        rows.coalesce(1).write.text(f"{home}/{part}")
-    return R.listed(spark, home, (".txt",)).agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.bool_and(F.col("size") > 0).alias("all_sized"))
+    """Bytes of the text files that a listing finds in each nation's folder."""
+    home = shared_folder(spark, "listed")
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), "c_nationkey").write.partitionBy("c_nationkey").text(home)
+    files = R.listed(spark, home, (".txt",))
+    return files.groupBy(F.regexp_extract("path", r"c_nationkey=([0-9]+)/", 1).cast("long").alias("c_nationkey")).agg(F.sum("size").cast("long").alias("bytes"))
 
 
 @query("files_searched", "SELECT p_name AS text, count(*) AS n FROM part WHERE contains(lower(p_name), 'bolt') GROUP BY p_name")
@@ -142,3 +145,15 @@ def scenarios_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'no json' WHEN 1 THEN concat('{\"claims\": [', o_orderkey, ']}') WHEN 2 THEN '{}' ELSE '{\"action\": \"block\", \"claims\": []}' END")
     path = as_text(table(spark, sf_dir, "orders").select(text.alias("value")), "scenarios")
     return R.scenarios(spark, path, ("action", "claims")).groupBy(F.concat_ws(",", "issues").alias("issues")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("discharge_cycles", """WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice AS capacity, list(l_quantity ORDER BY l_extendedprice) AS v, list(CASE WHEN l_tax > 0.05 THEN 'NaN'::DOUBLE ELSE l_discount END ORDER BY l_extendedprice) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 > 0 AND o_totalprice > 20000 GROUP BY ALL),
+u AS (SELECT *, len(list_filter(i, lambda x: NOT isnan(x))) AS n FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cycle FROM u WHERE n >= 2)
+SELECT o_custkey, cycle, capacity, n::INT AS n, min(CASE WHEN capacity <= 100000 THEN cycle END) OVER (PARTITION BY o_custkey) AS end_cycle FROM k""", "capacity")
+def discharge_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a battery's cycles, their line items as samples of two channels; cheap orders have no capacity."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_quantity", F.when(F.col("l_tax") > 0.05, float("nan")).otherwise(F.col("l_discount")).alias("d")))).alias("s"))
+    cycles = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", F.when(F.col("o_totalprice") > 20000, F.col("o_totalprice")).alias("ah"), F.when(F.col("o_orderkey") % 3 > 0, " Discharge").otherwise("charge").alias("kind"), F.transform("s", lambda x: x["l_quantity"]).alias("v"), F.transform("s", lambda x: x["d"]).alias("i"))
+    got = R.discharge_cycles(cycles, "o_custkey", "o_orderkey", "kind", "ah", ["v", "i"])
+    return got.join(R.first_at_most(got, "o_custkey", 100000.0).withColumnRenamed("cycle", "end_cycle"), "o_custkey").select("o_custkey", "cycle", "capacity", F.size("samples").alias("n"), "end_cycle")

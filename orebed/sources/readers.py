@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebed.operators.longseries import placed
+
 
 def matrix_text(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, x array<double>): rows of numbers parted by white space; blank lines go, what is no finite number becomes null.
@@ -85,11 +87,7 @@ def searched(spark: SparkSession, path: str, literal: str, most: int | None = No
 
 def lives_reconciled(units: DataFrame, lives: DataFrame) -> DataFrame:
     """(unit, life, issue): the n-th life of a list (place, life) belongs to the n-th unit; issue is NEGATIVE, MISSING (no life) or EXTRA (no unit)."""
-    place = units.select("unit").distinct()
-    sizes = place.groupBy(F.floor(F.col("unit") / 1000).alias("_h")).agg(F.count(F.lit(1)).alias("_c"))  # a row for each thousand numbers
-    before = sizes.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    numbered = place.withColumn("_h", F.floor(F.col("unit") / 1000)).join(F.broadcast(before), "_h")
-    numbered = numbered.select("unit", (F.row_number().over(Window.partitionBy("_h").orderBy("unit")) + F.col("_b") - 1).alias("place"))
+    numbered = placed(units.select("unit").distinct().withColumn("_all", F.lit(0)), ["_all"], ["unit"], ["unit"]).select("unit", F.col("t_idx").alias("place"))
     j = numbered.join(lives.select(F.col("place").cast("long"), "life", F.lit(True).alias("_there")), "place", "full")
     issue = F.when(F.col("unit").isNull(), "EXTRA").when(F.col("_there").isNull(), "MISSING").when(F.col("life") < 0, "NEGATIVE")
     return j.select("unit", "life", issue.alias("issue"))
@@ -141,3 +139,23 @@ def scenarios(spark: SparkSession, path: str, required: tuple[str, ...]) -> Data
     fields = F.json_object_keys("value")
     lacks = F.filter(F.array(*[F.lit(r) for r in required]), lambda r: ~F.coalesce(F.array_contains(fields, r), F.lit(False)))
     return raw.select("value", F.when(fields.isNull(), F.array(F.lit("UNREADABLE"))).otherwise(lacks).alias("issues"))
+
+
+def discharge_cycles(cycles: DataFrame, battery: str, order: str, kind: str, capacity: str, channels: list[str]) -> DataFrame:
+    """(battery, cycle, capacity, samples): the usable discharges of each battery, numbered from 1 in order.
+
+    A cycle is a row with its kind, capacity and one array for each channel. Usable is a discharge with a positive capacity and two samples or more that are finite in all channels, as far as the shortest
+    channel goes; samples (array of arrays in the channels' order) are those.
+    """
+    fine = lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    n = F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in channels], F.lit((1 << 31) - 1))
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array(*[F.get(c, i).cast("double") for c in channels]))
+    whole = F.when(n > 0, F.filter(rows, lambda r: F.forall(r, fine)))
+    usable = cycles.where(F.lower(F.trim(F.col(kind))).contains("discharge") & (F.col(capacity) > 0)).withColumn("samples", whole).where(F.size("samples") >= 2)
+    numbered = placed(usable, [battery], [order], [capacity, "samples"])
+    return numbered.select(F.col(battery), (F.col("t_idx") + 1).alias("cycle"), F.col(capacity).alias("capacity"), "samples")
+
+
+def first_at_most(cycles: DataFrame, battery: str, limit: float) -> DataFrame:
+    """(battery, cycle): the first numbered cycle whose capacity is at the limit or below; null where none is."""
+    return cycles.groupBy(battery).agg(F.min(F.when(F.col("capacity") <= limit, F.col("cycle"))).alias("cycle"))
