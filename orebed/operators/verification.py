@@ -70,3 +70,43 @@ def bearing_policy(df: DataFrame, ids: list[str], least_confidence: float = 0.45
     named = F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair])[F.upper("label")]
     component = F.when(F.col("abstain_reason").isNull(), F.coalesce(named, F.lower("label")))
     return rows.select(*ids, F.when(F.col("abstain_reason").isNull(), "diagnose").otherwise("abstain").alias("decision"), abnormal.alias("abnormal"), "score", sure.alias("confidence"), F.when(fused & F.col("best_fault").isNotNull(), 1 - clip(of("separation", 0.0), 0.0, 1.0)).alias("uncertainty"), component.alias("component"), "abstain_reason")
+
+
+def battery_verdict(cells: DataFrame, decisions: DataFrame, unit: str, cell: str = "cell") -> DataFrame:
+    """(unit, status, bounds_hold, dominant_cell): whether physics bears out each unit's decision (unit, top_cell, abnormal).
+
+    cells (unit, cell, voltage, temperature, delta_voltage, delta_temperature) are readings with their distances from the pack. Readings outside 1.5 .. 5.5 V or -50 .. 120 degrees contradict. An anomaly is
+    supported if the cell with the largest median distance, in shares of the largest of each kind, is the one that was named (the first of equals, by name).
+    """
+    inside = F.col("voltage").between(1.5, 5.5) & F.col("temperature").between(-50.0, 120.0)
+    each = cells.groupBy(unit, cell).agg(F.bool_and(F.coalesce(inside, F.lit(False))).alias("_in"), F.median(F.abs("delta_voltage")).alias("_v"), F.median(F.abs("delta_temperature")).alias("_t"))
+    top = Window.partitionBy(unit)
+    share = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) / F.greatest(F.max(c).over(top), F.lit(1e-12)) for c in ("_v", "_t")])
+    best = each.withColumn("_share", F.round(share, 9)).groupBy(unit).agg(F.bool_and("_in").alias("bounds_hold"), F.min_by(cell, F.struct((-F.col("_share")).alias("s"), F.col(cell).alias("c"))).alias("dominant_cell"))
+    out = decisions.join(best, unit)
+    status = ladder("INSUFFICIENT", (~F.col("bounds_hold"), "CONTRADICTED"), (F.col("abnormal") & (F.col("dominant_cell") == F.col("top_cell")), "SUPPORTED"))
+    return out.select(unit, status.alias("status"), "bounds_hold", "dominant_cell")
+
+
+def turbofan_verdict(health: DataFrame, decisions: DataFrame, unit: str) -> DataFrame:
+    """(unit, status, correlation): a negative life contradicts; a degraded state is supported by a rising health index that goes with the cycles (correlation over .25).
+
+    health (unit, cycle, health); decisions (unit, slope, rul, abnormal), rul null where there is none.
+    """
+    r = health.groupBy(unit).agg(F.count("health").alias("_n"), F.stddev_pop("health").alias("_s"), F.try_divide(F.covar_pop("cycle", "health"), F.stddev_pop("cycle") * F.stddev_pop("health")).alias("_r"))
+    out = decisions.join(r, unit).withColumn("correlation", F.when((F.col("_n") > 2) & (F.col("_s") > 1e-12), F.coalesce("_r", F.lit(0.0))).otherwise(0.0))
+    status = ladder("INSUFFICIENT", (F.col("rul") < 0, "CONTRADICTED"), (F.col("abnormal") & (F.col("slope") > 0) & (F.col("correlation") > 0.25), "SUPPORTED"))
+    return out.select(unit, status.alias("status"), "correlation")
+
+
+def transformer_verdict(df: DataFrame, ids: list[str], threshold: float = 0.25) -> DataFrame:
+    """(ids, status, several_sensors): a class without an anomaly contradicts; an anomaly is supported by impulsive structure in two sensors or more (all, if there are fewer).
+
+    Columns: anomaly_score, kurtosis, weights and deviations (arrays, one for each sensor), label (null where none was given), abnormal.
+    """
+    at_least_two = lambda a, c: F.size(F.filter(a, c)) >= F.least(F.lit(2), F.size(a))
+    several = at_least_two("deviations", lambda s: s > 1e-9) & at_least_two("weights", lambda w: w > 0.05)
+    rows = df.withColumn("several_sensors", several)
+    signal = (F.col("anomaly_score") >= threshold) & (F.col("kurtosis") > 3)
+    status = ladder("INSUFFICIENT", (F.col("label").isNotNull() & ~F.col("abnormal"), "CONTRADICTED"), (F.col("abnormal") & signal & F.col("several_sensors"), "SUPPORTED"))
+    return rows.select(*ids, status.alias("status"), "several_sensors")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orebed.operators import verification as V
@@ -41,3 +42,37 @@ def bearing_policy(spark, sf_dir):
         (c("l_discount").cast("double") * 8).alias("strength"), (c("l_tax").cast("double") * 10).alias("separation"), (q / 50).alias("fused_confidence"), fault.alias("label"), F.when((c("l_returnflag") == "R") & (c("l_linestatus") == "O"), "ambiguous").alias("fused_reason"),
     )
     return V.bearing_policy(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("battery_verdict", """WITH c AS (SELECT user_id, event_type, 2 + value / 50 AS v, value - 10 AS t, value - avg(value) OVER (PARTITION BY user_id) AS dv, (value - median(value) OVER (PARTITION BY user_id)) * 2 AS dt FROM events),
+e AS (SELECT user_id, event_type, bool_and(v BETWEEN 1.5 AND 5.5 AND t BETWEEN -50 AND 120) AS ok, median(abs(dv)) AS mv, median(abs(dt)) AS mt FROM c GROUP BY ALL),
+s AS (SELECT *, round(greatest(mv / greatest(max(mv) OVER w, 1e-12), mt / greatest(max(mt) OVER w, 1e-12)), 9) AS share FROM e WINDOW w AS (PARTITION BY user_id)),
+g AS (SELECT user_id, bool_and(ok) AS bounds_hold, arg_min(event_type, {'s': -share, 'c': event_type}) AS dominant_cell FROM s GROUP BY user_id)
+SELECT user_id, CASE WHEN NOT bounds_hold THEN 'CONTRADICTED' WHEN user_id % 4 > 0 AND dominant_cell = ['click', 'error', 'purchase', 'signup', 'view'][user_id % 5 + 1] THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status, bounds_hold, dominant_cell FROM g""")
+def battery_verdict(spark, sf_dir):
+    """Users as packs, event types as cells."""
+    ev, own = table(spark, sf_dir, "events"), Window.partitionBy("user_id")
+    v = F.col("value")
+    cells = ev.select("user_id", F.col("event_type").alias("cell"), (2 + v / 50).alias("voltage"), (v - 10).alias("temperature"), (v - F.avg("value").over(own)).alias("delta_voltage"), ((v - F.median("value").over(own)) * 2).alias("delta_temperature"))
+    named = F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.col("user_id") % 5 + 1).cast("int"))
+    return V.battery_verdict(cells, ev.select("user_id").distinct().select("user_id", named.alias("top_cell"), (F.col("user_id") % 4 > 0).alias("abnormal")), "user_id")
+
+
+@query("turbofan_verdict", """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle, value AS health FROM events),
+g AS (SELECT user_id, CASE WHEN count(health) > 2 AND stddev_pop(health) > 1e-12 THEN coalesce(corr(cycle, health), 0) ELSE 0 END AS correlation, regr_slope(health, cycle) AS slope, count(*) - 55 AS left_ FROM s GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 6 > 0 AND left_ < 0 THEN 'CONTRADICTED' WHEN user_id % 2 = 0 AND slope > 0 AND correlation > 0.25 THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status, correlation FROM g""", "correlation")
+def turbofan_verdict(spark, sf_dir):
+    """Users as engines, their events as cycles; every sixth has no life estimate."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    health = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("cycle"), F.col("value").alias("health"))
+    made = health.groupBy("user_id").agg(F.regr_slope("health", "cycle").alias("slope"), (F.count(F.lit(1)) - 55).alias("_left"))
+    return V.turbofan_verdict(health, made.select("user_id", "slope", F.when(F.col("user_id") % 6 > 0, F.col("_left")).alias("rul"), (F.col("user_id") % 2 == 0).alias("abnormal")), "user_id")
+
+
+@query("transformer_verdict", """WITH o AS (SELECT l_orderkey, max(l_discount) * 4 AS score, 2 + max(l_quantity) / 20 AS kurtosis, count(*) AS n, count(*) FILTER (l_tax > 0.05) AS heavy, count(*) FILTER (l_discount > 1e-9) AS active FROM lineitem GROUP BY 1),
+s AS (SELECT *, active >= least(2, n) AND heavy >= least(2, n) AS several_sensors FROM o)
+SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 AND score < 0.3 THEN 'CONTRADICTED' WHEN score >= 0.3 AND score >= 0.25 AND kurtosis > 3 AND several_sensors THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status, several_sensors FROM s""")
+def transformer_verdict(spark, sf_dir):
+    """Orders as transformers, their line items as sensors."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.max("l_discount") * 4).alias("anomaly_score"), (2 + F.max("l_quantity") / 20).alias("kurtosis"), F.collect_list("l_tax").alias("weights"), F.collect_list("l_discount").alias("deviations"))
+    return V.transformer_verdict(rows.withColumn("label", F.when(F.col("l_orderkey") % 5 == 0, "short")).withColumn("abnormal", F.col("anomaly_score") >= 0.3), ["l_orderkey"])
