@@ -25,6 +25,56 @@ def test_bandpass_keeps_its_band():
     assert np.abs(y - np.sin(2 * np.pi * 200 * t))[500:-500].max() < 0.05
 
 
+def slow_transform(x, sign=-1):
+    n = len(x)
+    return np.array([sum(v * np.exp(sign * 2j * np.pi * j * k / n) for j, v in enumerate(x)) for k in range(n)])
+
+
+def test_bandpass_by_its_definition():
+    """Ends mirrored about their values, a plain Fourier sum, the squared gain of the bilinear Butterworth band-pass, and back."""
+    x = np.random.default_rng(3).standard_normal(40).cumsum()
+    pad, n = 27, 40 + 54
+    y = [2 * x[0] - x[pad - i] for i in range(pad)] + list(x) + [2 * x[-1] - x[-2 - i] for i in range(pad)]
+    s = slow_transform(y)
+    low, high = np.tan(np.pi * 0.05), np.tan(np.pi * 0.2)
+    for k in range(n):
+        f = min(k, n - k) / n
+        w = np.tan(np.pi * min(f, 0.5 * (1 - 1e-9)))
+        s[k] *= 0 if f == 0 else 1 / (1 + ((w * w - low * high) / (w * (high - low))) ** 8)
+    assert np.allclose(K.bandpass(x, 1.0, 0.05, 0.2), (slow_transform(s, 1) / n).real[pad : pad + 40], atol=1e-8)
+
+
+def test_envelope_spectrum_by_its_definition():
+    x = np.random.default_rng(4).standard_normal(31)
+    c = x - x.mean()
+    s = slow_transform(c)
+    analytic = slow_transform([v * (1 if k == 0 else 2 if k <= 15 else 0) for k, v in enumerate(s)], 1) / 31
+    e = np.abs(analytic)
+    e = (e - e.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(31) / 30))
+    f, p = K.envelope_spectrum(x, 1.0)
+    assert np.allclose(f, np.arange(16) / 31)
+    assert np.allclose(p, np.abs(slow_transform(e))[:16] ** 2)
+
+
+def test_canonical_variates_by_eigenvalues():
+    """Scores don't depend on how the variates are turned: they come from the past blocks' covariance and what it shares with the future's."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 2)).cumsum(axis=0) * 0.3 + rng.standard_normal((80, 2))
+    z = (x - x[:50].mean(axis=0)) / x[:50].std(axis=0)
+    rows = range(2, 48)
+    p, f = np.array([z[i - 2 : i].ravel() for i in rows]), np.array([z[i : i + 2].ravel() for i in rows])
+    mean = p.mean(axis=0)
+    pp, ff, pf = np.cov(p.T, bias=True) + 1e-6 * np.eye(4), np.cov(f.T, bias=True) + 1e-6 * np.eye(4), (p - mean).T @ (f - f.mean(axis=0)) / len(p)
+    v, u = np.linalg.eigh(pp)
+    white = u @ np.diag(v**-0.5) @ u.T
+    _, vectors = np.linalg.eigh(white @ pf @ np.linalg.inv(ff) @ pf.T @ white)
+    share = vectors[:, -2:] @ vectors[:, -2:].T
+    slow = [(z[i - 2 : i].ravel() - mean) @ white @ share @ white @ (z[i - 2 : i].ravel() - mean) for i in range(2, 80)]
+    t2, alarm = K.cva_monitor(x, 50, 2, 2, 0.9)
+    assert np.allclose(t2[2:], slow)
+    assert alarm[2:].tolist() == (np.array(slow) > np.quantile(slow[:48], 0.9)).tolist()
+
+
 def test_wavelet_is_exact_without_noise():
     assert np.allclose(K.wavelet_denoise(np.zeros(64)), 0)
     assert np.allclose(K.wavelet_denoise(np.full(64, 3.0)), 3.0)
