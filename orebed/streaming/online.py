@@ -49,17 +49,11 @@ def online_cusum(stream: DataFrame, key: str, order: list[str], value: str, targ
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p, n = state.get if state.exists else (0.0, 0.0)
-        rows = []
-        for r in pd.concat(list(parts)).sort_values(order).itertuples():
-            v = getattr(r, value)
-            z = 0.0 if v is None or v != v else (v - target) / scale
-            p, n = max(0.0, p + z - drift), max(0.0, n - z - drift)
-            alarm = p > threshold or n > threshold
-            rows.append((name[0], getattr(r, id_col), p, n, alarm))
-            if alarm:
-                p = n = 0.0
-        state.update((p, n))
-        yield pd.DataFrame(rows, columns=[key, id_col, "pos", "neg", "alarm"])
+        rows = pd.concat(list(parts)).sort_values(order)
+        z = np.nan_to_num((rows[value].to_numpy(dtype=float) - target) / scale)
+        pos, neg, alarm = K.cusum(z, drift, threshold, p, n)
+        state.update((0.0, 0.0) if alarm[-1] else (float(pos[-1]), float(neg[-1])))
+        yield pd.DataFrame({key: name[0], id_col: rows[id_col].to_numpy(), "pos": pos, "neg": neg, "alarm": alarm})
 
     return stream.groupBy(key).applyInPandasWithState(run, schema, "p double, n double", "append", GroupStateTimeout.NoTimeout)
 
