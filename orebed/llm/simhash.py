@@ -11,7 +11,8 @@ a whole run as soon as they exceed the radius, or when the run is in its compone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,24 +27,48 @@ from orebed.llm.kernels import cut_lineage, unused
 FANOUT = 8
 #: Classes below one upper node that a single task indexes; more are dealt as pairs of chunks.
 NODE_ROWS = 20_000
+#: How often a larger upper node is parted by further bits before its classes are dealt as pairs of chunks.
+DEPTH = 2
+#: (query, node) pairs that a search of an index holds at once.
+PAIRS = 1 << 20
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """text in pieces of about PIECE bytes, cut in white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = _SPACE.search(text, at + PIECE)
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 def fingerprint(text: bytes, size: int = 4) -> int:
-    """SimHash of lower-cased word shingles by XXH64 (seed 42); 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - size + 1)
-    starts, ends = starts[:n].tolist(), ends[-n:].tolist()
-    h, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        part = [h(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)]
-        bits = np.unpackbits(np.array(part, dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    """SimHash of lower-cased word shingles by XXH64 (seed 42); 0 without words.
+
+    A long text is hashed a piece at a time, each with the last size - 1 words of the one before.
+    """
+    h, counts, n, words = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+    for piece in _pieces(text):
+        words += piece.lower().split()
+        if len(words) < size:
+            continue
+        hashes = np.fromiter((h(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)), dtype=np.uint64, count=len(words) - size + 1)
+        counts += _ones(hashes)
+        n += len(hashes)
+        words = words[len(words) - size + 1 :]
+    if not n and words:
+        counts, n = _ones(np.array([h(b" ".join(words), 42)], dtype=np.uint64)), 1
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of their 64 bits, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -67,9 +92,21 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 def masks(radius: int) -> list[int]:
     """The masks of all pairs of radius + 2 blocks that cover 64 bits."""
-    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [a | b for a, b in combinations(parts, 2)]
+    return [a | b for a, b in combinations(_parts(range(64), radius + 2), 2)]
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """mask with each of radius + 1 blocks of its other bits: words that agree in mask and differ in at most radius bits agree in one of these."""
+    return [mask | p for p in _parts([i for i in range(64) if not mask >> i & 1], radius + 1)]
+
+
+def _parts(bits: Sequence[int], n: int) -> list[int]:
+    cuts = [round(len(bits) * i / n) for i in range(n + 1)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 class GrayIndex:
@@ -91,13 +128,19 @@ class GrayIndex:
             above = levels[d - 1][1][np.arange(len(pattern)) // FANOUT] if d else np.uint64(0)
             self.levels.append((pattern, shared & ~above))
 
-    def components(self, radius: int, step: int = 256) -> np.ndarray:
-        """For each fingerprint the smallest index that links of at most radius bits lead to within this node."""
+    def components(self, radius: int, pairs: int = PAIRS) -> np.ndarray:
+        """For each fingerprint the smallest index that links of at most radius bits lead to within this node.
+
+        As many fingerprints are looked up together as give at most about pairs (query, node) pairs, should nothing be pruned.
+        """
         n = len(self.fps)
         comp = np.arange(n)
+        step = max(1, min(256, pairs // max(n, 1)))
+        seen, joined = None, []
         for at in range(0, n, step):
             q = np.arange(at, min(n, at + step))
-            joined = [np.where((lo := np.minimum.reduceat(comp, np.arange(0, n, s))) == np.maximum.reduceat(comp, np.arange(0, n, s)), lo, -1) for s in (FANOUT ** np.arange(len(self.levels) - 1, -1, -1)).tolist()]
+            if comp is not seen:
+                seen, joined = comp, [np.where((lo := np.minimum.reduceat(comp, np.arange(0, n, s))) == np.maximum.reduceat(comp, np.arange(0, n, s)), lo, -1) for s in (FANOUT ** np.arange(len(self.levels) - 1, -1, -1)).tolist()]
             node, acc = np.zeros(len(q), dtype=np.int64), None
             for d, (pattern, own) in enumerate(self.levels):
                 if d:
@@ -170,18 +213,35 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     yield from out(kept_node, kept_fp)
 
 
-def links(classes: DataFrame, radius: int = 4, node_rows: int = NODE_ROWS) -> DataFrame:
+def links(classes: DataFrame, radius: int = 4, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column fp that span the same components as all pairs at radius or fewer bits.
 
-    An upper node with more than node_rows classes is dealt as all pairs of its chunks,
-    each a task of at most twice node_rows, so that no key is gathered whole.
+    An upper node with more than node_rows classes is parted by each of radius + 1 blocks of its
+    other bits, up to depth times. What is larger still (classes that share nearly all of their bits)
+    is dealt as all pairs of its chunks, each a task of at most twice node_rows, so that no key is gathered whole.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    filed = classes.where("fp IS NOT NULL").select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for i, m in enumerate(signed)])).alias("n")).select("n.*", "fp")
-    large = filed.groupBy("mask", "pattern").count().where(F.col("count") > node_rows).select("mask", "pattern", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j)))
-    dealt = filed.join(large, ["mask", "pattern"], "left").select("mask", "pattern", "fp", F.explode(pairs).alias("pair")).select(F.xxhash64("mask", "pattern", "pair").alias("node"), "fp")
+    level = masks(radius)
+    under = lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("pattern"))
+    filed = classes.where("fp IS NOT NULL").select("fp", F.explode(F.array(*[under(F.lit(_signed(m))) for m in level])).alias("n")).select("n.*", "fp")
+    ready, chunks = [], F.lit(None).cast("int")
+    for deep in range(depth + 1):
+        counted = filed.groupBy("mask", "pattern").count().where(F.col("count") > node_rows)
+        large = cut_lineage(counted.select("mask", "pattern", F.ceil(F.col("count") / node_rows).cast("int").alias("chunks")))
+        if large.isEmpty():
+            break
+        if deep == depth:
+            chunks, filed = F.col("chunks"), filed.join(large, ["mask", "pattern"], "left")
+            break
+        ready.append(filed.join(large, ["mask", "pattern"], "left_anti"))
+        parts = F.create_map(*[x for m in level for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(p)) for p in finer(m, radius)]))])
+        over = filed.join(large, ["mask", "pattern"], "left_semi").select("fp", F.explode(parts[F.col("mask")]).alias("mask"))
+        filed = over.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+        level = list(dict.fromkeys(p for m in level for p in finer(m, radius)))
+    chunk = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    pairs = F.when(chunks.isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(chunk, j) * chunks + F.greatest(chunk, j)))
+    dealt = filed.select("mask", "pattern", "fp", F.explode(pairs).alias("pair")).select(F.xxhash64("mask", "pattern", "pair").alias("node"), "fp")
+    for part in ready:
+        dealt = dealt.unionByName(part.select(F.xxhash64("mask", "pattern", F.lit(0)).alias("node"), "fp"))
     return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _search(it, radius), "a long, b long")
 
 
@@ -190,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty; documents without words have fingerprint 0, which links like any other.
     Repeated rows stay, each with its component. Null ids get their component too and are
-    never its name, unless all its ids are null (then it is null). Other columns are not touched.
+    never its name, unless all its ids are null (then it is null). A very long text is hashed a piece
+    at a time. An empty table gives no rows. Other columns are not touched.
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col, size))
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))

@@ -9,6 +9,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from llm.conftest import frame, prose
 
 from orebed.llm import ann, bpe, decontam, langid, passages, pii, quality, secrets, sharding, simhash
@@ -46,14 +47,31 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == 0
 
 
+def test_simhash_of_long_texts_by_pieces():
+    """Pieces are cut in any white space, within runs of it and behind very long words; a search looks up few at a time."""
+    rng = random.Random(5)
+
+    def plain(words):
+        found = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+    for gaps in (b" ", b"\t\n \r\x0b\x0c"):
+        words = [b"w%d" % rng.randrange(400) for _ in range(90_000)] + [b"x" * 700_000, b"end", b"of", b"it"]
+        text = b"".join(w + bytes(rng.choices(gaps, k=rng.choice((1, 1, 3)))) for w in words)
+        assert simhash.fingerprint(text) == plain(words)
+    assert simhash.fingerprint(b" " * 600_000) == 0
+    fps = np.unique(np.array([rng.getrandbits(7) for _ in range(300)], dtype=np.uint64))
+    assert (simhash.GrayIndex(fps).components(2, pairs=64) == simhash.GrayIndex(fps).components(2)).all()
+
+
 def test_simhash_in_small_nodes(spark):
     """Large upper nodes are dealt in chunks; links must not depend on it."""
     rng = random.Random(3)
     seeds = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for s in seeds for _ in range(12)})
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    roots = [{r.vertex: r.root for r in connected_components(simhash.links(table, node_rows=n)).collect()} for n in (20_000, 5)]
-    assert roots[0] == roots[1]
+    roots = [{r.vertex: r.root for r in connected_components(simhash.links(table, node_rows=n, depth=d)).collect()} for n, d in ((20_000, 2), (5, 0), (5, 1), (3, 2))]
+    assert roots[0] == roots[1] == roots[2] == roots[3]
     parent = {f: f for f in fps}
 
     def find(f):
