@@ -4,7 +4,9 @@ Vectors are scaled to length one and projected on Gaussian directions; a table's
 row of slots of a few projections. For a query, the chance that a neighbour at the usual
 distance lies in a slot follows from the normal distribution of projected
 differences, so buckets around the query's own are visited in order of estimated success
-until the chances add up to a target. The tables' candidates are merged and ranked by their exact cosine.
+until the chances add up to a target. Slots are as wide and projections as few as keep these visits
+few at the distance measured; where neighbours are hardly nearer than other vectors, buckets grow instead, and
+with them the share of the table that a query meets. The tables' candidates are merged and ranked by their exact cosine.
 Equal vectors are one class with its smallest ids, so copies cost nothing; a bucket with many
 classes or many visitors is dealt as blocks of either. Queries whose buckets hold too few vectors are compared with all, in blocks.
 """
@@ -12,7 +14,8 @@ classes or many visitors is dealt as blocks of either. Queries whose buckets hol
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, log2
+from heapq import heappop, heappush
+from math import erf, exp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +25,16 @@ from pyspark.sql import functions as F
 from orebed.llm.kernels import cut_lineage, mix
 
 TABLES = 2
-#: Slot width in standard deviations of a projected unit vector.
-SLOT = 1.0
+#: Least slot width in standard deviations of a projected unit vector, and least width in usual distances.
+SLOT, REACH = 1.0, 2.6
+#: Buckets that a query may visit in a table, on average; more projections are not taken.
+VISITS = 128
 #: Classes in a bucket, on average, that the number of projections aims at.
 BUCKET = 512
 #: Chance of finding a neighbour at the usual distance in at least one table.
 SUCCESS = 0.97
-#: Vectors that the usual distance is measured on.
-SAMPLE = 2000
+#: Vectors whose distance to their k-th neighbour among all vectors is measured.
+SAMPLE = 200
 BLOCK_ROWS = 20_000
 #: Queries that visit one block together; more are dealt over copies of it.
 ASKED_ROWS = 10_000
@@ -55,22 +60,33 @@ class Hashing:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, j].astype(np.int64).view(np.uint64))
         return key.view(np.int64)
 
+    def mean_visits(self, queries: int = 32) -> float:
+        """Visits in a table, over projections drawn as those of unit vectors are."""
+        rng = np.random.default_rng([self.seed, self.projections])
+        at = rng.standard_normal((queries, self.projections)) / self.width + rng.random((queries, self.projections))
+        return float(np.mean([len(self.probes(x)) for x in at]))
+
     def probes(self, at: np.ndarray) -> np.ndarray:
         """Slot rows to visit for one query's projections: likeliest first, until their chances reach the share."""
-        reach = int(np.ceil(3 * self.distance / self.width)) + 1
-        home = np.floor(at).astype(int)
-        slots = home[:, None] + np.arange(-reach, reach + 1)
         spread = self.distance / self.width
-        cdf = lambda x: 0.5 * (1 + np.vectorize(erf)(x / (spread * 2**0.5)))
-        chance = cdf(slots + 1 - at[:, None]) - cdf(slots - at[:, None])
-        rows, worth = np.zeros((1, 0), dtype=int), np.ones(1)
-        for j in range(len(at)):  # grow slot rows by one projection, leaving out what is hopeless
-            rows = np.concatenate([np.repeat(rows, slots.shape[1], axis=0), np.tile(slots[j], len(rows))[:, None]], axis=1)
-            worth = np.repeat(worth, slots.shape[1]) * np.tile(chance[j], len(worth))
-            rows, worth = rows[worth > 1e-7], worth[worth > 1e-7]
-        order = np.argsort(-worth, kind="stable")
-        n = int(np.searchsorted(np.cumsum(worth[order]), self.share)) + 1
-        return rows[order[:n]]
+        reach = int(np.ceil(5 * spread)) + 1
+        slots = np.floor(at).astype(int)[:, None] + np.arange(-reach, reach + 1)
+        edges = np.concatenate([slots, slots[:, -1:] + 1], axis=1) - at[:, None]
+        below = np.array([[0.5 * (1 + erf(x / (spread * 2**0.5))) for x in row] for row in edges.tolist()])
+        chance = np.diff(below, axis=1)
+        order = np.argsort(-chance, axis=1, kind="stable")
+        slots, costs = np.take_along_axis(slots, order, 1), -np.log(np.maximum(np.take_along_axis(chance, order, 1), 1e-300))
+        costs = costs.tolist()
+        # a row of choices is followed by those that take the next slot of one projection, at or behind the last one moved
+        rows, got, heap = [], 0.0, [(sum(c[0] for c in costs), (0,) * len(at), 0)]
+        while heap and got < self.share:
+            cost, choice, last = heappop(heap)
+            rows.append(choice)
+            got += exp(-cost)
+            for j in range(last, len(at)):
+                if (n := choice[j] + 1) < len(costs[j]):
+                    heappush(heap, (cost + costs[j][n] - costs[j][n - 1], (*choice[:j], n, *choice[j + 1 :]), j))
+        return slots[np.arange(len(at)), np.array(rows)]
 
 
 def _packed(vector: Column) -> Column:
@@ -84,20 +100,40 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(fine).distinct()
 
 
-def fit(classes: DataFrame, k: int, sample: int = SAMPLE, tables: int = TABLES, success: float = SUCCESS) -> Hashing:
-    """Projections from the number of classes; the usual distance from at most sample of them, those of smallest hash."""
-    n = classes.count()
+def usual_distance(classes: DataFrame, k: int, sample: int = SAMPLE) -> float:
+    """Median distance of at most sample vectors (those of smallest hash, of the longest dimension among them) to their k-th neighbour among all classes."""
     rows = [r.v for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
-    dim = max(map(len, rows), default=1)
-    x = np.array([r for r in rows if len(r) == dim], dtype=float).reshape(-1, dim)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    distance = 1.0
-    if len(x) > 1:
-        cos = x[:400] @ x.T
-        cos[np.arange(len(cos)), np.arange(len(cos))] = -2
-        near = np.sort(cos, axis=1)[:, -min(k, len(x) - 1) :][:, 0]
-        distance = float(np.sqrt(np.maximum(2 - 2 * np.median(near), 0)))
-    return Hashing(max(1, min(12, round(log2(max(n, 1) / BUCKET + 1) / 2))), distance, tables, success=success)
+    if not rows:
+        return 1.0
+    dim = max(map(len, rows))
+    _, _, asked = next(_unit([r for r in rows if len(r) == dim]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(asked), k + 1), -2.0)  # the vector itself among them
+        for batch in batches:
+            for d, _, unit in _unit(batch.column(0).to_pylist()):
+                for at in range(0, len(unit) if d == dim else 0, BLOCK_ROWS):
+                    top = np.sort(np.concatenate([top, asked @ unit[at : at + BLOCK_ROWS].T], axis=1), axis=1)[:, -k - 1 :]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), k + 1)), pa.array(top.ravel())], names=["i", "cos"])
+
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos")))
+    kth = classes.select("v").mapInArrow(best, "i long, cos double").where("cos > -2").withColumn("n", place).where(F.col("n") <= k + 1)
+    found = kth.groupBy("i").agg(F.min("cos").alias("cos"), F.max("n").alias("n")).where("n > 1").agg(F.percentile("cos", 0.5)).first()[0]
+    return 1.0 if found is None else float(np.sqrt(max(2 - 2 * found, 0)))
+
+
+def fit(classes: DataFrame, k: int, sample: int = SAMPLE, tables: int = TABLES, success: float = SUCCESS) -> Hashing:
+    """Slot width from the usual distance; as many projections as the number of classes asks for, while visits stay few."""
+    n, distance = classes.count(), usual_distance(classes, k, sample)
+    width = max(SLOT, REACH * distance)
+    wanted = max(1, min(12, round(log2(max(n, 1) / BUCKET + 1) / max(1.0, 2 - log2(width)))))
+    index = Hashing(1, distance, tables, width, success)
+    for projections in range(2, wanted + 1):
+        more = Hashing(projections, distance, tables, width, success)
+        if more.mean_visits() > VISITS:
+            break
+        index = more
+    return index
 
 
 def _unit(rows: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -138,12 +174,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, at, unit in _unit(batch.column(1).to_pylist()):
-                part = batch.take(pa.array(at))
+                q = batch.column(0).take(pa.array(at)).to_numpy()
                 for t in range(index.tables):
-                    for i, p in enumerate(index.projected(unit, t)):
-                        keys = np.unique(index.keys(index.probes(p), t, dim))
-                        where = pa.array(np.full(len(keys), i))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(where), part.column(1).take(where)], names=["bucket", "q", "v"])
+                    for lo in range(0, len(at), QUERY_ROWS):
+                        keys = [np.unique(index.keys(index.probes(p), t, dim)) for p in index.projected(unit[lo : lo + QUERY_ROWS], t)]
+                        visitors = np.repeat(q[lo : lo + QUERY_ROWS], [len(x) for x in keys])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(visitors)], names=["bucket", "q"])
 
     def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
         a_rows, b_rows = [], []
@@ -165,17 +201,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         columns = [left.column(0), left.column(1), right.column(0), right.column(1)]
         return pa.table([c.cast(pa.list_(c.type.value_type)) if pa.types.is_list(c.type) else c for c in columns], names=["q", "a", "b", "ids"])
 
+    wanted = asked.select("q", "v").dropDuplicates(["v"])
     best = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
 
     def nearest(visitors: DataFrame, stored: DataFrame) -> DataFrame:
-        """(q, id, score): of the blocks that each visitor (bucket, q, v) meets in its buckets the nearest k + 1 ids."""
+        """(q, id, score): of the blocks that each visitor (bucket, q) meets in its buckets the nearest k + 1 ids.
+
+        Visits of buckets that hold nothing fall out before the queries' vectors are joined to the rest.
+        """
         blocks = stored.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
         groups = visitors.groupBy("bucket").agg(F.ceil(F.count("*") / ASKED_ROWS).cast("int").alias("groups"))
         deal = cut_lineage(blocks.join(groups, "bucket"))
-        part = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        held = stored.join(deal, "bucket").withColumn("block", part("blocks")).select("bucket", "block", each("groups").alias("group"), "v", "ids")
-        asking = visitors.join(deal, "bucket").withColumn("group", part("groups")).select("bucket", each("blocks").alias("block"), "group", "q", "v")
+        held = stored.join(deal, "bucket").withColumn("block", part("v", "blocks")).select("bucket", "block", each("groups").alias("group"), "v", "ids")
+        asking = visitors.join(deal, "bucket").withColumn("group", part("q", "groups")).select("bucket", each("blocks").alias("block"), "group", "q").join(wanted, "q")
         keys = ("bucket", "block", "group")
         near = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, f"q long, a array<double>, b array<double>, ids array<{kind}>")
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, p: s + p)
@@ -183,13 +223,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         scored = scored.select("q", F.explode("ids").alias(id_col), "score").distinct()
         return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
 
-    wanted = asked.select("q", "v").dropDuplicates(["v"])
-    got = cut_lineage(nearest(wanted.mapInArrow(visits, "bucket long, q long, v array<double>"), classes.select("v", "ids").mapInArrow(hashed, f"bucket long, v array<double>, ids array<{kind}>")))
+    got = cut_lineage(nearest(wanted.mapInArrow(visits, "bucket long, q long"), classes.select("v", "ids").mapInArrow(hashed, f"bucket long, v array<double>, ids array<{kind}>")))
     short = wanted.join(got.groupBy("q").agg(F.count("*").alias("_n")), "q", "left").where(F.coalesce("_n", F.lit(0)) < k + 1).select("q", "v")
     short = cut_lineage(short)
     if not short.isEmpty():
         one = F.size("v").cast("long").alias("bucket")  # all vectors of a dimension
-        got = got.join(short.select("q"), "q", "left_anti").unionByName(nearest(short.select(one, "q", "v"), classes.select(one, "v", "ids")))
+        got = got.join(short.select("q"), "q", "left_anti").unionByName(nearest(short.select(one, "q"), classes.select(one, "v", "ids")))
     mine = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), id_col)
     merged = asked.select(F.col("id").alias("query_id"), "q", "v").join(got, "q").where(F.col("query_id") != F.col(id_col))
     return merged.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")

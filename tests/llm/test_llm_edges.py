@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import time
 
@@ -408,3 +410,29 @@ def test_passages_with_words_put_in_or_left_out(spark):
     want = {frozenset((k, k + 1)) for k, _ in rows[::2]}
     assert got <= want
     assert len(got) >= 0.97 * len(want)
+
+
+def test_probes_by_enumeration():
+    """Visits stand in order of chance, reach the share with no better set, and stay few at any number of vectors."""
+    index = ann.Hashing(4, 1.1, tables=2, width=2.6)
+    at = np.array([0.1, 2.5, -0.7, 3.95])
+    cdf = np.vectorize(lambda x: 0.5 * (1 + math.erf(x * 2.6 / 1.1 / 2**0.5)))
+    each = [{int(s): float(c) for s, c in zip(np.arange(-6, 7) + math.floor(a), cdf(np.arange(-6, 7) + math.floor(a) + 1 - a) - cdf(np.arange(-6, 7) + math.floor(a) - a), strict=True)} for a in at]
+    chances = sorted((math.prod(each[j][s] for j, s in enumerate(row)) for row in itertools.product(*each)), reverse=True)
+    least = next(n for n in range(1, len(chances)) if sum(chances[:n]) >= index.share)
+    rows = [tuple(map(int, r)) for r in index.probes(at)]
+    assert len(rows) == len(set(rows)) == least
+    assert np.allclose([math.prod(each[j][s] for j, s in enumerate(row)) for row in rows], chances[:least])
+
+
+def test_visits_stay_few(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 24))
+    table = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    apart = np.sort(np.sqrt(np.maximum(2 - 2 * unit @ unit.T, 0)), axis=1)[:, 5]
+    assert ann.usual_distance(table, 5, sample=3000) == pytest.approx(np.median(apart))
+    assert ann.fit(table, 5).mean_visits() <= ann.VISITS
+    for distance in (0.1, 0.5, 1.2):
+        width = max(ann.SLOT, ann.REACH * distance)
+        assert ann.Hashing(6, distance, width=width).mean_visits() <= ann.VISITS
