@@ -97,7 +97,7 @@ def proved_ranges(claims: DataFrame, evidence: DataFrame, case: str = "case") ->
     said = said.withColumn("_fact", fact)
     facts = said.where("_fact IS NOT NULL").select(case, "evidence_id", "_fact.*")
     band = said.where(F.col("_fact").isNull() & F.col("_s").rlike(BAND))
-    metrics = F.filter(F.array(*map(F.lit, METRICS)), lambda m: F.regexp_like(F.lower("_s"), F.concat(F.lit("\\b"), m, F.lit("\\b"))))
+    metrics = F.array_compact(F.array(*[F.when(F.lower("_s").rlike(f"\\b{m}\\b"), m) for m in METRICS]))
     loose = band.select(case, F.explode(metrics).alias("metric"), F.transform("_named", F.lower).alias("_named"))
     of_all = loose.where(F.size("_named") == 0).select(case, "metric").distinct()
     of_one = loose.select(case, "metric", F.explode("_named").alias("asset")).distinct()
