@@ -66,8 +66,8 @@ def placed(df: DataFrame, keys: list[str], order: list[str], columns: list[str])
     return rows.join(F.broadcast(offsets), [*keys, "_part"], "left").select(*dict.fromkeys([*keys, *columns]), (F.col("_local") + F.coalesce("_before", F.lit(0))).alias("t_idx"))
 
 
-def quantile_of(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """(keys, name): the linearly interpolated quantile of each series' values that are not null, picked by their places in order."""
+def quantile_of(df: DataFrame, keys: list[str], value: str, q: float | Column, name: str) -> DataFrame:
+    """(keys, name): the linearly interpolated quantile of each series' values that are not null, picked by their places in order; q may be read from the keys."""
     rows = placed(df.where(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id()), keys, [value, "_tie"], [value])
     at = rows.groupBy(*keys).agg(((F.max("t_idx")) * F.lit(q)).alias("_at"))
     near = rows.join(at, keys).where("t_idx IN (floor(_at), ceil(_at))")
