@@ -137,20 +137,24 @@ def grounded_answer(spark, sf_dir):
     return ranked.select("item_id", "doc_id", T.fold({"REFUSE": support < 0.34, "SUPPORTED": support >= 0.55}, "WEAK").alias("status"))
 
 
-HYBRID_SQL = f"""scope AS (SELECT * FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')), {bm25_sql(TOK, False, 20, 'lx').replace('FROM documents', 'FROM scope')},
+def hybrid_sql(per: int, top: int) -> str:
+    return f"""scope AS (SELECT * FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')), {bm25_sql(TOK, False, per, 'lx').replace('FROM documents', 'FROM scope')},
 dn AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, {COS.format(a='q.embedding', b='v.embedding')} / (sqrt({COS.format(a='q.embedding', b='q.embedding')}) * sqrt({COS.format(a='v.embedding', b='v.embedding')})) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE v.vec_id <> q.vec_id AND v.vec_id IN (SELECT doc_id FROM scope)),
-dr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS "rank" FROM dn QUALIFY "rank" <= 20),
+dr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS "rank" FROM dn QUALIFY "rank" <= {per}),
 fu AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + "rank")) AS score, count(DISTINCT m) AS methods FROM (SELECT item_id, doc_id, "rank", 0 AS m FROM lx UNION ALL SELECT item_id, doc_id, "rank", 1 FROM dr) GROUP BY ALL),
-hy AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS "rank" FROM fu QUALIFY "rank" <= 10)"""
+hy AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS "rank" FROM fu QUALIFY "rank" <= {top})"""
 
 
-def _hybrid(spark, sf_dir):
+HYBRID_SQL = hybrid_sql(20, 10)
+
+
+def _hybrid(spark, sf_dir, per=20, top=10):
     docs, bench, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     scope = docs.where(F.col("source").isin(*[f"src{i}" for i in range(5)]))
     asked = vectors.join(bench.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     readable = vectors.join(scope.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    dense = R.dense_topk(readable, asked, 20).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
-    return R.rank_fusion([R.bm25(scope, bench, T.simple_tokens, 20), dense], "item_id", "doc_id")
+    dense = R.dense_topk(readable, asked, per).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+    return R.rank_fusion([R.bm25(scope, bench, T.simple_tokens, per), dense], "item_id", "doc_id", top=top)
 
 
 @query("hybrid_search", f"WITH {HYBRID_SQL} SELECT * FROM hy", "score", digits=9)
@@ -159,6 +163,35 @@ def hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir)
 
 
+@query("hybrid_reranked", f"""WITH {hybrid_sql(30, 50)}, rr AS (SELECT item_id, doc_id, hy.score, d.source = 'src' || (item_id % 5) AS linked, len(list_intersect(list_distinct({TOK.replace('text', 'q.text')}), {TOK.replace('text', 'd.text')})) / greatest(1, len(list_distinct({TOK.replace('text', 'q.text')}))) AS reranker FROM hy JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)),
+t AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(reranker, 9) DESC, doc_id) <= 10) SELECT item_id, doc_id, score, reranker, CASE WHEN linked THEN 1.0::DOUBLE ELSE 0 END AS asset, row_number() OVER (PARTITION BY item_id ORDER BY linked DESC, round(CASE WHEN reranker <> 0 THEN reranker ELSE score END, 9) DESC, doc_id) AS "rank" FROM t QUALIFY "rank" <= 5""", "score reranker", digits=9)
+def hybrid_reranked(spark, sf_dir):
+    """Thirty hits of either kind, fused to 50, reranked by shared terms to ten, those of the item's own source first, the first five."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    fused = _hybrid(spark, sf_dir, 30, 50).select("item_id", "doc_id", "score").join(bench.select("item_id", F.col("text").alias("q")), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
+    best = R.lexical_rerank(fused, "item_id", "doc_id", T.simple_tokens(F.col("q")), T.simple_tokens(F.col("text")), 10)
+    return R.with_affinity(best, "item_id", "doc_id", F.col("source") == F.concat(F.lit("src"), F.col("item_id") % 5), 5).select("item_id", "doc_id", "score", "reranker", "asset", "rank")
+
+
+STOP = "the of and to in is on at for with that this les des der die und que una los las el la le du en et est ist das".split()
+LETTERS = "[\\p{L}\\p{N}_]{2,}"
+UNI_SQL = f"list_filter(regexp_extract_all(lower(text), '{LETTERS}'), lambda t: NOT list_contains({STOP}, t))"
+CONTEXT_SQL = f"""wd AS (SELECT conv_id, turn, role, {UNI_SQL} AS w FROM conversations WHERE text IS NOT NULL), tm AS (SELECT conv_id, turn, role, term, count(*) AS tf FROM (SELECT conv_id, turn, role, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd) GROUP BY ALL),
+sz AS (SELECT conv_id, count(*) AS n FROM wd WHERE role = 'assistant' GROUP BY conv_id), idf AS (SELECT conv_id, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tm JOIN sz USING (conv_id) WHERE role = 'assistant' GROUP BY conv_id, term),
+wt AS (SELECT conv_id, turn, role, term, tf * idf AS w FROM tm JOIN idf USING (conv_id, term)), nm AS (SELECT conv_id, turn, role, sqrt(sum(w * w)) AS a FROM wt GROUP BY ALL),
+sc AS (SELECT q.conv_id, q.turn AS query, d.turn AS chunk, sum(q.w * d.w) AS dot FROM wt q JOIN wt d ON d.conv_id = q.conv_id AND d.term = q.term WHERE q.role = 'user' AND d.role = 'assistant' GROUP BY ALL),
+cs AS (SELECT sc.conv_id, query, chunk, dot / (x.a * y.a) AS score FROM sc JOIN nm x ON x.conv_id = sc.conv_id AND x.turn = query AND x.role = 'user' JOIN nm y ON y.conv_id = sc.conv_id AND y.turn = chunk AND y.role = 'assistant')"""
+
+
+@query("context_evidence", f"""WITH {CONTEXT_SQL} SELECT conv_id, query, chunk, score, row_number() OVER (PARTITION BY conv_id, query ORDER BY round(score, 9) DESC, chunk) AS "rank" FROM cs WHERE round(score, 9) >= 0.05 QUALIFY "rank" <= 3""", "score")
+def context_evidence(spark, sf_dir):
+    """For each turn of a user, the answers of the same conversation that it is nearest to by words and pairs of words; the few stop words are the caller's."""
+    turns = table(spark, sf_dir, "conversations")
+    said = lambda role, name: turns.where(F.col("role") == role).select("conv_id", F.col("turn").alias(name), "text")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(LETTERS), F.lit(0))
+    return R.context_tfidf(said("assistant", "chunk"), said("user", "query"), words, STOP, context="conv_id")
+
+
 @query("retrieval_benchmark", f"""WITH {HYBRID_SQL}, rel AS (SELECT b.item_id, d.doc_id, b.item_id % 3 AS category FROM benchmark b JOIN documents d ON d.doc_id % 7 = b.item_id % 7 WHERE d.source IN ('src0', 'src1')), q AS (SELECT item_id, any_value(category) AS category, count(DISTINCT doc_id) AS n FROM rel GROUP BY item_id),
 h AS (SELECT item_id, count(*) AS hits, min("rank") AS first FROM hy JOIN rel USING (item_id, doc_id) GROUP BY item_id) SELECT category, count(*) AS queries, avg(coalesce(hits, 0) / 10) AS precision, avg(coalesce(hits, 0) / n) AS recall, avg(coalesce(1 / first, 0)) AS mrr FROM q LEFT JOIN h USING (item_id) GROUP BY category""", "precision recall mrr")
 def retrieval_benchmark(spark, sf_dir):
