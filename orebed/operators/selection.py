@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebed.operators.longseries import settled
+
 
 def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
     """points joined to the spans of their keys that hold them, both ends included; null ends hold nothing."""
@@ -46,20 +48,34 @@ def best_of(parts: list[DataFrame], keys: list[str], score: str) -> DataFrame:
     return out.groupBy(*keys).agg(F.max(score).alias(score))
 
 
+#: Claims of up to this many entities meet by two of them, as they have few such couples.
+PAIRED = 20
+
+
 def linked_claims(claims: DataFrame, id_col: str, entities: str, negative: str, least: float = 0.6) -> DataFrame:
     """(a, b, similarity, relation): claims that share an entity and are alike by Jaccard similarity; polarity tells support from contradiction."""
     one = claims.select(F.col(id_col).alias("id"), F.array_distinct(entities).alias("e"), F.col(negative).alias("neg"))
     by = one.select("id", F.explode("e").alias("entity"))
-    # Two claims alike share one of each one's rarest entities (all but least of its size), so only those are joined: what
-    # most claims name brings none together. Sizes must be alike as well.
+    # With entities in one order, rarest first, two claims that share n of them share k of each one's first size - n + k.
+    # n is at least ceil(least / (1 + least) * (size of a + size of b)), so where that is two or more, small claims meet by
+    # two shared entities at once, and only the others by a single one. Each meeting is verified where it is found.
     ranked = by.join(by.groupBy("entity").agg(F.count(F.lit(1)).alias("often")), "entity").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "entity"))).alias("r"))  # the entities of one claim
-    rare = ranked.select("id", F.size("r").alias("size"), F.explode(F.slice("r", F.lit(1), F.size("r") - F.ceil(F.lit(least) * F.size("r") - 1e-9).cast("int") + 1)).alias("x")).select("id", "size", "x.entity")
-    left, right = (rare.select(F.col("id").alias(x), F.col("size").alias(f"s_{x}"), "entity") for x in "ab")
-    alike = (F.col("s_a") >= least * F.col("s_b")) & (F.col("s_b") >= least * F.col("s_a"))
-    pairs = left.join(right, "entity").where(F.col("a") < F.col("b")).where(alike).select("a", "b").distinct()
-    left, right = (one.select(F.col("id").alias(x), F.col("e").alias(f"e_{x}"), F.col("neg").alias(f"neg_{x}")) for x in "ab")
+    ranked = ranked.select("id", F.transform("r", lambda x: x["entity"]).alias("e"), F.size("r").alias("size")).join(one.select("id", "neg"), "id")
+    ranked = settled(ranked)  # four readers
+    head = lambda k: F.slice("e", F.lit(1), F.least(F.col("size"), F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + k))
+    doubles = F.flatten(F.transform(head(2), lambda x, i: F.transform(F.slice(head(2), i + 2, F.size(head(2))), lambda y: F.array(x, y))))
+    shared = F.ceil(least / (1 + least) * (F.col("s_a") + F.col("s_b")) - 1e-9)
+    by_two = (shared >= 2) & (F.greatest("s_a", "s_b") <= PAIRED)
+    lone = (F.col("size") + 1) * least / (1 + least) <= 1 + 1e-9  # may share but one entity with the smallest claims
+    kinds = [(ranked.where(lone | (F.col("size") > PAIRED * least)).withColumn("key", F.explode(head(1))), ~by_two), (ranked.where((F.col("size") >= 2) & (F.col("size") <= PAIRED)).withColumn("key", F.explode(doubles)), by_two)]
     n = F.size(F.array_intersect("e_a", "e_b"))
-    found = pairs.join(left, "a").join(right, "b").withColumn("similarity", n / (F.size("e_a") + F.size("e_b") - n)).where(F.col("similarity") >= least)
+    found = None
+    for keyed, meets in kinds:
+        left, right = (keyed.select(F.col("id").alias(x), F.col("size").alias(f"s_{x}"), F.col("e").alias(f"e_{x}"), F.col("neg").alias(f"neg_{x}"), "key") for x in "ab")
+        alike = (F.col("s_a") >= least * F.col("s_b")) & (F.col("s_b") >= least * F.col("s_a"))
+        met = left.join(right, "key").where(F.col("a") < F.col("b")).where(alike & meets).withColumn("similarity", n / (F.col("s_a") + F.col("s_b") - n)).where(F.col("similarity") >= least)
+        met = met.select("a", "b", "similarity", "neg_a", "neg_b").dropDuplicates(["a", "b"])
+        found = met if found is None else found.unionByName(met)
     return found.select("a", "b", "similarity", F.when(F.col("neg_a") == F.col("neg_b"), "SUPPORTS").otherwise("CONTRADICTS").alias("relation"))
 
 
