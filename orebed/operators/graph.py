@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebed.operators.longseries import settled
+
 
 def filter_edges(edges: DataFrame, topology: DataFrame | None, max_p: float, keep_unknown: bool = True) -> DataFrame:
     """edges (cause, effect, p_value) with removal_reason: P_VALUE, NOT_IN_TOPOLOGY or null (kept); without topology all pass or none by keep_unknown."""
@@ -49,16 +51,23 @@ def paths(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out).withColumn("length", F.size("path") - 1)
 
 
-def levels(edges: DataFrame, most: int) -> DataFrame:
-    """(node, level): longest distance from a node without causes; nodes on or behind a cycle are not placed within most levels and get null."""
-    nodes = edges.select(F.col("cause").alias("node")).union(edges.select("effect")).distinct()
-    found = nodes.join(edges.select(F.col("effect").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0))
-    front, everything = found, found
-    for h in range(1, most + 1):
-        front = front.join(edges.withColumnRenamed("cause", "node"), "node").select(F.col("effect").alias("node")).distinct().withColumn("level", F.lit(h))
-        everything = everything.unionByName(front)
-    top = everything.groupBy("node").agg(F.max("level").alias("level"))
-    return nodes.join(top, "node", "left").select("node", F.when(F.col("level") < most, F.col("level")).alias("level"))
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): longest distance from a node without causes, of any length; nodes on or behind a cycle get null.
+
+    A node is placed in the round in which the last of its causes has been; each round drops the edges of the nodes placed before.
+    """
+    left = settled(edges.select("cause", "effect").distinct())
+    nodes = left.select(F.col("cause").alias("node")).union(left.select("effect")).distinct()
+    front = settled(nodes.join(left.select(F.col("effect").alias("node")), "node", "left_anti"))
+    found, level = front.withColumn("level", F.lit(0)), 0
+    while not front.isEmpty():
+        level += 1
+        done = front.withColumnRenamed("node", "cause")
+        rest = settled(left.join(done, "cause", "left_anti"))
+        freed = left.join(done, "cause", "left_semi").select(F.col("effect").alias("node")).distinct()
+        front = settled(freed.join(rest.select(F.col("effect").alias("node")), "node", "left_anti"))
+        left, found = rest, found.unionByName(front.withColumn("level", F.lit(level)))
+    return nodes.join(found, "node", "left")
 
 
 def weighted_rank(scores: DataFrame, by: list[str], item: str, weights: dict[str, float]) -> DataFrame:

@@ -44,7 +44,7 @@ def propagation_paths(spark, sf_dir):
 @query("dag_levels", """WITH RECURSIVE t AS (SELECT p_partkey // 2 AS cause, p_partkey AS effect FROM part WHERE p_partkey > 1), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT effect, level + 1 FROM r JOIN t ON cause = node) SELECT node, max(level) AS level FROM r GROUP BY node""")
 def dag_levels(spark, sf_dir):
     t = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.floor(F.col("p_partkey") / 2).alias("cause"), F.col("p_partkey").alias("effect"))
-    return G.levels(t, 20)
+    return G.levels(t)
 
 
 @query("root_cause_rank", """WITH s AS (SELECT user_id, event_type, least(1, greatest(0, avg(value) / 100)) AS shift, least(1, count(*) / 20.0::DOUBLE) AS burden, least(1, stddev_pop(value) / 50) AS spread FROM events GROUP BY ALL),

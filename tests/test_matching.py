@@ -26,3 +26,9 @@ def test_linked_claims(spark, least):
             if a < b and alike >= least:
                 want[a, b] = round(alike, 9), "SUPPORTS" if p == q else "CONTRADICTS"
     assert got == want
+
+
+def test_levels_of_any_depth(spark):
+    edges = [(i, i + 1) for i in range(25)] + [(0, 25), (90, 91), (91, 90), (91, 92)]
+    got = {r.node: r.level for r in graph.levels(spark.createDataFrame(edges, "cause int, effect int")).collect()}
+    assert got == {i: i for i in range(26)} | {90: None, 91: None, 92: None}
