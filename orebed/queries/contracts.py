@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orebed.operators import contracts as K
+from orebed.operators import series as S
 from orebed.operators.series import seconds
 from orebed.queries.base import EVENTS_SQL, SERIES, query, series, table
 
@@ -129,7 +130,7 @@ SELECT user_id, event_type, value, slope, low, high, value BETWEEN low AND high
 def asset_context(spark, sf_dir):
     ev = series(spark, sf_dir)
     latest = ev.groupBy(*SERIES).agg(F.max_by("value", "t_idx").alias("value"))
-    trends = ev.groupBy(*SERIES).agg(F.regr_slope("value", F.col("t_idx").cast("double")).alias("slope"))
+    trends = ev.groupBy(*SERIES).agg(S.slope("value", F.col("t_idx").cast("double")).alias("slope"))
     rules = spark.createDataFrame([("click", 2.0, 12.0), ("view", 0.0, 9.0), ("error", 5.0, 30.0)], "event_type string, low double, high double")
     return K.asset_context(latest, trends, rules, SERIES, 3).select(*SERIES, "value", "slope", "low", "high", "within", "place")
 
