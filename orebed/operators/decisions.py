@@ -126,7 +126,7 @@ def diagnosed(ranking: DataFrame, edges: DataFrame, unit: str, catalogue: DataFr
 
     A pattern scores 1 for its first root and the share of its variables that are reached; the first of equals counts, and none under a score over 0. Confidence is .75 of the root's score and .25 of half the pattern's.
     """
-    best = ranking.groupBy(unit).agg(F.max_by(F.struct(F.col("variable").alias("root"), "score"), F.struct(F.round("score", 12).alias("s"), F.lit(1))).alias("_b")).select(unit, "_b.root", F.col("_b.score").alias("_s"))
+    best = ranking.groupBy(unit).agg(F.max_by(F.struct(F.col("variable").alias("root"), "score"), F.struct(F.round("score", 12).alias("s"), F.col("variable").alias("v"))).alias("_b")).select(unit, "_b.root", F.col("_b.score").alias("_s"))
     nodes = reached(best, edges, unit, depth).groupBy(unit).agg(F.collect_set("node").alias("_nodes"))
     met = best.join(nodes, unit, "left").withColumn("_nodes", F.coalesce("_nodes", F.array().cast("array<string>")))
     fits = met.crossJoin(F.broadcast(catalogue.select("fault_id", "label", "roots", "affected")))

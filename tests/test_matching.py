@@ -57,3 +57,10 @@ def test_single_readings_have_no_slope(spark):
     assert math.isnan(got["x"].drift) and got["x"].strongest == "drift"
     health = {r.t_idx: r.health for r in G.health_index(df, ["u"], "c").collect()}
     assert health == {0: 0.0}  # the median is not a number either, so only x counts, without a direction
+
+
+def test_equal_roots_go_by_name(spark):
+    ranking = spark.createDataFrame([(u, v, s) for u in range(20) for v, s in (("b", 0.9), ("d", 0.9), ("a", 0.9), ("c", 0.1))], "unit int, variable string, score double").repartition(5)
+    edges = spark.createDataFrame([(0, "x", "y")], "unit int, cause string, effect string")
+    kinds = spark.createDataFrame([(1, "k", ["q"], ["r"])], "fault_id int, label string, roots array<string>, affected array<string>")
+    assert {r.root for r in D.diagnosed(ranking, edges, "unit", kinds).collect()} == {"d"}
