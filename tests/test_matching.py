@@ -64,3 +64,13 @@ def test_equal_roots_go_by_name(spark):
     edges = spark.createDataFrame([(0, "x", "y")], "unit int, cause string, effect string")
     kinds = spark.createDataFrame([(1, "k", ["q"], ["r"])], "fault_id int, label string, roots array<string>, affected array<string>")
     assert {r.root for r in D.diagnosed(ranking, edges, "unit", kinds).collect()} == {"d"}
+
+
+def test_rounding_is_duckdbs(spark, duck):
+    from orebed.queries.base import rounded
+
+    draw = random.Random(9)
+    xs = [0.5024999999999999, 1704074901.5649, 0.0005, -0.0005, 2.5e-3, 1e300, float("inf"), 0.0] + [draw.choice([1, -1]) * round(draw.uniform(0, 2000), 4) + 5e-4 for _ in range(4000)]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").withColumn("y", rounded(F.col("x"), 3)).orderBy("i").collect()]
+    want = [r[0] for r in duck.execute("SELECT round(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
+    assert got == want
