@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orebed.operators import calibration as C
 from orebed.operators import longseries as L
-from orebed.queries.base import query, table
+from orebed.queries.base import query, rounded, table
 from orebed.streaming import online as O
 
 
@@ -34,7 +34,8 @@ SELECT user_id, round(t, 3) AS ts, round(t, 3) AS moment, 'FRESH' AS status, fal
 UNION ALL SELECT user_id, round(t, 3), round(t + lim, 3), CASE lim WHEN 21600 THEN 'STALE' ELSE 'EXPIRED' END, false FROM l WHERE t + lim < until""", "ts moment", digits=2)
 def stream_freshness(spark, sf_dir):
     """When each user's latest event is six hours and a day old, by timers."""
-    return O.drained(O.streamed_freshness(O.replay(spark, sf_dir, "events"), ["user_id"], "ts", "ts", 21600, 86400)).withColumnRenamed("at", "moment")
+    out = O.drained(O.streamed_freshness(O.replay(spark, sf_dir, "events"), ["user_id"], "ts", "ts", 21600, 86400))
+    return out.withColumns({"ts": rounded(F.col("ts"), 3), "moment": rounded(F.col("at"), 3)}).drop("at")
 
 
 @query("stream_online_variates")
