@@ -19,17 +19,17 @@ def counts(patterns, column="text"):
 
 @query("injection_scan", f"SELECT conv_id, turn, {counts(T.INJECTION)} FROM conversations")
 def injection_scan(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.regexp_count("text", F.lit(p)).alias(f"n_{k}") for k, p in T.INJECTION.items()])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.regexp_count("text", F.lit(T.as_re2(p))).alias(f"n_{k}") for k, p in T.INJECTION.items()])
 
 
 @query("pii_counts", f"SELECT doc_id, {counts(T.PII)} FROM documents")
 def pii_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p)).alias(f"n_{k}") for k, p in T.PII.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(T.as_re2(p))).alias(f"n_{k}") for k, p in T.PII.items()])
 
 
 @query("pii_masked", f"""SELECT doc_id, v AS value_masked FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{_sql(T.PII['email'])}'), lambda x: CASE WHEN length(x) <= 4 THEN repeat('*', length(x)) ELSE substr(x, 1, 2) || repeat('*', length(x) - 4) || substr(x, -2) END)) AS v FROM documents)""")
 def pii_masked(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(T.PII["email"]), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(T.as_re2(T.PII["email"])), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(found, T.masked)).alias("value_masked"))
 
 

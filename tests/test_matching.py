@@ -74,3 +74,12 @@ def test_rounding_is_duckdbs(spark, duck):
     got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").withColumn("y", rounded(F.col("x"), 3)).orderBy("i").collect()]
     want = [r[0] for r in duck.execute("SELECT round(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
     assert got == want
+
+
+def test_patterns_match_as_in_re2(spark, duck):
+    texts = ["12 Old Mill st\u00e9", "12 Old Mill st\u00e9 7 High road", "a@b.co\u00fc", "12\u00a0Old road", "3 Long\x0bMill st", "\u00e912 Old lane", "9 Oa\u212aley lane"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern in T.PII.values():
+        got = [r.n for r in df.select("i", F.regexp_count("t", F.lit(T.as_re2(pattern))).alias("n")).orderBy("i").collect()]
+        want = [duck.execute("SELECT len(regexp_extract_all(?, ?))", [t, pattern]).fetchall()[0][0] for t in texts]
+        assert got == want, pattern
