@@ -30,7 +30,8 @@ def event_evidence(spark, sf_dir):
     """A decision for each user's series by two alarms; views are not evaluable, values over 80 outside the regimes."""
     ev = table(spark, sf_dir, "events")
     rows = S.indexed(ev, ["user_id"], ["ts", "event_id"]).withColumn("t_idx", F.col("t_idx").cast("long"))
-    rows = rows.withColumns({"r": F.col("value") > 15, "d": F.abs(F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))) > 6, "e": F.col("event_type") != "view", "o": F.col("value") > 80})
+    rows = rows.join(S.ordered_moments(rows, ["user_id"], "value", "t_idx").select("user_id", "mean"), "user_id")
+    rows = rows.withColumns({"r": F.col("value") > 15, "d": F.abs(F.col("value") - F.col("mean")) > 6, "e": F.col("event_type") != "view", "o": F.col("value") > 80})
     findings = ev.groupBy("user_id").agg(F.sum((F.col("value") > 60).cast("int")).alias("n"))
     return D.event_evidence(rows, ["user_id"], "r", "d", "e", "o", findings, least_run=3, least_residual=0.15, least_drift=0.15)
 
