@@ -68,10 +68,15 @@ def convert_units(rows: DataFrame, value: str, unit: str, to: str | None = None)
 
 def stated_range(text: Column) -> Column:
     """struct<asset, metric, low, high, unit> of a text that states one normal range and nothing else, else null."""
-    part = lambda i: F.regexp_extract(text, STATED, i)
-    number = lambda i: part(i).try_cast("decimal(38,12)")
-    fact = F.struct(F.lower(part(1)).alias("asset"), F.regexp_replace(F.lower(part(2)), "\\s+", " ").alias("metric"), number(3).alias("low"), number(4).alias("high"), F.regexp_replace(F.lower(part(5)), "\\s+", "").alias("unit"))
-    return F.when(text.rlike(STATED) & number(3).isNotNull() & number(4).isNotNull(), fact)
+    # One match for all parts; the mark that parts them is taken out of the text first, where it matches nothing either.
+    parts = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), STATED, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01")
+    number = lambda p, i: p[i].try_cast("decimal(38,12)")
+
+    def fact(p: Column) -> Column:
+        found = F.struct(F.lower(p[0]).alias("asset"), F.regexp_replace(F.lower(p[1]), "\\s+", " ").alias("metric"), number(p, 2).alias("low"), number(p, 3).alias("high"), F.regexp_replace(F.lower(p[4]), "\\s+", "").alias("unit"))
+        return F.when(F.size(p) == 5, F.when(number(p, 2).isNotNull() & number(p, 3).isNotNull(), found))
+
+    return F.transform(F.array(parts), fact)[0]
 
 
 def _assets(text: Column) -> Column:
