@@ -123,3 +123,14 @@ def test_behaviour_models_by_plain_refits(spark):
             assert got[r[0]].normalized == pytest.approx((r[3] - e - own[0]) / (own[1] or whole[1]))
     good = [abs(got[i].residual) for i in range(n) if got[i].residual is not None and regime[i] != "rare"]
     assert np.mean(good) < 0.5 * y.std()
+
+
+def test_behaviour_rows_keep_their_own_values_without_an_order(spark):
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal(60)
+    table = [(None if i == 3 else min(i, 57), "hot", True, 2.0 * float(a[i]), float(a[i])) for i in range(60)]
+    df = spark.createDataFrame(table, "i long, regime string, ref boolean, y double, a double")
+    got = M.behaviour_residuals(df, "ref", "regime", ["i"], ["y", "a"], ["y", "a"]).collect()
+    assert len(got) == 120  # three rows share an order, one has none
+    expected = {r.expected + r.residual for r in got if r.target == "y"}
+    assert sorted(expected) == pytest.approx(sorted(2.0 * a))
