@@ -436,3 +436,17 @@ def test_visits_stay_few(spark):
     for distance in (0.1, 0.5, 1.2):
         width = max(ann.SLOT, ann.REACH * distance)
         assert ann.Hashing(6, distance, width=width).mean_visits() <= ann.VISITS
+
+
+def test_intervals_of_passages_are_worked_out_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b, c = (rng.integers(1, 1 << 32, 200).astype(np.uint32) for _ in range(3))
+    b[50:150] = a[20:120]
+    made, windows = [], passages.compact_windows
+    monkeypatch.setattr(passages, "compact_windows", lambda *x: made.append(1) or windows(*x))
+    one = passages._Interval(a, passages.WIDTH, 41)
+    for other in (b, c):
+        key, at, n = passages._unshared(one, *passages._places(a, other, np.argsort(other, kind="stable")))
+        assert len(key) == len(at) == len(n) and (n == 41).all()
+        assert not any(other is b and 20 <= p and p + 41 <= 120 for p in at)
+    assert len(made) == 1
