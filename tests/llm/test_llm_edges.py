@@ -444,9 +444,15 @@ def test_intervals_of_passages_are_worked_out_once(monkeypatch):
     b[50:150] = a[20:120]
     made, windows = [], passages.compact_windows
     monkeypatch.setattr(passages, "compact_windows", lambda *x: made.append(1) or windows(*x))
-    one = passages._Interval(a, passages.WIDTH, 41)
+    together = [passages._Interval(x) for x in (a[:30], a, b, np.tile(a[:20], 8))]
+    passages._file(together, passages.WIDTH, 41)
+    assert len(made) == 1
     for other in (b, c):
-        key, at, n = passages._unshared(one, *passages._places(a, other, np.argsort(other, kind="stable")))
+        key, at, n = passages._unshared(together[1], *passages._places(a, other, np.argsort(other, kind="stable")))
         assert len(key) == len(at) == len(n) and (n == 41).all()
         assert not any(other is b and 20 <= p and p + 41 <= 120 for p in at)
-    assert len(made) == 1
+    for one in together:  # alone they get the same
+        alone = passages._Interval(one.shingles)
+        passages._file([alone], passages.WIDTH, 41)
+        assert [[np.asarray(x).tolist() for x in r] for r in alone.runs] == [[np.asarray(x).tolist() for x in r] for r in one.runs]
+    assert together[0].runs == [] and together[3].runs
