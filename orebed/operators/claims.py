@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orebed.functions.text import MULTIPLIERS
 from orebed.operators.diagnosis import clip, ladder
+from orebed.operators.longseries import settled
 
 # Shapes of numbers, dates and names, and the words that are no names.
 NUMBER = "(?i)(?:^|[^\\w-])((?:[$€£₹]\\s*)?[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?(?:\\s*(?:%|(?:percent|bn|billion|mn|million|m|k|thousand|crore|lakh)\\b)|\\b))"
@@ -14,6 +15,8 @@ MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug
 DATE = f"(?i)\\b(?:{MONTH}\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+(?:18|19|20|21)[0-9]{{2}}|[0-9]{{1,2}}(?:st|nd|rd|th)?\\s+{MONTH}\\s+(?:18|19|20|21)[0-9]{{2}}|(?:18|19|20|21)[0-9]{{2}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})\\b"
 NAME = "(?:^|[^A-Za-z0-9_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,4}|[A-Z]{2,}(?:\\s+[A-Z]{2,})*)(?:$|[^A-Za-z0-9_])"
 NOT_NAMES = ("a", "an", "how", "i", "it", "its", "our", "she", "that", "the", "their", "there", "these", "they", "this", "those", "we", "what", "when", "where", "which", "who", "why", "you", "your")
+#: Rows of ranges that are broadcast at most.
+SENT = 200_000
 RANGE_FACT = "(?i)^([A-Za-z]+-[0-9]+) ([a-z ]+?) normal range is ([0-9.]+) to ([0-9.]+) ([a-z/]+)$"
 
 
@@ -164,9 +167,12 @@ def merged_evidence(seeds: DataFrame, found: DataFrame, key: str, text: str, ord
 
 def range_facts(statements: DataFrame, key: str, text: str) -> DataFrame:
     """(key, asset, metric, low, high, unit) of texts that state one normal range and nothing else."""
-    part = lambda i: F.regexp_extract(F.regexp_replace(F.trim(text), "\\.$", ""), RANGE_FACT, i)
-    facts = statements.select(key, F.lower(part(1)).alias("asset"), F.lower(part(2)).alias("metric"), part(3).try_cast("double").alias("low"), part(4).try_cast("double").alias("high"), F.lower(part(5)).alias("unit"))
-    return facts.where("asset <> '' AND low IS NOT NULL AND high IS NOT NULL AND low <= high")
+    # One match for all parts, behind explode, so that no filter repeats it; the mark that parts them is taken out of the text first, where it matches nothing either.
+    bare = F.translate(F.regexp_replace(F.trim(text), "\\.$", ""), "\x01", "\x02")
+    parts = F.split(F.regexp_replace(bare, RANGE_FACT, "$1\x01$2\x01$3\x01$4\x01$5\x01"), "\x01")
+    found = statements.select(key, F.explode(F.filter(F.array(parts), lambda p: F.size(p) == 6)).alias("p"))
+    facts = found.select(key, F.lower(F.col("p")[0]).alias("asset"), F.lower(F.col("p")[1]).alias("metric"), F.col("p")[2].try_cast("double").alias("low"), F.col("p")[3].try_cast("double").alias("high"), F.lower(F.col("p")[4]).alias("unit"))
+    return facts.where("low IS NOT NULL AND high IS NOT NULL AND low <= high")
 
 
 def cited_ranges(claims: DataFrame, witnesses: DataFrame, claim: str) -> DataFrame:
@@ -175,8 +181,10 @@ def cited_ranges(claims: DataFrame, witnesses: DataFrame, claim: str) -> DataFra
     Claims whose document doesn't say so are left out.
     """
     fact = ["asset", "metric", "unit"]
-    said = claims.join(witnesses.select("doc", *fact, "low", "high").distinct(), ["doc", *fact, "low", "high"], "left_semi")
-    ranges = witnesses.groupBy(*fact).agg(F.count_distinct("low", "high").alias("_n"))
+    said = claims.join(witnesses.select("doc", *fact, "low", "high"), ["doc", *fact, "low", "high"], "left_semi")
+    ranges = settled(witnesses.groupBy(*fact).agg(F.count_distinct("low", "high").alias("_n")))
+    if ranges.count() <= SENT:
+        ranges = F.broadcast(ranges)  # claims stay where they lie, however many speak of one fact
     return said.join(ranges, fact).select(claim, F.when(F.col("_n") > 1, "CONFLICTING").otherwise("SUPPORTED").alias("status"))
 
 
