@@ -15,8 +15,8 @@ MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug
 DATE = f"(?i)\\b(?:{MONTH}\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+(?:18|19|20|21)[0-9]{{2}}|[0-9]{{1,2}}(?:st|nd|rd|th)?\\s+{MONTH}\\s+(?:18|19|20|21)[0-9]{{2}}|(?:18|19|20|21)[0-9]{{2}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})\\b"
 NAME = "(?:^|[^A-Za-z0-9_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,4}|[A-Z]{2,}(?:\\s+[A-Z]{2,})*)(?:$|[^A-Za-z0-9_])"
 NOT_NAMES = ("a", "an", "how", "i", "it", "its", "our", "she", "that", "the", "their", "there", "these", "they", "this", "those", "we", "what", "when", "where", "which", "who", "why", "you", "your")
-#: Rows of ranges that are broadcast at most.
-SENT = 200_000
+#: Rows of ranges and of queries' terms that are broadcast at most, and claims of a task.
+SENT, PART_CLAIMS = 200_000, 10_000
 RANGE_FACT = "(?i)^([A-Za-z]+-[0-9]+) ([a-z ]+?) normal range is ([0-9.]+) to ([0-9.]+) ([a-z/]+)$"
 
 
@@ -145,14 +145,16 @@ def claim_priority(df: DataFrame, key: str, top: int, base: dict[str, float]) ->
 
 
 def claims_for_query(claims: DataFrame, queries: DataFrame, generic: tuple[str, ...], claim: str, query: str, text: str = "text") -> DataFrame:
-    """(query, claim, score): share of a query's meaningful terms that a claim has; terms are joined, and pairs without any never made."""
+    """(query, claim, score): share of a query's meaningful terms that a claim has; terms are joined, and pairs without any never made. Claims are dealt over tasks, PART_CLAIMS to one, where their pairs are also counted."""
 
     def terms(c: Column) -> Column:
         found = F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(*generic))
         return F.array_distinct(F.transform(found, lambda t: F.when((F.length(t) > 4) & t.endswith("s"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)))
 
     q = queries.select(query, terms(F.col(text)).alias("_t")).select(query, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    c = claims.select(claim, F.explode(terms(F.col(text))).alias("term"))
+    parts = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), claims.count() // PART_CLAIMS)
+    c = claims.select(claim, text).repartition(parts, claim).select(claim, F.explode(terms(F.col(text))).alias("term"))
+    q = F.broadcast(q) if q.count() <= SENT else q
     return c.join(q, "term").groupBy(query, claim, "_n").agg(F.count(F.lit(1)).alias("_m")).select(query, claim, (F.col("_m") / F.col("_n")).alias("score"))
 
 

@@ -26,3 +26,13 @@ def test_claims_stay_where_they_lie(spark):
     assert sorted((r.claim, r.status) for r in got.collect()) == [(1, "CONFLICTING"), (1, "CONFLICTING"), (2, "CONFLICTING"), (3, "SUPPORTED")]
     # Before, all claims that speak of one fact were one task's.
     assert not re.search(r"hashpartitioning\(asset#\d+, metric#\d+, unit#\d+, \d", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_claims_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_CLAIMS", 2)
+    claims = spark.createDataFrame([(i, f"common pump number{i}") for i in range(30)], "k int, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "Common pumps"), (2, "number7 the"), (3, None)], "q int, text string")
+    got = C.claims_for_query(claims, queries, ("the",), "k", "q")
+    assert {tuple(r) for r in got.collect()} == {(1, i, 1.0) for i in range(30)} | {(2, 7, 1.0)}
+    # Before, the pairs of a file's claims were made and counted by the one task that reads it.
+    assert "hashpartitioning(k" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
