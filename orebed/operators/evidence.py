@@ -14,6 +14,9 @@ UNITS = (
     ("mm/s", "mm/s", 1.0, 0.0), ("in/s", "mm/s", 25.4, 0.0), ("s", "s", 1.0, 0.0), ("min", "s", 60.0, 0.0), ("h", "s", 3600.0, 0.0),
 )
 
+#: Rules that are broadcast at most.
+SENT = 200_000
+
 
 def normalize_units(rows: DataFrame, value: str = "value", unit: str = "unit") -> DataFrame:
     """rows with canonical_value, canonical_unit and unit_status: OK, UNIT_UNKNOWN or UNIT_MISSING (expressions alone: the table is a literal)."""
@@ -30,7 +33,8 @@ def holds(op: Column, value: Column, low: Column, high: Column) -> Column:
 
 
 def evaluate_rules(measurements: DataFrame, rules: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
-    """Each measurement with each rule of its metric: result, and NORMAL, DEVIATION or UNVERIFIED (no value or bound)."""
+    """Each measurement with each rule of its metric: result, and NORMAL, DEVIATION or UNVERIFIED (no value or bound). Up to SENT rules are broadcast, so that measurements of one metric are not one task's."""
+    rules = F.broadcast(rules) if rules.count() <= SENT else rules
     j = measurements.join(rules, metric)
     ok = holds(F.col("op"), F.col(value), F.col("low"), F.col("high"))
     return j.withColumn("result", ok).withColumn("status", F.when(ok.isNull(), "UNVERIFIED").when(ok, "NORMAL").otherwise("DEVIATION"))
