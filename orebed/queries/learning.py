@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orebed.functions import text as T
 from orebed.operators import retrieval as R
+from orebed.operators.longseries import settled
 from orebed.queries.base import SERIES, query, series, table
 
 
@@ -33,11 +34,13 @@ def operating_regimes(spark, sf_dir):
 
 
 def risk_rows(spark, sf_dir):
+    """Text shape of labelled documents, read once: fitting and scoring pass over these rows many times."""
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.split(F.trim(text), r"\s+")).cast("double")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), (F.length(text) / words).alias("per_word"), (F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.length(text), F.lit(1))).alias("digits"))
+    digits = F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), (F.length(text) / words).alias("per_word"), (digits / F.greatest(F.length(text), F.lit(1))).alias("digits"))
     labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
-    return assembled(docs.join(labels, "doc_id"), ["words", "per_word", "digits"])
+    return assembled(settled(docs.join(labels, "doc_id")), ["words", "per_word", "digits"])
 
 
 @query("risk_model")
@@ -51,7 +54,7 @@ def risk_model(spark, sf_dir):
 @query("isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
     """The risk model's scores made calibrated by isotonic regression."""
-    scored = risk_model(spark, sf_dir)
+    scored = settled(risk_model(spark, sf_dir))
     model = IsotonicRegression(featuresCol="p", predictionCol="calibrated").fit(scored.where("doc_id % 4 <> 0").select("p", "label"))
     return model.transform(scored).select("doc_id", "p", "calibrated")
 

@@ -134,3 +134,13 @@ def test_behaviour_rows_keep_their_own_values_without_an_order(spark):
     assert len(got) == 120  # three rows share an order, one has none
     expected = {r.expected + r.residual for r in got if r.target == "y"}
     assert sorted(expected) == pytest.approx(sorted(2.0 * a))
+
+
+def test_risk_rows_are_read_once(spark, sf_dir):
+    from orebed.queries import learning
+
+    rows = learning.risk_rows(spark, sf_dir)
+    assert "Relation" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in rows.collect():
+        assert r.digits == sum("0" <= c <= "9" for c in texts[r.doc_id]) / max(1, len(texts[r.doc_id]))
