@@ -62,13 +62,23 @@ def calibrated_monitoring(df: DataFrame, order: list[str], vec: str, variance: f
 
 def poisson_draw(*parts: str) -> F.Column:
     """A Poisson(1) number that the columns' hash decides."""
-    u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    u = uniform(*parts)
+    return sum((F.when(u > s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+
+
+def uniform(*parts: str | F.Column) -> F.Column:
+    """A number between 0 and 1 that the columns' hash decides."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+
+
+def poisson_steps() -> list[float]:
+    """What a uniform number must be over for each next Poisson(1) number."""
     steps, total, p = [], 0.0, float(np.exp(-1))
     for k in range(12):
         total += p
         p /= k + 1
         steps.append(total)
-    return sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
+    return steps
 
 
 def calibrated_limits(alarms: DataFrame, event: str, settings: list[str], flag: str, alarmed: str, total: str, target: float = 0.08, draws: int = 500, seed: int = 0) -> DataFrame:
@@ -78,14 +88,30 @@ def calibrated_limits(alarms: DataFrame, event: str, settings: list[str], flag:
     target the loosest is taken: the largest far, then the smallest settings in order; if none does, the least far, then the largest settings. Weights are drawn for events with a decision only; the draws' totals are the same for all settings.
     """
     hit = F.col(flag).cast("double")
-
-    def drawn(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_seed", F.lit(seed)).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", poisson_draw(event, "_draw", "_seed"))
-
-    totals = drawn(alarms.select(event).distinct()).groupBy("_draw").agg(F.sum("_w").alias("_n"))  # a row for each draw
-    hits = drawn(alarms.where(flag).select(event, *settings)).groupBy(*settings, "_draw").agg(F.sum("_w").alias("_h"))
-    grid = alarms.select(*settings).distinct().crossJoin(F.broadcast(totals))
-    means = grid.join(hits, [*settings, "_draw"], "left").select(*settings, F.when(F.col("_n") > 0, F.coalesce("_h", F.lit(0)) / F.col("_n")).otherwise(0.0).alias("_m"))
+    alarms = settled(alarms)  # read several times below
+    numbered = settled(alarms.select(*settings).distinct().withColumn("_i", (F.row_number().over(Window.orderBy(*settings)) - 1).cast("int")))  # a row for each setting
+    n, steps = numbered.count(), poisson_steps()
+    seeded = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: uniform(event, d, F.lit(seed)))
+    events = alarms.join(F.broadcast(numbered), settings, "left").groupBy(event).agg(F.collect_list(F.when(F.col(flag), F.col("_i"))).alias("_hit")).select("_hit", seeded.alias("_u"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each draw's weights of all events (setting n) and of the events that each setting hits: products of two matrices, piece by piece."""
+        sums = np.zeros((n + 1, draws))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                w = np.searchsorted(steps, part.column(1).flatten().to_numpy()).reshape(-1, draws).astype(float)
+                hits = np.zeros((part.num_rows, n + 1))
+                np.add.at(hits, (np.repeat(np.arange(part.num_rows), part.column(0).value_lengths().to_numpy()), part.column(0).flatten().to_numpy()), 1)
+                hits[:, n] = 1
+                sums += hits.T @ w
+        i, d = np.indices(sums.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(d.ravel().astype(np.int32)), pa.array(sums.ravel().astype(np.int64))], names=["_i", "_draw", "_h"])
+
+    drawn = events.mapInArrow(summed, "_i int, _draw int, _h long").groupBy("_i", "_draw").agg(F.sum("_h").alias("_h"))
+    drawn = settled(drawn)  # a row for each setting and draw
+    totals = drawn.where(F.col("_i") == n).select("_draw", F.col("_h").alias("_n"))
+    means = drawn.join(F.broadcast(numbered), "_i").join(F.broadcast(totals), "_draw").select(*settings, F.when(F.col("_n") > 0, F.coalesce("_h", F.lit(0)) / F.col("_n")).otherwise(0.0).alias("_m"))
     spread = means.groupBy(*settings).agg(F.percentile("_m", F.lit(0.025)).alias("far_low"), F.percentile("_m", F.lit(0.975)).alias("far_high"))  # `draws` numbers of each setting
     rates = alarms.groupBy(*settings).agg(F.avg(hit).alias("far"), (F.sum(alarmed) / F.greatest(F.sum(total), F.lit(1))).alias("sample_far"), F.sum(F.col(flag).cast("long")).alias("false_alarms"))
     keeps = F.col("far") <= target
@@ -104,16 +130,17 @@ def limit_trials(rows: DataFrame, event: str, z: str, residual_thresholds: tuple
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = np.nan_to_num(part.sort_values("t_idx")[z].to_numpy(float))
         out = []
-        drifts = {(d, c): K.cusum(x, d, c)[2] for d in cusum_drifts for c in cusum_thresholds}
+        masks = {(d, c): K.cusum(x, d, c)[2] for d in cusum_drifts for c in cusum_thresholds}
+        drifts = {at: (mask, bool(mask.mean() >= least_drift)) for at, mask in masks.items()}
         for threshold in residual_thresholds:
             place = run_length(np.abs(x) > threshold)
             for persistence in persistences:
                 residual = place >= max(1, persistence)
-                for (drift, limit), mask in drifts.items():
-                    longest = int(run_length(residual & mask).max(initial=0))
-                    for least in least_residuals:
-                        seen = longest >= max(1, least_run) and residual.mean() >= least and mask.mean() >= least_drift
-                        out.append((key[0], threshold, persistence, drift, limit, least, seen, int((residual | mask).sum()), len(x)))
+                share = residual.mean()
+                for (drift, limit), (mask, drifted) in drifts.items():
+                    both = drifted and int(run_length(residual & mask).max(initial=0)) >= max(1, least_run)
+                    alarmed = int((residual | mask).sum())
+                    out += [(key[0], threshold, persistence, drift, limit, least, both and share >= least, alarmed, len(x)) for least in least_residuals]
         return pd.DataFrame(out, columns=[event, *SETTINGS, "detected", "alarmed", "total"])
 
     kind = rows.schema[event].dataType.simpleString()

@@ -113,3 +113,23 @@ def test_online_variates_are_the_batch_ones(spark, tmp_path, cuts):
     assert np.allclose([np.nan if got["a", i].t2 is None else got["a", i].t2 for i in range(120)], t2, equal_nan=True)
     assert [got["a", i].alarm for i in range(120)] == alarm.tolist()
     assert (got["new", 0].t2, got["new", 0].alarm) == (None, False)
+
+
+def test_trials_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    schema = "e long, s double, hit boolean, alarmed long, total long"
+    rows = [(e, s, e % 3 == 0 and s < 2, e, 10) for e in range(30) for s in (0.5, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, schema).mapInPandas(seen, schema)
+    got = {r.s: r for r in C.calibrated_limits(df, "e", ["s"], "hit", "alarmed", "total", draws=40, seed=3).collect()}
+    assert made.value == len(rows)
+    w = {(r.e, r.d): r.w for r in spark.range(30).withColumnRenamed("id", "e").selectExpr("e", "explode(sequence(0, 39)) AS d", "3 AS seed").withColumn("w", C.poisson_draw("e", "d", "seed")).collect()}
+    means = [sum(w[e, d] for e in range(0, 30, 3)) / sum(w[e, d] for e in range(30)) for d in range(40)]
+    for s in (0.5, 1.0):
+        assert (got[s].far_low, got[s].far_high) == pytest.approx(np.percentile(means, [2.5, 97.5]))
+    assert (got[2.0].far, got[2.0].far_low, got[2.0].far_high) == (0, 0, 0)
