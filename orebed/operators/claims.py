@@ -47,7 +47,8 @@ def dates(text: Column) -> Column:
         plain = F.concat_ws("-", F.get(numeric, F.lit(0)), F.lpad(F.get(numeric, F.lit(1)), 2, "0"), F.lpad(F.get(numeric, F.lit(2)), 2, "0"))
         return F.when(r.rlike("[A-Za-z]{3}"), text_date).otherwise(plain).try_cast("date")
 
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), one), lambda d: d.isNotNull()))
+    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), one), lambda d: d.isNotNull()))
+    return F.when(text.isNull() | text.rlike("(?:18|19|20|21)[0-9]{2}"), found).otherwise(F.array().cast("array<date>"))  # every date has a year
 
 
 def names(text: Column) -> Column:

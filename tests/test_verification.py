@@ -18,3 +18,12 @@ def test_verdicts(spark):
         7: ("UNKNOWN", "unresolved", None),
         8: ("UNKNOWN", "numeric_unresolved", None),
     }
+
+
+def test_claims_and_sentences_are_parsed_once(spark):
+    claims = spark.createDataFrame([("d", 1, "pumps ran 5 hours on 3 May 2021"), ("d", 2, "pumps ran 5 hours")], "k string, claim int, text string")
+    said = spark.createDataFrame([("d", 1, "pumps ran 5 hours"), ("d", 2, "pumps ran on May 3, 2021"), ("d", 3, "pumps ran")], "k string, sentence int, text string")
+    out = V.anchored_verdict(claims, said, "k")
+    assert {(r.claim, r.method, r.evidence) for r in out.collect()} == {(1, "date_exact", "pumps ran on May 3, 2021"), (2, "numeric_exact", "pumps ran 5 hours")}
+    lines = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "jan(?:uary)" in x]
+    assert len(lines) == 1 and "Project" in lines[0]
