@@ -1,7 +1,7 @@
 """Wind turbines by the names of their channels: roles of channels, and readings held against physical bounds.
 
 Readings are long (unit, sample, channel, value) and channels a table (unit, channel, name), so farms that name or number
-their channels differently go through one plan. Quantiles are picked by place: no unit's readings are gathered. Samples are formed once and written to the checkpoint folder.
+their channels differently go through one plan. Quantiles are picked by place: no unit's readings are gathered. Readings meet the table of channels where they lie; samples are formed once and written to the checkpoint folder.
 Values that are null or not finite count as missing; a missing value violates no bound.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebed.operators.longseries import quantile_of, settled
+from orebed.operators.longseries import binned_quantile_of, few, settled
 from orebed.operators.series import finite
 
 # What the name of a channel must hold to play a role, first choices first.
@@ -83,14 +83,18 @@ def subsystem(name: Column) -> Column:
     return out
 
 
-def _samples(readings: DataFrame, channels: DataFrame, roles: DataFrame, unit: str, sample: str) -> DataFrame:
-    """One row for each sample: its value in every role, and parts: the readings of heated parts."""
-    named = channels.groupBy(unit, "channel").agg(F.min("name").alias("_name"))
+def _known(readings: DataFrame, channels: DataFrame, roles: DataFrame, unit: str, sample: str) -> DataFrame:
+    """(unit, sample, channel, _v, _plays, _part): readings of named channels with the roles that their channel plays, as bits, and the heated part that it is of."""
+    named = channels.groupBy(unit, "channel").agg(F.min("name").alias("_name")).join(roles, unit)
     part = subsystem(F.col("_name"))
     heated = F.lower("_name").contains("temp") & part.isin(*DISSIPATION)
-    rows = readings.select(unit, sample, "channel", finite("value").alias("_v")).join(named, [unit, "channel"]).join(roles, unit)
-    heat = F.when(heated & F.col("_v").isNotNull(), F.struct("channel", part.alias("part"), F.col("_v").alias("heat")))
-    return rows.groupBy(unit, sample).agg(*[F.max(F.when(F.col("channel") == F.col(r), F.col("_v"))).alias(f"_{r}") for r in ROLES], F.collect_list(heat).alias("_parts"))
+    plays = sum((F.when(F.col("channel") == F.col(r), 1 << i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
+    return readings.select(unit, sample, "channel", finite("value").alias("_v")).join(few(named.select(unit, "channel", plays.alias("_plays"), F.when(heated, part).alias("_part"))), [unit, "channel"])
+
+
+def _samples(known: DataFrame, unit: str, sample: str) -> DataFrame:
+    """One row for each sample: its value in every role."""
+    return known.groupBy(unit, sample).agg(*[F.max(F.when(F.col("_plays").bitwiseAND(1 << i) != 0, F.col("_v"))).alias(f"_{r}") for i, r in enumerate(ROLES)])
 
 
 def wind_findings(readings: DataFrame, channels: DataFrame, unit: str, sample: str, reference: DataFrame | None = None, bounds: Bounds = Bounds()) -> DataFrame:
@@ -103,15 +107,17 @@ def wind_findings(readings: DataFrame, channels: DataFrame, unit: str, sample: s
     A unit without wind or power channel, or without ambient, rotor and torque ones, has no findings of that kind. Empty readings give no rows.
     """
     roles = channel_roles(channels, unit)
-    rows = settled(_samples(readings, channels, roles, unit, sample))
-    normal = rows if reference is None else _samples(reference, channels, roles, unit, sample)
+    known = _known(readings, channels, roles, unit, sample)
+    rows = samples = settled(_samples(known, unit, sample))
+    normal = samples if reference is None else settled(_samples(_known(reference, channels, roles, unit, sample), unit, sample))
     kinds = {"rated": (F.col("_power"), 0.995), "turning": (F.abs("_generator"), 0.95), "windy": (F.col("_wind"), 0.70)}
-    long = normal.select(unit, F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), v.alias("_x")) for k, (v, _) in kinds.items()])).alias("_k")).select(unit, "_k.*")
+    long = normal.select(unit, F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), v.alias("_x")) for k, (v, _) in enumerate(kinds.values())])).alias("_k")).select(unit, "_k.*")
     at = F.lit(0.0)
-    for kind, (_, q) in kinds.items():
+    for kind, (_, q) in enumerate(kinds.values()):
         at = F.when(F.col("_kind") == kind, q).otherwise(at)
-    limits = quantile_of(long, [unit, "_kind"], "_x", at, "_q").groupBy(unit).agg(*[F.max(F.when(F.col("_kind") == k, F.col("_q"))).alias(f"_{k}") for k in kinds])
-    rows = rows.join(limits, unit, "left").join(roles.select(unit, F.col("power").alias("_pc"), F.col("generator").alias("_gc"), F.col("pitch").alias("_tc")), unit)
+    limits = binned_quantile_of(long, [unit, "_kind"], "_x", at, "_q").groupBy(unit).agg(*[F.max(F.when(F.col("_kind") == i, F.col("_q"))).alias(f"_{k}") for i, k in enumerate(kinds)])
+    limits = few(roles.select(unit, F.col("power").alias("_pc"), F.col("generator").alias("_gc"), F.col("pitch").alias("_tc")).join(limits, unit, "left"))
+    rows = rows.join(limits, unit)
 
     wind, power = F.col("_wind"), F.col("_power")
     rated = F.col("_rated") if bounds.rated is None else F.lit(bounds.rated)
@@ -125,22 +131,25 @@ def wind_findings(readings: DataFrame, channels: DataFrame, unit: str, sample: s
     flat = F.col("_tc").isNull() | (F.abs("_pitch") < bounds.pitch)
     lost = F.when((rated > 0) & (power < bounds.curtailed * rated) & (wind >= F.col("_windy")) & turns & flat, (rated - power) / rated)
 
-    def heat(x: Column) -> Column:
-        room = F.lit(None).cast("double")
-        for part, (offset, torque, speed) in DISSIPATION.items():
-            room = F.when(x["part"] == part, offset + torque * F.abs("_torque") + speed * F.abs("_rotor")).otherwise(room)
-        return F.struct(F.lit("temperature_above_steady_state_dissipation_bound").alias("flag"), x["part"].alias("subsystem"), x["channel"].alias("channel"), (x["heat"] - (F.col("_ambient") + room + bounds.margin)).alias("_x"))
-
-    electrical = [F.struct(F.lit(flag).alias("flag"), F.lit("electrical").alias("subsystem"), F.col("_pc").alias("channel"), x.alias("_x")) for flag, x in (("power_exceeds_aerodynamic_limit", over), ("possible_unannounced_curtailment_or_electrical_loss", lost))]
-    broken = F.filter(F.concat(F.array(*electrical), F.transform("_parts", heat)), lambda x: x["_x"] > 0)
-    keys = [unit, "flag", "subsystem", "channel"]
-    broken = rows.select(unit, F.explode(broken).alias("_b")).select(unit, "_b.*")
-    counts = broken.groupBy(*keys).agg(F.count(F.lit(1)).alias("violations")).where(F.col("violations") >= bounds.least)
-    sizes = rows.groupBy(unit).agg(F.count(F.lit(1)).alias("_n"))
-    p90 = quantile_of(broken.join(counts, keys, "left_semi"), keys, "_x", 0.9, "p90")
+    kind = [("power_exceeds_aerodynamic_limit", "electrical"), ("possible_unannounced_curtailment_or_electrical_loss", "electrical"), *(("temperature_above_steady_state_dissipation_bound", part) for part in DISSIPATION)]
+    electrical = rows.select(unit, F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), F.col("_pc").alias("channel"), x.alias("_x")) for i, x in enumerate((over, lost))])).alias("_b")).select(unit, "_b.*")
+    room, code = none, F.lit(None).cast("int")
+    for i, (part, (offset, torque, speed)) in enumerate(DISSIPATION.items(), 2):
+        room = F.when(F.col("_part") == part, offset + torque * F.abs("_torque") + speed * F.abs("_rotor")).otherwise(room)
+        code = F.when(F.col("_part") == part, i).otherwise(code)
+    hot = known.where("_part IS NOT NULL AND _v IS NOT NULL").select(unit, F.col(sample).alias("_s"), "channel", "_part", "_v")
+    near = samples.where("_ambient IS NOT NULL AND _torque IS NOT NULL AND _rotor IS NOT NULL").select(F.col(unit).alias("_u"), sample, "_ambient", "_torque", "_rotor")
+    heat = hot.join(near, (F.col(unit) == F.col("_u")) & F.col("_s").eqNullSafe(F.col(sample))).select(unit, code.alias("_f"), "channel", (F.col("_v") - (F.col("_ambient") + room + bounds.margin)).alias("_x"))
+    keys = [unit, "_f", "channel"]
+    broken = settled(electrical.unionByName(heat).where("_x > 0"))
+    counts = few(broken.groupBy(*keys).agg(F.count(F.lit(1)).alias("violations")).where(F.col("violations") >= bounds.least))
+    sizes = samples.groupBy(unit).agg(F.count(F.lit(1)).alias("_n"))
+    p90 = binned_quantile_of(broken.join(counts, keys, "left_semi"), keys, "_x", 0.9, "p90")
+    flag, part = (F.element_at(F.array(*[F.lit(k[j]) for k in kind]), F.col("_f") + 1) for j in (0, 1))
     raw = F.when(F.col("flag").startswith("temperature"), 1.0 + F.col("p90") / max(bounds.margin, 1e-6)).when(F.col("flag").startswith("possible"), F.col("p90") * 3.0).otherwise(F.col("p90"))
     severity = F.greatest(F.lit(1.0), F.least(F.lit(5.0), raw))
-    return counts.join(p90, keys).join(sizes, unit).select(*keys, "violations", (F.col("violations") / F.col("_n")).alias("violation_fraction"), "p90", severity.alias("severity"))
+    found = counts.join(p90, keys).join(sizes, unit).withColumns({"flag": flag, "subsystem": part})
+    return found.select(unit, "flag", "subsystem", "channel", "violations", (F.col("violations") / F.col("_n")).alias("violation_fraction"), "p90", severity.alias("severity"))
 
 
 def wind_physics(units: DataFrame, findings: DataFrame, unit: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Turbines' physical bounds against plain numpy on odd readings."""
 
 import numpy as np
+from orebed.operators import longseries as L
 from orebed.operators import turbines as W
 
 NAMES = ["Ambient temp", "Rotor speed", "Torque", "Gearbox oil temp", "Bearing temp", "Wind speed", "Reactive power", "Active power", "Pitch", "Generator speed"]
@@ -68,3 +69,27 @@ def test_roles_and_odd_tables(spark):
     assert none.count() == 0
     part = W.wind_findings(readings.where("channel <> 7").withColumn("name", readings["unit"]), channels.where("channel <> 7"), "unit", "sample")
     assert part.count() == 0
+
+
+def test_quantiles_place_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    series = {"a": rng.standard_normal(4000), "b": np.ones(50), "c": np.array([1.0, -np.inf, np.inf, 2.0, 3.0]), "d": np.array([5.0]), "e": rng.integers(0, 4, 300).astype(float)}
+    placed, sizes = L.placed, []
+    monkeypatch.setattr(L, "placed", lambda df, *x: sizes.append(df.count()) or placed(df, *x))
+    df = spark.createDataFrame([(k, float(v)) for k, x in series.items() for v in x] + [("a", None)], "k string, x double")
+    for q in (0.0, 0.3, 0.995, 1.0):
+        got = {r.k: r.q for r in L.binned_quantile_of(df, ["k"], "x", q, "q").collect()}
+        want = {k: np.percentile(x, 100 * q) for k, x in series.items() if k != "c"}
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+    assert max(sizes) < 2000
+    got = {r.k: r.q for r in L.binned_quantile_of(df.where("k = 'c'"), ["k"], "x", 0.5, "q").collect()}
+    assert got == {"c": 2.0}
+
+
+def test_findings_place_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    readings, channels = frames(spark, {"a": rng.uniform(5, 25, (600, 10))})
+    placed, sizes = L.placed, []
+    monkeypatch.setattr(L, "placed", lambda df, *x: sizes.append(df.count()) or placed(df, *x))
+    W.wind_findings(readings, channels, "unit", "sample", bounds=W.Bounds(area=800.0))
+    assert 0 < sizes[0] < 600
