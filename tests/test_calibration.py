@@ -133,3 +133,21 @@ def test_trials_are_made_once(spark):
     for s in (0.5, 1.0):
         assert (got[s].far_low, got[s].far_high) == pytest.approx(np.percentile(means, [2.5, 97.5]))
     assert (got[2.0].far, got[2.0].far_low, got[2.0].far_high) == (0, 0, 0)
+
+
+def test_variates_slice_by_slice():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 2))
+    model = K.cva_trained(x[:150], 3, 2, 0.99)
+    z = O.scaled(x, model)
+    ring, whole = O.ring_scores(np.zeros((0, 2)), z, model, 3)
+    assert np.isnan(whole[:3]).all()
+    assert np.isfinite(whole[3:]).all()
+    for cuts in ([1, 2, 4], [2, 100, 101, 299]):
+        held, scores = np.zeros((0, 2)), []
+        for part in np.split(z, cuts):
+            held, t2 = O.ring_scores(held, part, model, 3)
+            scores.append(t2)
+        assert np.allclose(np.concatenate(scores), whole, equal_nan=True)
+        assert np.array_equal(held, ring)
+    assert np.isnan(O.ring_scores(held, z, None, 3)[1]).all()
