@@ -35,3 +35,18 @@ def test_empty(spark):
     assert chosen(spark, {"a": (CLAIM, [MANUAL])}) == {"a": [("manual-1", True, 0)]}
     none = spark.createDataFrame([], "k string, item string, document string, text string, status string, score double")
     assert G.claim_evidence(spark.createDataFrame([("a", 1, CLAIM)], "k string, claim int, text string"), none, "k").count() == 0
+
+
+def test_cases_meet_whole_or_by_terms(spark, monkeypatch):
+    cases = {k: (f"Pump-{k} normal pressure of discharge [man{k}] and load", [(f"man{k}", "Nothing alike", None), ("x", f"pump-{k} discharge pressure", None), ("y", "unlike words", None), ("z", f"normal load of pump-{k}", None)]) for k in "1234"}
+    cases["none"] = (None, [("a", None, None)])
+    met = chosen(spark, cases)
+    assert met["1"][:1] == [("man1", True, 1)] and len(met) == 4
+    monkeypatch.setattr(G, "TOGETHER", 2)
+    assert chosen(spark, cases) == met
+
+
+def test_small_cases_shuffle_no_terms(spark):
+    claims = spark.createDataFrame([("a", 1, CLAIM)], "k string, claim int, text string")
+    items = spark.createDataFrame([("a", "manual-1", None, MANUAL[1], None, None)], "k string, item string, document string, text string, status string, score double")
+    assert "Generate" not in G.claim_evidence(claims, items, "k")._jdf.queryExecution().optimizedPlan().toString()
