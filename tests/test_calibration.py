@@ -95,6 +95,22 @@ def test_freshness_by_timers(spark, tmp_path):
     assert got == sorted(expected)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_freshness_takes_readings_of_one_batch_in_their_order(spark, tmp_path, rows):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    times = 1000 + np.random.default_rng(5).permutation(60) * 40.0
+    made = [(k, float(t), float(t)) for t in times for k in ("a", "b", "c")]
+    spark.conf.set(name, rows)
+    try:
+        got = sorted(tuple(r) for r in O.drained(O.streamed_freshness(files(spark, tmp_path / "in", [made], "k string, ts double, at double"), ["k"], "ts", "at", 30, 100)).collect())
+    finally:
+        spark.conf.set(name, usual)
+    fresh = [(k, float(t), float(t), "FRESH", False) for k in "abc" for t in range(1000, 3400, 40)]
+    stale = [(k, float(t), t + 30.0, "STALE", False) for k in "abc" for t in range(1000, 3360, 40)]
+    assert got == sorted(fresh + stale)
+
+
 @pytest.mark.parametrize("cuts", [[120], [1, 2, 3, 70], []])
 def test_online_variates_are_the_batch_ones(spark, tmp_path, cuts):
     rng = np.random.default_rng(7)
