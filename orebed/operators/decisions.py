@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +146,83 @@ def diagnosed(ranking: DataFrame, edges: DataFrame, unit: str, catalogue: DataFr
     return out.select(unit, F.when(~weak, F.col("root")).alias("root"), F.when(~weak, label).alias("fault_label"), sure.alias("confidence"), F.when(weak, "root_cause_evidence_below_threshold").alias("abstain_reason"), F.size(F.array_except("_nodes", F.array("root"))).alias("n_affected"))
 
 
+class _Line:
+    """Running sums of a line of y over x, in the order and with the rounding of SQL's regr_slope and regr_intercept: which of two figures an end takes that lies between them is decided by these."""
+
+    def __init__(self) -> None:
+        self.n, self.sx, self.sy, self.mx, self.my, self.co, self.var = 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+
+    def add(self, x: float | None, y: float | None) -> None:
+        if x is None or y is None:
+            return
+        self.n += 1
+        dx = x - self.mx
+        self.mx += dx / self.n
+        self.my += (y - self.my) / self.n
+        self.sx, self.sy = self.sx + x, self.sy + y
+        self.co, self.var = _fma(dx, y - self.my, self.co), _fma(dx, x - self.mx, self.var)
+
+    def ends(self) -> tuple[float | None, float | None]:
+        if not self.var:
+            return None, None
+        slope = self.co / self.n / (self.var / self.n)
+        return slope, _fma(-slope, self.sx / self.n, self.sy / self.n)
+
+
+def _fma(a: float, b: float, c: float) -> float:
+    try:
+        return math.fma(a, b, c)
+    except (ValueError, OverflowError):  # of infinite values
+        return a * b + c
+
+
+def latest_lines(rows: DataFrame, keys: list[str], x: str, y: str, widths: list[int]) -> DataFrame:
+    """(keys, _m0, _c0, _m1, ...): slope and intercept of the lines through the last n rows, for each of widths, and through all; null where x doesn't vary. Rows without y count, but lie on no line.
+
+    Rows stream by in order; a task holds the sums of one line and the last of its rows, so that a series may be of any length.
+    """
+    kinds = [f"_{s}{i} double" for i in range(len(widths) + 1) for s in "mc"]
+    ids = [f"_k{i}" for i in range(len(keys))]
+    head = [f"{i} {rows.schema[k].dataType.simpleString()}" for i, k in zip(ids, keys, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        whole, last = _Line(), deque(maxlen=max(widths))
+        for batch in batches:
+            done: list[tuple[tuple, list[float | None]]] = []
+            *of, xs, ys = (c.to_pylist() for c in batch.columns)
+            for key, at, value in zip(zip(*of, strict=True), xs, ys, strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((now, ends(whole, last)))
+                    now, whole = key, _Line()
+                    last.clear()
+                last.append((at, value))
+                whole.add(at, value)
+            if done:
+                yield made(done, batch.schema)
+            schema = batch.schema
+        if now is not None:
+            yield made([(now, ends(whole, last))], schema)
+
+    def ends(whole: _Line, last: deque[tuple[float | None, float | None]]) -> list[float | None]:
+        out, recent = [], list(last)
+        for n in widths:
+            line = _Line()
+            for at, value in recent[-n:]:
+                line.add(at, value)
+            out += line.ends()
+        return [*out, *whole.ends()]
+
+    def made(done: list[tuple[tuple, list[float | None]]], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*(k for k, _ in done), strict=True))]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.float64()) for c in zip(*(v for _, v in done), strict=True))], names=[*ids, *(k.split()[0] for k in kinds)])
+
+    sent = rows.select(*[F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)], F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    found = sent.repartition(*ids).sortWithinPartitions(*ids, "_x").mapInArrow(run, ", ".join(head + kinds))
+    return found.withColumnsRenamed(dict(zip(ids, keys, strict=True)))
+
+
 def life_interval(df: DataFrame, keys: list[str], limit: float, nominal: float, least: int = 20, window: int = 20, widths: tuple[int, ...] = (20, 40), horizon: float = 500.0, z: float = 1.96, x: str = "t_idx", raw: str = "value", smooth: str = "smooth") -> DataFrame:
     """Per key: state, the projected end of life with its interval, and what it is made of, from capacities (x, raw, smooth; nulls are missing readings).
 
@@ -151,9 +233,8 @@ def life_interval(df: DataFrame, keys: list[str], limit: float, nominal: float,
     w = Window.partitionBy(*keys)
     window = max(3, window)
     fine = df.where(F.col(raw).isNotNull()).withColumns({"_back": F.row_number().over(w.orderBy(F.desc(x))), "_x": F.col(x).cast("double"), "_y": F.col(smooth), "_before": F.lag(F.col(x).cast("double")).over(w.orderBy(x))})
-    last = lambda n: F.when(F.col("_back") <= n, F.col("_x"))
-    lines = [e.alias(f"_{s}{i}") for i, n in enumerate((window, *widths, None)) for s, e in (("m", F.regr_slope(F.col("_y"), last(n) if n else F.col("_x"))), ("c", F.regr_intercept(F.col("_y"), last(n) if n else F.col("_x"))))]
-    g = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("cycles"), F.max("_x").alias("_now"), F.max_by("_y", "_x").alias("_level"), F.min(F.when(F.col("_y") <= limit, F.struct("_x", "_before"))).alias("_crossed"), *lines)
+    g = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("cycles"), F.max("_x").alias("_now"), F.max_by("_y", "_x").alias("_level"), F.min(F.when(F.col("_y") <= limit, F.struct("_x", "_before"))).alias("_crossed"))
+    g = g.join(latest_lines(df.where(F.col(raw).isNotNull()), keys, x, smooth, [window, *widths]), keys, "left")
     ends = df.groupBy(*keys).agg(F.max_by(F.col(raw).isNull(), x).alias("_gone"))
     g = ends.join(g, keys, "left").withColumn("cycles", F.coalesce("cycles", F.lit(0).cast("long"))).withColumn("_eol", F.try_divide(F.lit(limit) - F.col("_c0"), F.col("_m0")))
     off = fine.where(F.col("_back") <= window).join(g.select(*keys, "_m0", "_c0"), keys)

@@ -84,3 +84,34 @@ def test_life_with_its_interval(spark):
     assert (a.eol_low, a.eol_high) == (pytest.approx(max(59, min(ends[0] - u, min(ends[1:])))), pytest.approx(max(ends[0] + u, max(ends[1:]))))
     assert (got["done"].eol, got["done"].eol_low, got["done"].remaining) == (20.0, 19.0, 0.0)
     assert (got["low"].eol, got["low"].eol_low, got["low"].risk) == (0.0, 0.0, 1.0)
+
+
+def test_ends_that_lie_between_two_figures_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from conftest import assert_same
+    from orebed.queries import ORACLE_SQL, QUERIES
+
+    series = (
+        [15.31, 42.38, 29.45, 22.91, 29.85, 13.57, 25.29, 1.6, 66.31],
+        [42.56, 10.62, 18.06, 32.95, 24.24, 92.91, 5.96, 15.88, 2.86, 100.62, 9.08],
+        [12.34, 42.92, 55.25, 13.76, 68.58, 37.3, 81.98, 110.17, 7.41, 12.83, 52.11, 24.91, 71.07, 13.29],
+        [46.77, 78.08, 45.23, 89.56, 3.27, 2.38, 16.93, 28.7, 40.68, 25.39, 8.23, 14.19, 37.54],
+    )
+    events = [(100 * u + i, u, "view", v, 60 * i) for u, values in enumerate(series) for i, v in enumerate(values)]
+    table = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, s long").selectExpr("event_id", "user_id", "event_type", "value", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS ts")
+    table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert_same(QUERIES["life_interval"](spark, str(tmp_path)), con, ORACLE_SQL["life_interval"])
+
+
+def test_latest_lines(spark):
+    rng = np.random.default_rng(3)
+    x, y = np.arange(30.0), rng.standard_normal(30)
+    table = [("a", float(i), None if i == 28 else float(v)) for i, v in zip(x, y, strict=True)] + [("one", 1.0, 2.0), ("none", 1.0, None)]
+    got = {r.k: r for r in D.latest_lines(spark.createDataFrame(table, "k string, x double, y double").repartition(5), ["k"], "x", "y", [4, 50]).collect()}
+    x, y = np.delete(x, 28), np.delete(y, 28)
+    for i, n in enumerate((3, 29, 29)):
+        assert np.allclose([got["a"][f"_m{i}"], got["a"][f"_c{i}"]], np.polyfit(x[-n:], y[-n:], 1))
+    assert list(got["one"])[1:] == list(got["none"])[1:] == [None] * 6
