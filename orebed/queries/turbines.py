@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from orebed.operators import turbines as W
@@ -31,16 +29,13 @@ fs AS (SELECT *, greatest(1.0::DOUBLE, least(5.0, CASE WHEN flag LIKE 'temp%' TH
 
 
 def turbines(spark, sf_dir):
-    """(readings, channels) of all suppliers."""
+    """(readings, channels) of all suppliers; a line item has a sample's readings in one row."""
     lines = table(spark, sf_dir, "lineitem").withColumns({"unit": F.col("l_suppkey"), "sample": F.expr("l_orderkey * 10 + l_linenumber")})
-    units = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit")).distinct()
-    values, names = [], []
-    for maker, rows in MAKERS.items():
-        mine = F.expr(f"unit % 3 = {maker}")
-        values.append(lines.where(mine).select("unit", "sample", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.expr(x).cast("double").alias("value")) for c, _, x in rows])).alias("r")).select("unit", "sample", "r.*"))
-        names.append(units.where(mine).select("unit", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(n).alias("name")) for c, n, _ in rows])).alias("r")).select("unit", "r.*"))
-    together = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    return together(values), together(names)
+    of_maker = lambda made: F.coalesce(*[F.when(F.col("unit") % 3 == maker, F.array(*[made(*row) for row in rows])) for maker, rows in MAKERS.items()])
+    readings = lines.where("unit % 3 >= 0").select("unit", "sample", of_maker(lambda c, _, x: F.lit(c)).alias("channels"), of_maker(lambda c, _, x: F.expr(x).cast("double")).alias("values"))
+    units = lines.where("unit % 3 >= 0").select("unit").distinct()
+    channels = units.select("unit", F.explode(of_maker(lambda c, n, _: F.struct(F.lit(c).alias("channel"), F.lit(n).alias("name")))).alias("r")).select("unit", "r.*")
+    return readings, channels
 
 
 @query("channel_roles", f"WITH {CHANNELS_SQL}, u AS (SELECT DISTINCT l_suppkey AS unit FROM lineitem) SELECT unit, {', '.join(f'max(channel) FILTER (role = {chr(39)}{r}{chr(39)}) AS {r}' for r in W.ROLES)} FROM u JOIN ro ON unit % 3 = maker GROUP BY unit")

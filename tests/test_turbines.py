@@ -1,6 +1,8 @@
 """Turbines' physical bounds against plain numpy on odd readings."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from orebed.operators import longseries as L
 from orebed.operators import turbines as W
 
@@ -93,3 +95,28 @@ def test_findings_place_few_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "placed", lambda df, *x: sizes.append(df.count()) or placed(df, *x))
     W.wind_findings(readings, channels, "unit", "sample", bounds=W.Bounds(area=800.0))
     assert 0 < sizes[0] < 600
+
+
+@pytest.mark.parametrize(("packed", "largest"), [(False, 500), (True, 10**6)])
+def test_findings_of_many_units_are_those_of_few(spark, monkeypatch, packed, largest):
+    rng = np.random.default_rng(9)
+    units = {u: np.where(rng.random((n, 10)) < 0.05, np.nan, rng.uniform(5, 60, (n, 10)) * np.where(np.arange(10) == 7, 30, 1)) for u, n in (("a", 90), ("b", 40), ("c", 7), ("d", 60))}
+    readings, channels = frames(spark, units)
+    channels = channels.where("NOT (unit = 'b' AND channel IN (2, 8)) AND unit <> 'd'")
+    readings = readings.withColumn("sample", F.expr("nullif(sample, 3)")).unionByName(readings.where("sample < 9").withColumn("value", F.col("value") * 1.5))
+    if packed:
+        readings = readings.groupBy("unit", "sample", F.expr("channel % 2").alias("k")).agg(F.collect_list(F.struct("channel", "value")).alias("r")).select("unit", "sample", F.col("r.channel").alias("channels"), F.col("r.value").alias("values"))
+    monkeypatch.setattr(W, "LARGEST", largest)
+    found = lambda reference: {tuple(r)[:5]: tuple(r)[5:] for r in W.wind_findings(readings, channels, "unit", "sample", reference, W.Bounds(area=800.0)).collect()}
+    usual = W._samples
+    for reference in (None, readings.where("sample > 10")):
+        monkeypatch.setattr(W, "MANY", 500)
+        monkeypatch.setattr(W, "_samples", usual)
+        want = found(reference)
+        assert len({k[0] for k in want}) == 2 and len(want) >= 3
+        monkeypatch.setattr(W, "MANY", 0)
+        if largest == 10**6:
+            monkeypatch.setattr(W, "_samples", None)  # is not called
+        got = found(reference)
+        assert got.keys() == want.keys()
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
