@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebed.functions.text import sentences
+from orebed.operators.longseries import stored
 
 # The grammar of a stated range, of assets and of citations, and the kinds of documents that may prove one.
 METRICS = ("discharge pressure", "pressure", "vibration", "temperature", "speed", "load")
@@ -92,26 +93,27 @@ def proved_ranges(claims: DataFrame, evidence: DataFrame, case: str = "case") ->
     CONFLICTING where controlled documents of the case state other ranges of that asset, metric and unit (n_sources counts
     these statements and the cited one), else SUPPORTED. Claims are left out where the case states the metric in
     another unit, or has a band of it outside this grammar. Nulls match nothing; repeated claims stay, each with its row.
-    Everything meets by equal keys of case, asset and metric, so a case with very many documents is never gathered.
+    Everything meets by equal keys of case, asset and metric, so a case with very many documents is never gathered. Documents and claims are parsed once; what they state is kept in the checkpoint folder.
     """
     controlled = (F.lower("status") == "current") & (F.lower(F.coalesce("trust", F.lit(""))) != "untrusted") & F.lower("kind").isin(*CONTROLLED)
     own = _assets(F.col("text"))
     said = evidence.where(controlled & F.col("text").isNotNull()).select(case, "evidence_id", own.alias("_named"), F.explode(sentences(F.col("text"))).alias("_s"))
     said = said.withColumn("_s", F.trim("_s"))
     fact = F.coalesce(stated_range(F.col("_s")), F.when(F.size("_named") == 1, stated_range(F.concat_ws(" ", F.get("_named", F.lit(0)), F.col("_s")))))
+    metrics = F.array_compact(F.array(*[F.when(F.lower("_s").rlike(f"\\b{m}\\b"), m) for m in METRICS]))
     said = said.withColumn("_fact", fact)
+    band = F.col("_fact").isNull() & F.col("_s").rlike(BAND)
+    said = stored(said.select(case, "evidence_id", "_fact", F.when(band, metrics).alias("_metrics"), F.when(band, F.transform("_named", F.lower)).alias("_named")), "ranges")
     facts = said.where("_fact IS NOT NULL").select(case, "evidence_id", "_fact.*")
-    band = said.where(F.col("_fact").isNull() & F.col("_s").rlike(BAND))
-    metrics = F.array_compact(F.array(*[F.when(F.lower("_s").rlike(f"\\b{m}\\b"), m) for m in METRICS]))
-    loose = band.select(case, F.explode(metrics).alias("metric"), F.transform("_named", F.lower).alias("_named"))
+    loose = said.where("_metrics IS NOT NULL").select(case, F.explode("_metrics").alias("metric"), "_named")
     of_all = loose.where(F.size("_named") == 0).select(case, "metric").distinct()
     of_one = loose.select(case, "metric", F.explode("_named").alias("asset")).distinct()
 
     cites = F.regexp_extract_all("text", F.lit(CITED), F.lit(1))
     bare = F.regexp_replace(F.trim(F.regexp_replace("text", CITED, "")), "[.]+$", "")
     asked = F.transform(_assets(F.coalesce("prompt", F.lit(""))), F.lower)
-    wanted = claims.where(F.size(cites) == 1).select(case, "claim", F.get(cites, F.lit(0)).alias("evidence_id"), stated_range(F.trim(bare)).alias("_fact"), F.array_distinct(asked).alias("_asked")).where("_fact IS NOT NULL")
-    wanted = wanted.select(case, "claim", "evidence_id", "_fact.*", "_asked").where("low <= high AND (size(_asked) = 0 OR _asked = array(asset))").drop("_asked")
+    wanted = claims.where(F.size(cites) == 1).select(case, "claim", F.get(cites, F.lit(0)).alias("evidence_id"), stated_range(F.trim(bare)).alias("_fact"), F.array_distinct(asked).alias("_asked"))
+    wanted = stored(wanted, "claims").where("_fact IS NOT NULL").select(case, "claim", "evidence_id", "_fact.*", "_asked").where("low <= high AND (size(_asked) = 0 OR _asked = array(asset))").drop("_asked")
 
     key = [case, "asset", "metric"]
     ranges = ["low", "high", "unit"]

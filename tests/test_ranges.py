@@ -44,3 +44,12 @@ def test_units(spark):
     assert [r.converted for r in got] == [r[3] for r in rows]
     canonical = R.convert_units(df, "v", "u").collect()
     assert [(r.converted, r.shown_unit) for r in canonical[:5]] == [(4.5, "bar"), (4.5, "bar"), (25.0, "°C"), (25.0, "Hz"), (pytest.approx(2.25), "mm/s")]
+
+
+def test_documents_and_claims_are_parsed_once(spark, capsys):
+    documents = spark.createDataFrame([("a", "doc-1", "PX-1 normal load is 4 to 6 %. PX-2 speed is 4 to 5.", "current", None, "sop")], "case string, evidence_id string, text string, status string, trust string, kind string")
+    claims = spark.createDataFrame([("a", 1, "PX-1 normal load is 4 to 6 % [doc-1].", None)], "case string, claim int, text string, prompt string")
+    got = R.proved_ranges(claims, documents)
+    got.explain()
+    assert "regexp" not in capsys.readouterr().out
+    assert [tuple(r) for r in got.collect()] == [("a", 1, "doc-1", "SUPPORTED", 1)]
